@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +76,9 @@ def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
 def small_enough(df: DataFrame, limit_rows: int) -> bool:
     """Whether a written table may be broadcast, by its counted rows."""
     return df.limit(limit_rows + 1).count() <= limit_rows
+
+
+def shipped(module):
+    """``module``, sent to executors by value: they need no copy of this library."""
+    cloudpickle.register_pickle_by_value(module)
+    return module
