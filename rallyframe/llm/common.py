@@ -78,6 +78,16 @@ def small_enough(df: DataFrame, limit_rows: int) -> bool:
     return df.limit(limit_rows + 1).count() <= limit_rows
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column, so that its names can't meet an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def unpacked(columns: list[str], **changed: Column) -> list[Column]:
+    """The columns of a packed table, some replaced."""
+    return [changed.get(c, F.col("_row")[c]).alias(c) for c in columns]
+
+
 def shipped(module):
     """``module``, sent to executors by value: they need no copy of this library."""
     cloudpickle.register_pickle_by_value(module)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, let, row_key, settle
+from .common import ascii_lower, documents, let, packed, row_key, settle, unpacked
 
 #: What lies between words: ASCII that is no letter or digit. Fixed value.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -103,10 +103,13 @@ def covered_words(spans: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] | None = None, **options) -> DataFrame:
     """``docs`` with _n_words, _exact and _near (empty arrays without a match)."""
     matches = phrase_matches(docs, benchmark, text=text, doc_id=doc_id, **options)
-    k1, k2 = row_key(F.col(doc_id), F.col(text))
-    mine = docs.select(*(carry if carry is not None else docs.columns), k1.alias("_k1"), k2.alias("_k2"), F.size(terms(F.col(text))).cast("long").alias("_n_words"))
-    out = mine.join(matches.withColumnsRenamed({"exact": "_exact", "near": "_near"}), ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    return out.withColumn("_exact", F.coalesce("_exact", F.array().cast("array<struct<item_id:string,start:int,end:int>>"))).withColumn("_near", F.coalesce("_near", F.array().cast("array<struct<item_id:string,start:int,equal:int>>")))
+    columns = [c for c in (carry if carry is not None else docs.columns) if c.lower() not in ("_n_words", "_exact", "_near")]
+    the_id, the_text = F.col("_row")[doc_id], F.col("_row")[text]
+    k1, k2 = row_key(the_id, the_text)
+    mine = packed(docs).withColumns({"_k1": k1, "_k2": k2, "_n_words": F.size(terms(the_text)).cast("long")}).select(F.struct(*unpacked(columns)).alias("_row"), "_k1", "_k2", "_n_words")
+    out = mine.join(matches, ["_k1", "_k2"], "left")
+    none = lambda kind: F.array().cast(kind)
+    return out.select(*unpacked(columns), "_n_words", F.coalesce("exact", none("array<struct<item_id:string,start:int,end:int>>")).alias("_exact"), F.coalesce("near", none("array<struct<item_id:string,start:int,equal:int>>")).alias("_near"))
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:

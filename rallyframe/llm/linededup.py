@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, let, row_key, settle
+from .common import SPACE, documents, let, packed, row_key, settle, unpacked
 
 WINDOW = 3
 
@@ -39,8 +39,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", win
     the windows, both split by their hash: a count with the first occurrence,
     and a join with the repeated ones, whose hot hashes the engine splits.
     """
-    k1, k2 = row_key(F.col(doc_id), F.col(text))
-    place = settle(docs.select(F.col(doc_id).alias("_id"), k1.alias("_k1"), k2.alias("_k2"), F.explode(let(numbered_lines(F.col(text)), lambda x: windows_of(x, window))).alias("w"))
+    columns, docs = docs.columns, packed(docs)
+    the_id, the_text = F.col("_row")[doc_id], F.col("_row")[text]
+    k1, k2 = row_key(the_id, the_text)
+    place = settle(docs.select(the_id.alias("_id"), k1.alias("_k1"), k2.alias("_k2"), F.explode(let(numbered_lines(the_text), lambda x: windows_of(x, window))).alias("w"))
                    .select("w.w1", "w.w2", "_id", "_k1", "_k2", "w.at"))
     here = F.struct("_id", "_k1", "_k2", "at")
     repeated = settle(place.groupBy("w1", "w2").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last"))
@@ -55,11 +57,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", win
             F.size(c["lines"]).alias("n"), F.size(g).alias("gone"),
             F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(c["all"]) - 1), g), lambda i: F.get(c["all"], i)), "\n").alias("text")))
 
-    both = F.struct(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("all"), numbered_lines(F.col(text)).alias("lines"))
-    joined = docs.withColumn("_k1", k1).withColumn("_k2", k2).join(later, ["_k1", "_k2"], "left")
-    done = joined.withColumn("_cut", let(both, cut))
-    return (done.withColumn(text, F.when(F.size(starts) > 0, F.col("_cut.text")).otherwise(F.col(text)))
-            .select(*docs.columns, F.col("_cut.n").cast("long").alias("_n_lines"), F.col("_cut.gone").cast("long").alias("_n_removed")))
+    both = F.struct(F.split(F.coalesce(the_text, F.lit("")), "\n", -1).alias("all"), numbered_lines(the_text).alias("lines"))
+    done = (docs.withColumn("_k1", k1).withColumn("_k2", k2).join(later, ["_k1", "_k2"], "left").withColumn("_cut", let(both, cut)))
+    new_text = F.when(F.size(starts) > 0, F.col("_cut.text")).otherwise(the_text)
+    own = [c for c in columns if c.lower() not in ("_n_lines", "_n_removed")]
+    return done.select(*unpacked(own, **{text: new_text}), F.col("_cut.n").cast("long").alias("_n_lines"), F.col("_cut.gone").cast("long").alias("_n_removed"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

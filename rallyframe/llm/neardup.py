@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import documents, settle, shipped
+from .common import documents, packed, row_key, settle, shipped, unpacked
 from .components import components
 
 shipped(sketch)
@@ -113,18 +113,38 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     its text but never names a component: a component of null ids alone is
     null, and such rows are kept. Of rows repeating a kept id all are kept.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    out = _placed(docs, text, doc_id, percent, width, bands, rows)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _placed(docs: DataFrame, text: str, doc_id: str, percent: int, width: int, bands: int | None, rows: int) -> DataFrame:
+    """``near_duplicates`` with the row key (_k1, _k2) of each row."""
+    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    k1, k2 = row_key(F.col("doc_id"), F.col("text"))
+    keyed = docs.select(F.struct("doc_id", k1.alias("_k1"), k2.alias("_k2")).alias("row"), "text")
     n_bands = bands or (BANDS if percent >= 85 else 2 * BANDS)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketched = settle(docs.mapInArrow(partial(sketch.sketch_batches, t=n_bands * rows, rows=rows, width=width), f"doc_id {kind}, n_shingles bigint, digest binary, bands array<bigint>"))
+    made = keyed.mapInArrow(partial(sketch.sketch_batches, t=n_bands * rows, rows=rows, width=width), f"row struct<doc_id:{kind},_k1:bigint,_k2:int>, n_shingles bigint, digest binary, bands array<bigint>")
+    sketched = settle(made.select("row.*", "n_shingles", "digest", "bands"))
     classes = settle(sketched.where("digest IS NOT NULL").groupBy(F.col("digest").alias("c")).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     linked = link_classes(classes.where("doc_id IS NOT NULL"), docs, percent, width)
     joined = classes.select("c", "doc_id").join(linked, F.col("c") == F.col("node"), "left").select("c", "doc_id", F.coalesce("component", "c").alias("component"))
     least = settle(joined.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     named = settle(joined.join(least, "component").select(F.col("c").alias("digest"), "component_id"))
-    out = sketched.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    out = sketched.drop("bands").join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("_k1", "_k2", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 80, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: its least id.
+    Rows that repeat a kept id and text become one row."""
+    placed = settle(_placed(docs, text, doc_id, percent, width, None, ROWS).where("kept").groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n")))
+    k1, k2 = row_key(F.col("_row")[doc_id], F.col("_row")[text])
+    out = packed(docs).withColumn("_k1", k1).withColumn("_k2", k2).join(placed.select("_k1", "_k2"), ["_k1", "_k2"], "left_semi")
+    if not placed.where("n > 1").isEmpty():
+        out = out.dropDuplicates(["_k1", "_k2"])
+    return out.select(*unpacked(docs.columns))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

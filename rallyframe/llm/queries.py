@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, mixing, neardup, rules, secrets
+from . import decontam, langid, linededup, mixing, neardup, pages, quality, rules, secrets, tokens
 
 QUERIES = {
+    "op1_token_counts": tokens.op1_token_counts,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_quality_score": quality.op3_quality_score,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_decontaminate": decontam.op6_decontaminate,
+    "op7_language_id": langid.op7_language_id,
+    "op8_main_text": pages.op8_main_text,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_near_dedup": neardup.op10_near_dedup,
 }

@@ -150,7 +150,7 @@ def sketch_batches(batches, t: int, rows: int, width: int):
         offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), digests, pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))],
-            ["doc_id", "n_shingles", "digest", "bands"])
+            ["row", "n_shingles", "digest", "bands"])
 
 
 def set_batches(batches, width: int):
