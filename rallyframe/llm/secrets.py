@@ -24,7 +24,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 N_SYMBOLS = len(ALPHABET) + 2
 #: A candidate is flagged if its mean log-likelihood ratio in nats a character is above this.
-THRESHOLD = 0.5
+THRESHOLD = 0.0
 #: Labelled strings of each class that the models are fitted on.
 SAMPLES = 20_000
 
