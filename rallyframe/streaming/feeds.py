@@ -22,9 +22,11 @@ def deduped(stream: DataFrame, keys: list[str], time: str, delay: str = "1 hour"
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def price_buckets(stream: DataFrame, keys: list[str], time: str, price: str, width: str = "15 minutes", delay: str = "30 minutes") -> DataFrame:
-    """Open, close, low, high and count per key and time bucket."""
-    return (stream.withWatermark(time, delay).groupBy(*keys, F.window(time, width).alias("_w"))
+def price_buckets(stream: DataFrame, keys: list[str], time: str, price: str, width: str = "15 minutes", delay: str | None = "30 minutes") -> DataFrame:
+    """Open, close, low, high and count per key and time bucket. ``delay`` None:
+    the stream has its watermark already."""
+    marked = stream.withWatermark(time, delay) if delay else stream
+    return (marked.groupBy(*keys, F.window(time, width).alias("_w"))
             .agg(F.min_by(price, time).alias("open"), F.max_by(price, time).alias("close"), F.min(price).alias("low"), F.max(price).alias("high"), F.count(price).alias("n"))
             .select(*keys, F.col("_w.start").alias("bucket"), "open", "close", "low", "high", "n"))
 
