@@ -19,6 +19,7 @@ from .operators import integrate as I
 from .operators import joins as J
 from .operators import prices as P
 from .operators import ratings as R
+from .operators import reports as B
 from .operators import reshape as H
 from .operators.markov import project
 from .plans import filters as L
@@ -650,6 +651,101 @@ def walk_forward_split(spark, d):
     return rows.groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
+# Reports ---------------------------------------------------------------------
+
+@query(f"""WITH j AS {JUDGED}, s AS (SELECT j.*, unnest(['priority', 'year']) AS segment, unnest([o_orderpriority, year(o_orderdate)::VARCHAR]) AS value FROM j) SELECT segment, value, {METRICS} FROM s GROUP BY 1, 2""")
+def segment_metrics(spark, d):
+    out = B.by_segment(scored(spark, d), {"priority": F.col("o_orderpriority"), "year": F.year("o_orderdate")}, "p", "y")
+    return out.select("segment", "value", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "log_loss", "brier", "signed_calibration", "err80")])
+
+
+@query(f"""WITH t AS (SELECT year(o_orderdate)::INT AS year, count(*) AS n, sum(hit::INT) AS r FROM {JUDGED} j GROUP BY 1), u AS (SELECT year, n, r / n AS accuracy, sum(r) OVER () / sum(n) OVER () AS overall FROM t)
+SELECT year, n, round(accuracy, 6) AS accuracy, round(overall, 6) AS overall, round(abs(accuracy - overall), 6) AS drift, round(max(abs(accuracy - overall)) OVER (), 6) AS max_drift FROM u""")
+def yearly_drift(spark, d):
+    out = B.yearly_drift(scored(spark, d), "o_orderdate", "p", "y")
+    return out.select("year", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "overall", "drift", "max_drift")])
+
+
+THREE = f"(SELECT *, (p + 0.5) / 2 AS q, CASE WHEN o_orderkey % 4 = 0 THEN 1 - p ELSE p END AS r FROM {SCORED} s)"
+
+
+def three_models(spark, d):
+    s = scored(spark, d)
+    return s.withColumns({"q": (F.col("p") + 0.5) / 2, "r": F.when(F.col("o_orderkey") % 4 == 0, 1 - F.col("p")).otherwise(F.col("p"))})
+
+
+def _agree(a: str, b: str) -> str:
+    return f"SELECT '{a}' AS a, '{b}' AS b, round(avg((({a} >= 0.5) = ({b} >= 0.5))::INT), 6) AS same, round(avg(CASE WHEN ({a} >= 0.5) = ({b} >= 0.5) THEN (({a} >= 0.5) = (y = 1))::INT END), 6) AS right_if_same, round(corr({a}, {b}), 6) AS corr, round(avg(abs({a} - {b})), 6) AS distance FROM {THREE} t"
+
+
+@query(" UNION ALL ".join(_agree(*x) for x in ("pq", "pr", "qr")))
+def model_agreement(spark, d):
+    return B.agreement(three_models(spark, d), ["p", "q", "r"], "y").select("a", "b", *[F.round(c, 6).alias(c) for c in ("same", "right_if_same", "corr", "distance")])
+
+
+@query(f"SELECT (p >= 0.5)::INT + (q >= 0.5)::INT + (r >= 0.5)::INT AS votes, count(*) AS n, round(avg((((p + q + r) / 3 >= 0.5) = (y = 1))::INT), 6) AS accuracy FROM {THREE} t GROUP BY 1")
+def model_consensus(spark, d):
+    return B.consensus(three_models(spark, d), ["p", "q", "r"], "y").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"SELECT bar, round(avg((conf >= bar)::INT), 6) AS coverage, round(avg(CASE WHEN conf >= bar THEN hit::INT END), 6) AS accuracy FROM {JUDGED} j, (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS bar) GROUP BY 1")
+def coverage_curve(spark, d):
+    out = B.coverage_curve(scored(spark, d), "p", "y", [0.5, 0.6, 0.7, 0.8, 0.9])
+    return out.select("bar", F.round("coverage", 6).alias("coverage"), F.round("accuracy", 6).alias("accuracy"))
+
+
+def _without(m: str, rest: str) -> str:
+    return f"SELECT '{m}' AS model, round(avg(pow(({rest}) / 2 - y, 2)), 6) AS brier_without, round(avg(pow(({rest}) / 2 - y, 2)) - avg(pow((p + q + r) / 3 - y, 2)), 6) AS contribution FROM {THREE} t"
+
+
+@query(" UNION ALL ".join((_without("p", "q + r"), _without("q", "p + r"), _without("r", "p + q"))))
+def leave_one_out_models(spark, d):
+    return B.leave_one_out(three_models(spark, d), ["p", "q", "r"], "y").select("model", F.round("brier_without", 6).alias("brier_without"), F.round("contribution", 6).alias("contribution"))
+
+
+@query(f"""WITH j AS (SELECT *, abs(coalesce(p - 0.5, 0)) AS x FROM {JUDGED} j), e AS (SELECT quantile_cont(x, [0.9, 0.95, 0.99]) AS e FROM j),
+h AS (SELECT j.*, unnest(['|x|>=p90', '|x|>=p95', '|x|>=p99']) AS condition, unnest([x >= e.e[1], x >= e.e[2], x >= e.e[3]]) AS ok FROM j, e) SELECT condition, {METRICS} FROM h WHERE ok GROUP BY 1""")
+def extreme_conditions(spark, d):
+    out = B.threshold_conditions(scored(spark, d).withColumn("x", F.col("p") - 0.5), ["x"], "p", "y")
+    return out.select("condition", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "log_loss", "brier", "signed_calibration", "err80")])
+
+
+@query("SELECT count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS bias, round(1 - sum(e * e) / (var_pop(l_quantity) * count(*)), 6) AS r2 FROM (SELECT l_quantity, l_extendedprice / 2000 - l_quantity AS e FROM lineitem)")
+def regression_metrics(spark, d):
+    out = B.regression_metrics(table(spark, d, "lineitem"), F.col("l_extendedprice") / 2000, F.col("l_quantity"))
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "bias", "r2")])
+
+
+@query("""SELECT event_id, round(pow(0.2 - (a <= 0)::INT, 2) + pow(0.5 - (a <= 1)::INT, 2) + pow(0.8 - (a <= 2)::INT, 2) + pow(1.0 - (a <= 3)::INT, 2) + greatest(a - 4, 0), 6) AS crps FROM (SELECT event_id, (floor(value / 20))::INT AS a FROM events)""")
+def distribution_score(spark, d):
+    e = events(spark, d).select("event_id", F.array(*[F.lit(x) for x in (0.2, 0.3, 0.3, 0.2)]).alias("pmf"), F.floor(F.col("value") / 20).cast("int").alias("a"))
+    return B.crps(e, "event_id", "pmf", "a").withColumn("crps", F.round("crps", 6))
+
+
+@query("SELECT event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), ',') AS history FROM events")
+def recent_sequences(spark, d):
+    out = B.recent_sequences(events(spark, d), "user_id", ["ts", "event_id"], ["event_type"])
+    joined = F.when(F.size("history") > 0, F.array_join(F.transform("history", lambda x: x["event_type"]), ","))
+    return out.select("event_id", joined.alias("history"))
+
+
+@query("SELECT date_trunc('month', l_shipdate)::DATE AS period, l_returnflag, count(*) AS n_bets, count(*) FILTER (l_discount > l_tax) AS n_won, round(sum(l_discount - l_tax), 5) AS profit, round(avg(l_discount - l_tax), 6) AS yield FROM lineitem GROUP BY 1, 2")
+def bet_report(spark, d):
+    bets = table(spark, d, "lineitem").withColumn("pnl", F.col("l_discount") - F.col("l_tax"))
+    return B.bet_report(bets, "l_shipdate", "month", ["l_returnflag"]).withColumns({"profit": F.round("profit", 5), "yield": F.round("yield", 6)})
+
+
+@query("SELECT votes, count(*) AS n FROM (SELECT (CASE WHEN o_totalprice > 150000 THEN 1 ELSE -1 END + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END + CASE WHEN o_orderpriority < '3' THEN 1 ELSE -1 END) AS votes FROM orders) GROUP BY 1")
+def rule_votes(spark, d):
+    rules = {"rich": F.col("o_totalprice") > 150_000, "done": F.col("o_orderstatus") == "F", "soon": F.col("o_orderpriority") < "3"}
+    return table(spark, d, "orders").groupBy(B.rule_votes(rules).alias("votes")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def clustered_bootstrap(spark, d):
+    return B.clustered_bootstrap(events(spark, d), "user_id", "value", "event_type")
+
+
 # Ratings, chains, features ---------------------------------------------------
 
 def pairings(spark, d):
