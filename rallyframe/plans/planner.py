@@ -51,6 +51,18 @@ class _Context:
     def column(self, spec: str) -> Column:
         return F.col(f"`{self.engine.resolve(spec)[0]}`")
 
+    def pooled(self, num: str, den: str, by: tuple[str, ...] = ()) -> Column:
+        """The overall ratio of two columns, or of each row's stratum."""
+        known = self.engine.pools[num, den, by]
+        if not by:
+            return F.lit(known.get((), None)).cast("double")
+        out = None
+        for key, m in known.items():
+            if m is not None:
+                test = F.col(by[0]).eqNullSafe(F.lit(key[0]))
+                out = F.when(test, F.lit(m)) if out is None else out.when(test, F.lit(m))
+        return out if out is not None else F.lit(None).cast("double")
+
     def opponent(self, spec: str) -> Column:
         return F.col(f"`opp:{self.engine.resolve(spec)[0]}`")
 
@@ -60,6 +72,7 @@ class FeatureEngine:
 
     def __init__(self, registry: Registry, match: str = "match_uid", player: str = "player_id"):
         self.registry, self.match, self.player = registry, match, player
+        self.pools: dict[tuple, dict] = {}
 
     def resolve(self, spec: str) -> tuple[str, dict, object]:
         """Canonical name, parameters and declaration; raw columns have none."""
@@ -75,7 +88,9 @@ class FeatureEngine:
         return canonical(name, params), params, f
 
     def phases(self, specs: list[str], raw: list[str]) -> list[list[str]]:
-        """Canonical names by phase: each needs only raw columns and earlier phases."""
+        """Canonical names by phase: each needs only raw columns and earlier
+        phases. A need that names a raw column is that column, even if a
+        feature shares its name."""
         depth: dict[str, int] = {}
 
         def visit(spec: str, above: tuple[str, ...]) -> int:
@@ -87,7 +102,7 @@ class FeatureEngine:
                     raise KeyError(f"neither a feature nor a column: {key}")
                 return 0
             if key not in depth:
-                depth[key] = 1 + max([0, *(visit(n.format(**params), (*above, key)) for n in f.needs)])
+                depth[key] = 1 + max([0, *(visit(n.format(**params), (*above, key)) for n in f.needs if n not in raw)])
             return depth[key]
 
         for s in specs:
@@ -100,7 +115,9 @@ class FeatureEngine:
     def compute(self, df: DataFrame, specs: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
         """Keys, ``extra`` columns and one column a spec, named as written."""
         context = _Context(self)
-        for phase in self.phases(specs, df.columns):
+        phases = self.phases(specs, df.columns)
+        self._measure(df, [self.resolve(key)[2].pool for phase in phases for key in phase])
+        for phase in phases:
             declared = [(key, *self.resolve(key)[1:]) for key in phase]
             needed = sorted({self.resolve(n.format(**p))[0] for _, p, f in declared if f.mirror for n in f.needs})
             if needed:
@@ -114,6 +131,18 @@ class FeatureEngine:
             df = df.drop(*[f"opp:{n}" for n in needed])
         return df.select(self.match, self.player, *extra, *[F.col(f"`{self.resolve(s)[0]}`").alias(s) for s in specs if self.resolve(s)[2] is None or self.resolve(s)[2].transform is None])
 
+    def _measure(self, df: DataFrame, pools: list) -> None:
+        """Overall ratios that shrunk features need: one pass for all without
+        strata, one for each kind of strata. A stratum is a surface or the
+        like: what comes back is a few rows."""
+        for by in {p[2] for p in pools if p}:
+            wanted = sorted({p[:2] for p in pools if p and p[2] == by})
+            both = lambda a, b, c: F.sum(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c)))
+            sums = [F.try_divide(both(a, b, a), both(a, b, b)).cast("double").alias(f"m{i}") for i, (a, b) in enumerate(wanted)]
+            rows = (df.groupBy(*by) if by else df).agg(*sums).collect()
+            for i, pair in enumerate(wanted):
+                self.pools[*pair, by] = {tuple(r[b] for b in by): r[f"m{i}"] for r in rows}
+
     def _with_opponent(self, df: DataFrame, names: list[str]) -> DataFrame:
         w = Window.partitionBy(self.match).orderBy(self.player)
         both = F.struct(*[F.col(f"`{n}`").alias(f"f{i}") for i, n in enumerate(names)])

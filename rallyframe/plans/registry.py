@@ -21,6 +21,7 @@ class Feature:
     params: dict = field(default_factory=dict)
     mirror: bool = False
     transform: Callable[[DataFrame], DataFrame] | None = None
+    pool: tuple[str, str, tuple[str, ...]] | None = None
 
 
 class Registry:
@@ -32,6 +33,15 @@ class Registry:
             raise ValueError(f"feature {f.name} is declared twice")
         self.features[f.name] = f
 
+    def declare(self, name: str, build: Callable, needs: tuple[str, ...], params: dict, pool: tuple[str, str, tuple[str, ...]] | None = None) -> None:
+        """A feature built by a function made in a loop. ``pool`` names the
+        columns (and strata) whose overall ratio it needs."""
+        self._add(Feature(name, build, tuple(dict.fromkeys(needs)), params, False, None, pool))
+
+    def opponent(self, base: str) -> None:
+        """The opponent's value of ``base``, as opp_``base``."""
+        self.pair(f"opp_{base}", base, lambda a, b: b)
+
     def feature(self, *needs: str, mirror: bool = False):
         """Declare the decorated function as a feature of its name. A need may
         name a parameter in braces: ``wins(days={days})``."""
