@@ -29,7 +29,8 @@ def rarest_terms(items: DataFrame, docs_terms: DataFrame, window: int) -> DataFr
     """For every window of every item the two positions whose terms are rarest
     in the corpus: rows (term, item, at, need), distinct over an item's windows.
 
-    Windows with a term that the corpus lacks can't occur and are left out.
+    Terms that the corpus lacks are passed over: such a window can't occur, but
+    may be met nearly. Windows with fewer than two known terms are left out.
     ``need`` is 1 for items of one word, which have a single position.
     """
     at = items.select("item", F.posexplode("item_terms").alias("at", "term"), F.size("item_terms").alias("len"))
@@ -38,8 +39,9 @@ def rarest_terms(items: DataFrame, docs_terms: DataFrame, window: int) -> DataFr
     ranked = at.join(frequency, "term", "left").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "term", "n"))).alias("all"))
     width = F.least(F.size("all"), F.lit(window))
     each = ranked.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("all") - width + 1), lambda s: F.slice("all", s, width))).alias("win"))
-    each = each.where(~F.exists("win", lambda t: t["n"].isNull()))
-    order = F.sort_array(F.transform("win", lambda t: F.struct(t["n"].alias("n"), t["at"].alias("at"), t["term"].alias("term"))))
+    known = F.filter("win", lambda t: t["n"].isNotNull())
+    each = each.where(F.size(known) >= F.least(F.size("win"), F.lit(2)))
+    order = F.sort_array(F.transform(known, lambda t: F.struct(t["n"].alias("n"), t["at"].alias("at"), t["term"].alias("term"))))
     return settle(each.select("item", F.explode(F.slice(order, 1, 2)).alias("t"), F.least(F.size("win"), F.lit(2)).alias("need"))
                   .select(F.col("t.term").alias("term"), "item", F.col("t.at").alias("at"), "need").distinct())
 

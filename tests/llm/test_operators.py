@@ -163,7 +163,7 @@ def test_op5_edges(edges, empty):
 
 def test_op5_boilerplate(spark):
     note = " ".join(f"license{i}" for i in range(30))
-    body = lambda i: " ".join(f"a{i}b{j}" for j in range(25))
+    body = lambda i: " ".join(f"{chr(97 + i)}x{chr(97 + j)}" for j in range(25))
     rows = [(i, f"{body(i)}\n{note}", "h") for i in range(15)] + [(99, f"short {note}\n{note}", "h"), (100, f"{note}\ntwo", "h")] + [(200 + i, body(7), "g") for i in range(40)]
     got = {r.doc_id: r for r in rules.judge_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[i].kept and got[i].words_left == 25 for i in range(15)) and not got[100].kept and got[100].words_left == 1
