@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,13 +15,18 @@ from .components import components
 shipped(sketch)
 
 WIDTH = 5
-#: 25 bands of 5 coordinates miss a pair of similarity 0.85 once in 2 million,
-#: one of 0.8 once in 20,000; more bands are taken for lower thresholds.
-BANDS, ROWS = 25, 5
+#: Coordinates in a band, and how rarely a pair at the threshold may share none.
+ROWS, MISS = 5, 5e-7
 #: Id tables up to so many rows are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 200_000
 
 
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """Bands that a pair at the threshold misses once in two million: 25 for a
+    similarity of 0.85, 37 for 0.8."""
+    return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows))) if percent < 100 else 1
+
+
 def similar(both: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     """100 * |a and b| >= percent * |a or b|."""
     return 100 * both >= percent * (n_a + n_b - both)
@@ -122,7 +128,7 @@ def _placed(docs: DataFrame, text: str, doc_id: str, percent: int, width: int, b
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
     keyed = docs.select(F.struct("doc_id", k1.alias("_k1"), k2.alias("_k2")).alias("row"), "text")
-    n_bands = bands or (BANDS if percent >= 85 else 2 * BANDS)
+    n_bands = bands or bands_for(percent, rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = keyed.mapInArrow(partial(sketch.sketch_batches, t=n_bands * rows, rows=rows, width=width), f"row struct<doc_id:{kind},_k1:bigint,_k2:int>, n_shingles bigint, digest binary, bands array<bigint>")
     sketched = settle(made.select("row.*", "n_shingles", "digest", "bands"))
