@@ -99,3 +99,22 @@ def test_against_brute_force(matches, raw):
         assert g["h2h_wins"] == (sum(x["won"] for x in met) if met else None)
         here = before(raw, r, tournament_id=r["tournament_id"], year=r["year"])
         assert g["tourn_games_won"] == (sum(x["games_won"] for x in here) if here else None)
+
+
+def test_tour_ratings(matches):
+    from rallyframe.operators import tour_ratings as T
+
+    rated = T.rate_players(T.observations(matches.withColumns({f"{s}_tb{i}": F.lit(None).cast("int") for s in ("player", "opp") for i in range(1, 6)}).withColumn("opp_svc_aces", F.lit(3.0))))
+    rows = rated.orderBy("effective_match_date", "round_order", "match_uid", "player_id").collect()
+    assert len(rows) == 240 and set(f"player_{f}" for f in T.FIELDS) <= set(rated.columns)
+    by = {(r.match_uid, r.player_id): r for r in rows}
+    assert all(r.opp_elo == by[r.match_uid, r.opp_id].player_elo for r in rows)
+    first = rows[0]
+    other = by[first.match_uid, first.opp_id]
+    a, b = T.Player(first.player_rank), T.Player(other.player_rank)
+    assert first.player_elo == pytest.approx(a.now["elo"]) and other.player_elo == pytest.approx(b.now["elo"])
+    seen = [{k: r[f"seen_{k}"] for k in T.SEEN} for r in (first, other)]
+    T.play(a, b, bool(first.won), first.surface.lower(), first.indoor, first.round, first.tournament_level, first.effective_match_date, *seen)
+    again = next(r for r in rows[2:] if r.player_id == first.player_id)
+    assert again.player_elo == pytest.approx(a.now["elo"]) and again.player_serve_elo == pytest.approx(a.now["serve_elo"]) and again.player_glicko_mu == pytest.approx(a.now["glicko_mu"])
+    assert again.player_elo_rd >= a.now["elo_rd"]
