@@ -243,3 +243,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_html_tables(spark):
+    from rallyframe.sources import web
+
+    page = "<table><tr><th>Player<th>Pts<tr><td><a href='/p/1'>A. One</a><td>1&nbsp;200</tr><tr><td>B Two<table><tr><td>inner</table></td><td>9</td></table><p>after"
+    df = spark.createDataFrame([(1, page), (2, None), (3, "<table>")], "id long, html string")
+    rows = web.html_tables(df, "id", "html")
+    assert sorted((r.table, r.row, r.header, tuple(r.cells), r.links[0]) for r in rows.collect()) == [(0, 0, True, ("Player", "Pts"), None), (0, 1, False, ("A. One", "1 200"), "/p/1"), (0, 2, False, ("B Two", "9"), None), (1, 0, False, ("inner",), None)]
+    assert [(r.row, r.fields) for r in web.records(rows, "id").orderBy("row").collect()] == [(1, {"Player": "A. One", "Pts": "1 200"}), (2, {"Player": "B Two", "Pts": "9"})]
