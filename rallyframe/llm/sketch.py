@@ -45,9 +45,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[joined]
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
-    # Horner's rule from the right, by suffix sums: the word [s, e) is
-    # (sum of c[j] * B^j over it) / B^s; instead of dividing, both s-dependent
-    # factors are removed by the inverse power.
+    # A word [s, e) hashes to the sum of c[j] * B^(j - s) over it: a difference
+    # of prefix sums of c[j] * B^j, times the inverse of B^s modulo 2^64.
     powers = _powers(len(joined) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(_BYTE[_LOWER[joined]] * powers[:-1])))
     inverse = U(pow(int(_BASE), -1, 1 << 64))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from test_operators import EDGES, SCHEMA, contamination, links  # noqa: E402
 
-from rallyframe.llm.common import settle  # noqa: E402
+from rallyframe.llm.common import release, settle  # noqa: E402
 
 
 def test_stages(spark, sf):
@@ -36,3 +36,12 @@ def test_odd_tables(spark, sf, rows):
     for _, stage in corpus_pipeline.STAGES:
         docs = settle(stage(spark, docs, sf))
     assert docs.count() <= len(rows)
+
+
+def test_release(spark):
+    held = settle(spark.range(3))
+    files = held.inputFiles()
+    assert held.count() == 3 and files
+    release(spark)
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        spark.read.schema(held.schema).parquet(*files).count()
