@@ -115,11 +115,13 @@ def random_strings(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
 
 
 def ordinary_strings(docs: DataFrame, labelled: DataFrame, n: int = SAMPLES) -> DataFrame:
-    """Labelled ordinary strings: identifiers joined from the words of documents
-    of good quality, at most ``n`` documents' first draws by hash of the id."""
+    """Labelled ordinary strings: identifiers joined from the words of ``n`` / 20
+    documents of good quality, drawn by a hash of the id. Those few ids are
+    broadcast, so the documents are only read."""
     good = labelled.where("quality = 1").select("doc_id").distinct()
+    few = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, n // 20))
     w = F.filter(F.split(F.col("text"), r"[^A-Za-z0-9]+"), lambda x: x.rlike("^[A-Za-z]{2,}$"))
-    chosen = docs.select("doc_id", "text").join(good, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, n // 20))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id", "left_semi")
     three = lambda x, i: F.slice(x, i * 3 - 2, 3)
     joined = let(w, lambda x: F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.get(F.array(*[F.array_join(three(x, i), by) for by in "_-/"], F.array_join(three(x, i), "")), i % 4)))
     return chosen.select(F.explode(F.filter(joined, lambda x: F.char_length(x) > 0)).alias("text"), F.lit(0).alias("label"))
