@@ -36,36 +36,43 @@ def _few(ids: DataFrame) -> bool:
     return ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full shingle sets are similar enough. Sets
-    of no pair are left out before the shuffle while the ids are few."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, both, n_a, n_b): items that the two full sets of each pair share,
+    and their sizes. Sets of no pair are left out before the shuffle while the
+    ids are few."""
     pairs = settle(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    ids = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     if _few(ids):
         sets = sets.join(F.broadcast(ids), "c", "left_semi")
     left = pairs.join(sets.select(F.col("c").alias("b"), F.col("items").alias("items_b")), "b")
-    both = left.join(sets.select(F.col("c").alias("a"), F.col("items").alias("items_a")), "a")
-    shared = F.size(F.array_intersect("items_a", "items_b"))
-    return settle(both.where(similar(shared, F.size("items_a"), F.size("items_b"), percent)).select("a", "b"))
+    met = left.join(sets.select(F.col("c").alias("a"), F.col("items").alias("items_a")), "a")
+    size = lambda c: F.size(c).cast("long")
+    return settle(met.select("a", "b", size(F.array_intersect("items_a", "items_b")).alias("both"), size(F.col("items_a")).alias("n_a"), size(F.col("items_b")).alias("n_b")))
+
+
+def links_of(counted: DataFrame, percent: int) -> DataFrame:
+    return counted.where(similar(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
 def peel(sets: DataFrame, percent: int) -> DataFrame:
-    """(c, n, u) of the sets that may still be linked with another of ``sets``.
+    """(c, n, u, u_all) of the sets that may still be linked with another of ``sets``.
 
     A set whose share of items found in no other set exceeds 100 - percent has
     no partner. Leaving such sets out makes other items unique, so this repeats
     while a round leaves out a tenth; stopping early is as exact, as it only
-    keeps more. u counts the unique items among the sets of the last round.
+    keeps more. u counts the unique items among the sets of the last round,
+    u_all those among all ``sets``.
     """
-    sets = settle(sets.select("c", F.xxhash64("c").alias("h"), "items"))
+    sets, first = settle(sets.select("c", F.xxhash64("c").alias("h"), "items")), None
     while True:
         held = sets.select("h", F.explode("items").alias("item"))
         alone = held.groupBy("item").agg(F.count(F.lit(1)).alias("k"), F.min("h").alias("h")).where("k = 1").groupBy("h").agg(F.count(F.lit(1)).alias("u"))
         counted = sets.select("c", "h", F.size("items").cast("long").alias("n")).join(alone, "h", "left").withColumn("u", F.coalesce("u", F.lit(0)))
         left = settle(counted.where(100 * F.col("u") <= (100 - percent) * F.col("n")).select("c", "n", "u"))
         before, now = sets.count(), left.count()
+        first = left.select("c", F.col("u").alias("u_all")) if first is None else first
         if 10 * (before - now) <= before or not now:
-            return left
+            return left.join(first, "c")
         sets = settle(sets.join(left.select("c"), "c", "left_semi"))
 
 
@@ -77,7 +84,10 @@ def link_classes(classes: DataFrame, docs: DataFrame, percent: int, width: int =
     is compared with the band's other sets: a star, however large the band.
     That joins what lies near the centre of a group. Then, in bands that still
     hold several components, the pairs between components are compared, except
-    those that exact bounds on their unique shingles rule out.
+    those that exact bounds rule out: by their unique shingles, and by what each
+    shares with the band's centre. Of what x and y have in common, what the
+    centre has too is at most the lesser of their shares of it, and the rest at
+    most the lesser of their other shingles that are not unique.
     """
     banded = classes.select("c", "doc_id", "n", "bands", F.explode("bands").alias("key"))
     shared = settle(banded.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
@@ -89,21 +99,26 @@ def link_classes(classes: DataFrame, docs: DataFrame, percent: int, width: int =
     sized = (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")) & (F.col("a") != F.col("c"))
     pairs = members.join(pivots, "key").where(sized).select("a", F.col("c").alias("b")).distinct()
     sets = shingle_sets(docs, central, width)
-    links = verify(pairs, sets, percent)
+    tested = overlaps(pairs, sets)
+    links = links_of(tested, percent)
     first = settle(components(links.unionByName(central.select(F.col("c").alias("a"), F.col("c").alias("b")))))
 
     placed = settle(members.select("key", "c").join(first.withColumnRenamed("node", "c"), "c"))
     mixed = settle(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
     open_rows = settle(placed.join(mixed, "key"))
     left = peel(sets.join(open_rows.select("c").distinct(), "c", "left_semi"), percent)
-    rows = settle(open_rows.join(left, "c").join(classes.select("c", "bands"), "c"))
-    x, y = (rows.select("key", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "component", "n", "u", "bands")]) for s in "xy")
+    rows = open_rows.join(left, "c").join(classes.select("c", "bands"), "c").join(pivots.select("key", "a"), "key")
+    rows = rows.join(tested.select("a", F.col("b").alias("c"), "both"), ["a", "c"], "left").withColumn("s", F.when(F.col("a") == F.col("c"), F.col("n")).otherwise(F.col("both")))
+    rows = settle(rows.select("key", "c", "component", "n", "u", "bands", "s", (F.col("n") - F.col("s") - F.col("u_all")).alias("o")))
+    x, y = (rows.select("key", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "component", "n", "u", "bands", "s", "o")]) for s in "xy")
     common = [F.col(f"n_{s}") - F.col(f"u_{s}") for s in "xy"]
     possible = 100 * F.least(*common) >= percent * (F.col("u_x") + F.col("u_y") + F.greatest(*common))
+    through = F.least("s_x", "s_y") + F.least("o_x", "o_y")
+    possible &= F.coalesce(F.when(F.col("s_x").isNotNull() & F.col("s_y").isNotNull(), similar(through, F.col("n_x"), F.col("n_y"), percent)), F.lit(True))
     once = F.get(F.filter(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), F.lit(0)) == F.col("key")
     rest = x.join(y, "key").where((F.col("c_x") < F.col("c_y")) & (F.col("component_x") != F.col("component_y")) & possible & once).select(F.col("c_x").alias("a"), F.col("c_y").alias("b"), "component_x", "component_y")
     rest = settle(rest)
-    more = verify(rest.select("a", "b"), sets, percent)
+    more = links_of(overlaps(rest.select("a", "b"), sets), percent)
     bridges = settle(more.join(rest, ["a", "b"]).select(F.col("component_x").alias("a"), F.col("component_y").alias("b")).distinct())
     second = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("final"))
     return settle(first.join(second, "component", "left").select("node", F.coalesce("final", "component").alias("component")))
