@@ -123,4 +123,18 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array_sort(F.array_distinct(F.transform("_exact", lambda s: s["item_id"])))
     return out.withColumn("_hit", covered_words(F.col("_exact"))).select(
         "doc_id", F.col("_n_words").alias("n_words"), F.col("_hit").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), contaminated(F.col("_hit"), F.col("_n_words")).alias("contaminated"), F.size("_near").cast("long").alias("n_near"))
+        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), contaminated(F.col("_hit"), F.col("_n_words")).alias("contaminated"))
+
+
+ORACLE_OP6 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+i AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS win FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM i)),
+dw AS (SELECT rid, n, s, array_to_string(w[s:s + n - 1], ' ') AS win FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+m AS (SELECT rid, item_id, s, dw.n FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM m) GROUP BY rid),
+f AS (SELECT rid, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT rid, item_id FROM m) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN f USING (rid)
+"""

@@ -20,5 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_mix_sources": mixing.ORACLE_OP2,
     "op5_quality_rules": rules.ORACLE_OP5,
+    "op6_decontaminate": decontam.ORACLE_OP6,
     "op9_line_dedup": linededup.ORACLE_OP9,
+    "op10_near_dedup": neardup.ORACLE_OP10,
 }
