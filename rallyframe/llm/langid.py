@@ -19,6 +19,9 @@ SLOTS, HASHES, GRAMS = 1 << 20, 3, 20_000
 #: An n-gram is entered for a language if seen so often there, and at least this
 #: share as frequent as where it is most frequent.
 LEAST, SHARE = 3, 0.3
+#: Labelled documents of each language that its usual share is measured on, about,
+#: and the part of it that a text must reach to count as that language.
+LEVEL_DOCS, BAR = 500, 0.5
 UNKNOWN = "und"
 
 _U = np.uint64
@@ -84,6 +87,7 @@ class LanguageFilters:
         self.words = max(1, -(-len(langs) // 64))
         self.slots = np.zeros((SLOTS, self.words), np.uint64)
         self.false = np.zeros(len(langs))
+        self.level = np.ones(len(langs))
 
     @staticmethod
     def places(hashes: np.ndarray) -> list[np.ndarray]:
@@ -119,13 +123,21 @@ class LanguageFilters:
         winner's part of all languages' shares to the fourth power, as related
         languages hold many of each other's n-grams; with no evidence it is 0
         and the most frequent language is returned. Ties go to the first by name."""
+        return self.answers(self.shares(texts)) if texts else []
+
+    def answers(self, shares: np.ndarray) -> list[tuple[str, float]]:
         out = []
-        for row in self.shares(texts) ** 4 if texts else []:
+        for row in shares**4:
             total = float(row.sum())
             best = int(np.argmax(row)) if total else self.common
             out.append((self.langs[best], float(row[best]) / total if total else 0.0))
         return out
 
+    def evidence(self, shares: np.ndarray) -> np.ndarray:
+        """The best of a text's shares, each as a part of what texts of that
+        language usually reach (``level``)."""
+        return (shares / self.level).max(axis=1)
+
 
 def fit_languages(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", n: int = TRAIN_DOCS) -> LanguageFilters:
     """Filters learnt from about ``n`` training documents of each language,
@@ -152,11 +164,48 @@ def fit_languages(docs: DataFrame, train: Column, text: str = "text", lang: str
     return filters
 
 
-def language_batches(batches, state):
-    """(carried..., text, has a letter) -> (carried..., lang_pred, score).
-    ``state``: the filters' fields, as plain data."""
+def restored(state) -> LanguageFilters:
     filters = LanguageFilters.__new__(LanguageFilters)
     filters.__dict__.update(state.value)
+    return filters
+
+
+def own_share_batches(batches, state):
+    """(lang, text) -> (lang, share): the text's share in its labelled language."""
+    filters = restored(state)
+    for batch in batches:
+        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        own = [float(filters.shares([t])[0, filters.langs.index(g)]) for g, t in zip(langs, texts, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64())], ["lang", "share"])
+
+
+def fit_levels(docs: DataFrame, filters: LanguageFilters, held: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", n: int = LEVEL_DOCS) -> LanguageFilters:
+    """``filters`` with each language's level: the median share of about ``n``
+    of its held-out texts, drawn by a hash of the id; of all its labelled
+    texts, if none is held out. Texts without a letter don't count."""
+    lettered = F.col(text).rlike(r"\p{L}") & F.col(lang).isin(filters.langs)
+    known = docs.where(lettered).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), held.alias("held"))
+    sizes: dict[str, dict[bool, int]] = {}
+    for r in known.groupBy("lang", "held").count().collect():
+        sizes.setdefault(r.lang, {})[r.held] = r["count"]
+    if not sizes:
+        return filters
+    part = {k: min(1.0, n / x.get(True, sum(x.values()))) for k, x in sizes.items()}
+    share = F.create_map(*[F.lit(x) for kx in part.items() for x in kx])
+    thin = [k for k, x in sizes.items() if True not in x]
+    draw = (F.xxhash64("doc_id", F.lit(1)) % 1_000_003 + 1_000_003) % 1_000_003 / F.lit(1_000_003)
+    drawn = known.where((F.col("held") | F.col("lang").isin(thin)) & (draw < F.element_at(share, F.col("lang")))).select("lang", "text")
+    state = docs.sparkSession.sparkContext.broadcast(dict(filters.__dict__))
+    own = drawn.mapInArrow(lambda it: own_share_batches(it, state), "lang string, share double")
+    for r in own.groupBy("lang").agg(F.percentile("share", 0.5).alias("level")).collect():
+        filters.level[filters.langs.index(r.lang)] = r.level or 1.0
+    return filters
+
+
+def language_batches(batches, state):
+    """(carried..., text, has a letter) -> (carried..., lang_pred, score, evidence).
+    ``state``: the filters' fields, as plain data."""
+    filters = restored(state)
     for batch in batches:
         n = batch.num_columns - 2
         texts, lettered = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
@@ -164,7 +213,9 @@ def language_batches(batches, state):
         known = bool(filters.langs)
 
         def flush():
-            found.extend(filters.decide(block))
+            if block:
+                shares = filters.shares(block)
+                found.extend((*a, float(e)) for a, e in zip(filters.answers(shares), filters.evidence(shares), strict=True))
             block.clear()
 
         for t, ok in zip(texts, lettered, strict=True):
@@ -176,21 +227,21 @@ def language_batches(batches, state):
                     size = 0
         flush()
         answers = iter(found)
-        rows = [next(answers) if ok and known else (UNKNOWN, 0.0) for ok in lettered]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], [*batch.schema.names[:n], "lang_pred", "score"])
+        rows = [next(answers) if ok and known else (UNKNOWN, 0.0, 0.0) for ok in lettered]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.float64()) for k in (1, 2))], [*batch.schema.names[:n], "lang_pred", "score", "evidence"])
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry``, lang_pred and score for every row, from its whole text. A null
-    text, one without a letter, or any text if nothing was learnt, is ``und``
-    with score 0. Carried columns go through unchanged, as one struct."""
+    """``carry``, lang_pred, score and evidence (see ``LanguageFilters``) for every
+    row, from its whole text. A null text, one without a letter, or any text if
+    nothing was learnt, is ``und`` with score and evidence 0. Carried columns go through unchanged, as one struct."""
     known = docs.sparkSession.sparkContext.broadcast(dict(filters.__dict__))
     row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")
     has_letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("_letter")
     given = docs.select(row, F.col(f"`{text}`").alias("_text"), has_letter)
     kind = given.schema["_row"].dataType.simpleString()
-    out = given.mapInArrow(lambda it: language_batches(it, known), f"_row {kind}, lang_pred string, score double")
-    return out.select(*[F.col("_row")[c].alias(c) for c in carry], "lang_pred", "score")
+    out = given.mapInArrow(lambda it: language_batches(it, known), f"_row {kind}, lang_pred string, score double, evidence double")
+    return out.select(*[F.col("_row")[c].alias(c) for c in carry], "lang_pred", "score", "evidence")
 
 
 def training_fold(doc_id: Column) -> Column:

@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage against brute force, and on odd tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +40,20 @@ def test_odd_tables(spark, sf, rows):
     assert docs.count() <= len(rows)
 
 
+def test_language_id_rejects_unlearnt_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(5)
+    junk = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(200))
+    greek = "η γρήγορη αλεπού πηδά πάνω από το σκυλί " * 20
+    odd = [(-1, greek, None, "o", len(greek)), (-2, junk, None, "o", len(junk)), (-3, "Ж", None, "o", 1)]
+    both = " ".join(r.text for r in docs.where("lang IN ('en', 'fr') AND n_chars > 500").orderBy("n_chars").limit(2).collect())
+    odd.append((-4, both, None, "o", len(both)))
+    given = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, given, sf).collect()}
+    clean = {r.doc_id for r in docs.where("text RLIKE '[a-zA-Z]'").collect()}
+    assert kept == clean | {-4}
+
+
 def test_release(spark):
     held = settle(spark.range(3))
     files = held.inputFiles()
