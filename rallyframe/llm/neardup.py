@@ -77,8 +77,9 @@ def peel(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
-    """(node, component) over the distinct shingle sets ``classes`` (c, doc_id,
-    n, bands): every set that shares a band with another.
+    """(node, component) over the distinct shingle sets ``classes`` (c, row,
+    n, bands): every set that shares a band with another. ``row`` is the row key
+    of one of the set's rows in ``docs`` (text, _k1, _k2).
 
     First each band's most central set (the one whose bands are the fullest)
     is compared with the band's other sets: a star, however large the band.
@@ -89,10 +90,10 @@ def link_classes(classes: DataFrame, docs: DataFrame, percent: int, width: int =
     centre has too is at most the lesser of their shares of it, and the rest at
     most the lesser of their other shingles that are not unique.
     """
-    banded = classes.select("c", "doc_id", "n", "bands", F.explode("bands").alias("key"))
+    banded = classes.select("c", "row", "n", "bands", F.explode("bands").alias("key"))
     shared = settle(banded.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
     members = settle(banded.drop("bands").join(shared, "key"))
-    central = members.groupBy("c").agg(F.sum("held").alias("weight"), F.first("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    central = members.groupBy("c").agg(F.sum("held").alias("weight"), F.first("row").alias("row"), F.first("n").alias("n"))
     central = settle(central)
     members = settle(members.select("key", "c").join(central.select("c", "weight", "n"), "c"))
     pivots = settle(members.groupBy("key").agg(F.max(F.struct("weight", "c", "n")).alias("p")).select("key", F.col("p.c").alias("a"), F.col("p.n").alias("n_a")))
@@ -125,10 +126,10 @@ def link_classes(classes: DataFrame, docs: DataFrame, percent: int, width: int =
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(c, items) for the classes ``wanted`` (c, doc_id), from the whole texts."""
-    ids = settle(wanted.select("doc_id").distinct())
-    ids = F.broadcast(ids) if _few(ids) else ids
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    """(c, items) for the classes ``wanted`` (c, row), from the whole texts."""
+    keys = settle(wanted.select("row.*").distinct())
+    keys = F.broadcast(keys) if _few(keys) else keys
+    texts = docs.join(keys, ["_k1", "_k2"], "left_semi").select("_k1", "text")
     made = texts.mapInArrow(partial(sketch.set_batches, width=width), "c binary, items array<bigint>")
     return settle(made.join(wanted.select("c"), "c", "left_semi").groupBy("c").agg(F.first("items").alias("items")))
 
@@ -152,13 +153,14 @@ def _placed(docs: DataFrame, text: str, doc_id: str, percent: int, width: int, b
     """``near_duplicates`` with the row key (_k1, _k2) of each row."""
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
-    keyed = docs.select(F.struct("doc_id", k1.alias("_k1"), k2.alias("_k2")).alias("row"), "text")
+    rows_of = docs.select("doc_id", "text", k1.alias("_k1"), k2.alias("_k2"))
+    keyed = rows_of.select(F.struct("doc_id", "_k1", "_k2").alias("row"), "text")
     n_bands = bands or bands_for(percent, rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = keyed.mapInArrow(partial(sketch.sketch_batches, t=n_bands * rows, rows=rows, width=width), f"row struct<doc_id:{kind},_k1:bigint,_k2:int>, n_shingles bigint, digest binary, bands array<bigint>")
     sketched = settle(made.select("row.*", "n_shingles", "digest", "bands"))
-    classes = settle(sketched.where("digest IS NOT NULL").groupBy(F.col("digest").alias("c")).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    linked = link_classes(classes.where("doc_id IS NOT NULL"), docs, percent, width)
+    classes = settle(sketched.where("digest IS NOT NULL").groupBy(F.col("digest").alias("c")).agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("_k1", "_k2")).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    linked = link_classes(classes.select("c", "row", "n", "bands"), rows_of.drop("doc_id"), percent, width)
     joined = classes.select("c", "doc_id").join(linked, F.col("c") == F.col("node"), "left").select("c", "doc_id", F.coalesce("component", "c").alias("component"))
     least = settle(joined.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     named = settle(joined.join(least, "component").select(F.col("c").alias("digest"), "component_id"))

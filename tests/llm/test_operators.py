@@ -325,6 +325,19 @@ def test_op10_edges(edges, empty):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.drop_near_duplicates(empty).count() == 0
 
 
+def test_op10_null_ids_take_part(spark):
+    word = lambda *changed: " ".join(f"v{i}" if i in changed else f"w{i}" for i in range(200))
+    far = lambda *changed: word(*changed).replace("w", "x").replace("v", "y")
+    rows = [(5, word()), (None, word(20)), (1, far(10, 40, 70)), (None, far(10, 40, 70, 100, 130)), (2, far(10, 40, 70, 100, 130, 160, 190)), (None, "z " + far().replace("x", "n")), (None, far().replace("x", "n"))]
+    assert links([(i, t) for i, (_, t) in enumerate(rows) if i in (2, 4)], 85)[4][1] == 4
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.text: (r.component_id, r.kept) for r in neardup.near_duplicates(df, percent=85).join(df, "doc_id").select("text", "component_id", "kept").collect()}
+    assert got == {rows[0][1]: (5, True), rows[2][1]: (1, True), rows[4][1]: (1, False)}
+    nulls = [(r.component_id, r.kept) for r in neardup.near_duplicates(df, percent=85).collect() if r.doc_id is None]
+    assert sorted(nulls, key=str) == [(1, False), (5, False), (None, True), (None, True)]
+    assert sorted(r.text for r in neardup.drop_near_duplicates(df, percent=85).collect()) == sorted(rows[i][1] for i in (0, 2, 5, 6))
+
+
 def test_sketches_estimate_similarity():
     a = [b" ".join(b"t%d" % i for i in range(400))]
     b = [b" ".join(b"t%d" % i for i in range(100, 500))]
