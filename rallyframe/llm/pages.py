@@ -26,6 +26,7 @@ CLOSED_BY = {
 }
 CLOSES_P = BLOCK - frozenset("html body head td th tr tbody thead tfoot caption option legend title summary".split())
 SCOPE = {"li": frozenset(["ul", "ol", "menu", "dir"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table", "tr"]), "th": frozenset(["table", "tr"]), "tbody": frozenset(["table"]), "tfoot": frozenset(["table"]), "option": frozenset(["select"])}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|=|["'])*+)(?:>|\Z)""", re.S)
@@ -181,9 +182,12 @@ def main_text(page: str | None, share: float = 0.2) -> str:
     """The article's blocks, one a line; empty for a null, empty or textless page.
 
     Paths whose fused score reaches ``share`` of the mean over article blocks
-    hold content. The innermost container of nine tenths of that content is the
-    article: all of its blocks are returned, headings and short paragraphs
-    too, but for link lists on other paths. Navigation, headers, footers,
+    hold content. The article is the outermost <article> with nine tenths of
+    that content or, without one, the innermost container of nine tenths: all
+    of its blocks are returned, headings and short paragraphs too, but for
+    link lists on other paths. Without an <article>, content outside the
+    container is returned as well, and the headings before content: those in
+    the page's <main>, if the container lies in one. Navigation, headers, footers,
     asides, forms, notices, adverts, scripts and reader comments, known by
     element, role, class or id, never count.
     """
@@ -217,7 +221,17 @@ def main_text(page: str | None, share: float = 0.2) -> str:
             node = node.parent
         return node is top
 
-    return "\n".join(blocks[i][0] for i in inside if (top is None or under(blocks[i][1])) and (i in chosen or 2 * blocks[i][2] < blocks[i][3] or blocks[i][1].name in ("h1", "h2", "h3", "h4", "h5", "h6")))
+    heading = {i for i in inside if blocks[i][1].name in HEADINGS}
+    taken = {i for i in inside if (top is None or under(blocks[i][1])) and (i in chosen or 2 * blocks[i][2] < blocks[i][3] or i in heading)}
+    if top is not None and not articles:
+        def main_of(node: _Node | None) -> _Node | None:
+            while node and node.name != "main":
+                node = node.parent
+            return node
+
+        scope, last = main_of(top), max(chosen)
+        taken |= chosen | {i for i in heading if i < last and (scope is None or main_of(blocks[i][1]) is scope)}
+    return "\n".join(blocks[i][0] for i in sorted(taken))
 
 
 def extract_batches(batches):

@@ -259,6 +259,20 @@ def test_op8_pages(page):
     assert pages.main_text(page) == PAGES[page]
 
 
+LINES = [f"Sentence {i} of the body, with some words, and more of them." for i in range(40)]
+BODY = "".join(f"<p>{x}</p>" for x in LINES)
+END = "A short conclusion, of few words, ends the text."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<main><h1>Title</h1><div class=body>{BODY}</div><section><p>{END}</p></section></main>", ["Title", *LINES, END]),
+    (f"<body><nav><a href=x>Home</a></nav><h1>Title</h1><div class=body>{BODY}</div><div><h2>Last</h2><p>{END}</p></div><footer>End, of it.</footer></body>", ["Title", *LINES, "Last", END]),
+    (f"<body><h3>Site</h3><main><h1>Title</h1><div class=body>{BODY}</div></main></body>", ["Title", *LINES]),
+])
+def test_op8_pages_without_article(page, want):
+    assert pages.main_text(page).split("\n") == want
+
+
 def test_op8_query_and_edges(spark, sf):
     got = queries.QUERIES["op8_main_text"](spark, sf).toPandas()
     assert len(got) == spark.read.parquet(f"{sf}/pages.parquet").count() and (got.text.str.len() == got.n_chars).all() and (got.n_chars > 0).all()
