@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -155,6 +157,49 @@ def test_op4_edges_and_markov(spark, sf, edges, empty):
     assert not any(secrets.train_markov(df.limit(0).withColumn("label", F.lit(1))))
 
 
+def test_op4_many_matches(spark, sf):
+    table = secrets.fit(spark, sf)
+    n, key = 30_000, "9f8e7d6c5b4a3Zk3vQ9xT2mLr8WpYb7NdJc4H"
+    rows = [(1, " ".join(f"token=abcdefgh{i}" for i in range(n))), (2, " ".join(f"token=abcdefgh{i} {i:x}{key}" for i in range(n)))]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
+    assert time.perf_counter() - began < 90
+    assert [(s.start, s.end) for s in got[1].base_spans] == [m.span() for m in ASSIGN.finditer(rows[0][1])] and not got[1].random_spans
+    assert [(s.start, s.end) for s in got[2].random_spans] == [m.span() for m in re.finditer(rf"\b[0-9a-f]+{key}", rows[1][1])] and len(got[2].base_spans) == n
+
+
+def test_op4_overlaps(spark):
+    spans = "array<struct<start:long,rank:int,end:long,value:string>>"
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(200):
+        cuts = sorted(rng.choice(400, 40, replace=False).tolist())
+        own = [(a, 3, b, "") for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        rows.append((i, own, sorted((int(a), 0, int(a + rng.integers(1, 30)), "") for a in rng.choice(400, 6))))
+    got = spark.createDataFrame(rows, f"i int, a {spans}, b {spans}").select("i", secrets.apart(F.col("a"), F.col("b")).alias("left")).collect()
+    for r in got:
+        _, own, others = rows[r.i]
+        assert [tuple(s) for s in r.left] == [s for s in own if not any(o[0] < s[2] and s[0] < o[2] for o in others)]
+
+
+def test_op4_models_on_held_out_strings(spark, sf):
+    """Models learnt from half the labelled strings judge the other half."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = secrets.random_strings(spark, 4000).unionByName(secrets.ordinary_strings(docs, labels, 4000)).withColumn("half", F.abs(F.xxhash64("text")) % 2)
+    table = secrets.train_markov(rows.where("half = 0"))
+    held = rows.where("half = 1 AND length(text) >= 16").select("label", "text", F.substring("text", 1, 16).alias("short"))
+    told = held.select("label", *[(secrets.llr(F.col(c), table) > secrets.THRESHOLD).cast("int").alias(c) for c in ("text", "short")]).toPandas()
+    hit, false = told[told.label == 1], told[told.label == 0]
+    assert hit.text.mean() > 0.99 and hit.short.mean() > 0.97 and false.text.mean() < 0.01 and false.short.mean() < 0.03, told.groupby("label").mean()
+
+
+def test_op4_short_keys_and_parts(spark, sf):
+    table = secrets.fit(spark, sf)
+    rows = ["x Zk3vQ9xT2mLr8WpY y", "see /usr/local/share/ordinary/words/Zk3vQ9xT2mLr8WpYb7 here", "card 4952935900253052", "LAAITIONELLEELLE", "name=internationalisations"]
+    got = {r.doc_id: [s.value for s in r.random_spans] for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), table).collect()}
+    assert got == {0: ["Zk3vQ9xT2mLr8WpY"], 1: ["Zk3vQ9xT2mLr8WpYb7"], 2: [], 3: [], 4: []}
+
+
 def test_op5_edges(edges, empty):
     got = {r.doc_id: r for r in rules.judge_documents(edges).collect()}
     assert got[1].n_words == 0 and got[1].base_failed and not got[1].kept and got[4].kept and got[4].n_words == 30_000
@@ -273,12 +318,86 @@ def test_op8_pages_without_article(page, want):
     assert pages.main_text(page).split("\n") == want
 
 
+WORDS = "the of and river stone light carried window under morning while city bridge quiet letters garden winter people across road".split()
+
+
+def sentence(r, least=8, most=20):
+    w = [r.choice(WORDS) for _ in range(r.randint(least, most))]
+    return (" ".join([*w[: len(w) // 2], w[len(w) // 2] + ("," if len(w) > 6 else ""), *w[len(w) // 2 + 1 :]])).capitalize() + "."
+
+
+def unnamed_page(r):
+    """A page whose class names mean nothing and that has no landmark, and its article."""
+    name = lambda: "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(6))
+    paragraph = lambda: " ".join(sentence(r) for _ in range(r.randint(2, 5)))
+    title = sentence(r, 4, 8)[:-1]
+    want, body, advert, part, sections = [title], [f"<h1>{title}</h1>"], name(), name(), r.random() < 0.5
+    for k in range(r.randint(3, 14)):
+        if sections and k % 4 == 3:
+            heading, texts = sentence(r, 2, 5)[:-1], [paragraph() for _ in range(r.randint(1, 3))]
+            want += [heading, *texts]
+            body.append(f"<section class={part}><h2>{heading}</h2>" + "".join(f"<p>{x}</p>" for x in texts) + "</section>")
+        elif k % 5 == 4:
+            items = [sentence(r, 2, 4)[:-1] for _ in range(r.randint(2, 9))]
+            want += items
+            body.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
+        else:
+            want.append(paragraph())
+            body.append(f"<p>{want[-1]}</p>")
+        if r.random() < 0.5:
+            body.append(f"<div class={advert}>" + r.choice(["<p>Buy now</p>", "Big sale today!", "<p>Only this week: half price</p>"]) + "</div>")
+    menu = "".join(f"<li><a href=/{i}>{r.choice(WORDS)} {r.choice(WORDS)}</a></li>" for i in range(r.randint(3, 12)))
+    more = "".join(f"<li><a href=/{i}>{sentence(r, 4, 9)}</a></li>" for i in range(r.randint(3, 8)))
+    one, by = name(), name()
+    comments = "".join(f"<div class={one}><span class={by}>{r.choice(WORDS)}</span><p>{sentence(r, 4, 14)}</p></div>" for _ in range(r.randint(4, 20)))
+    article = f"<div class={name()}>{''.join(body)}</div>"
+    article = f"<div class={name()}>{article}</div>" if r.random() < 0.3 else article
+    return (f"<html><body><div class={name()}><ul class={name()}>{menu}</ul></div>{article}<div class={name()}><h3>More</h3><ul>{more}</ul></div>"
+            f"<div class={name()}><h3>Say</h3>{comments}</div><div class={name()}>&copy; {r.choice(WORDS)} | <a href=/i>{r.choice(WORDS)}</a></div></body></html>"), "\n".join(want)
+
+
+def test_op8_meaningless_names():
+    r = random.Random(1)
+    for _ in range(200):
+        page, want = unnamed_page(r)
+        assert pages.main_text(page) == want
+
+
+def test_op8_threshold_decides():
+    """No block of a path below the cut comes back, but for headings."""
+    r = random.Random(2)
+    for _ in range(50):
+        page = unnamed_page(r)[0]
+        body = [b for b in pages._Reader().read(page) if b.node.name not in pages.HEADINGS]
+        scores = {p: s for p, s in pages.path_scores(body).items() if s > 0}
+        bar = pages.cut_scores(list(scores.values()))
+        high = {b.text for b in body if scores.get(b.node.path, 0) >= bar}
+        low = {b.text for b in body} - high
+        got = set(pages.main_text(page).split("\n"))
+        assert low and high <= got and not low & got
+
+
+def test_op8_form_and_marked_pages():
+    long = "".join(f"<p>{x}</p>" for x in LINES)
+    assert pages.main_text(f"<body><form id=page><div>{long}</div></form></body>").split("\n") == LINES
+    assert pages.main_text("<body><nav>a, b, c</nav><div class=ad>Buy this, now.</div><form><p>Send</p></form></body>") == ""
+    assert pages.main_text("<article><h1>T</h1><p>Wh</p></article><div class=ad>A long advert of many words, one after another.</div>") == "T\nWh"
+
+
+@pytest.mark.parametrize("tag", ["b", "div", "p", "li", "td", "span class=ad", "section", "a", "h1"])
+def test_op8_deep_nesting_is_linear(tag):
+    began, n = time.perf_counter(), 100_000
+    assert pages.main_text(f"<{tag}>" * n + "some text, here" + f"</{tag.split()[0]}>" * n) in ("some text, here", "")
+    assert time.perf_counter() - began < 5
+
+
 def test_op8_query_and_edges(spark, sf):
     got = queries.QUERIES["op8_main_text"](spark, sf).toPandas()
     assert len(got) == spark.read.parquet(f"{sf}/pages.parquet").count() and (got.text.str.len() == got.n_chars).all() and (got.n_chars > 0).all()
     odd = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>x", "t"), (None, "u", "<p>x", "t"), (2, "u", "<p>" + "long text, " * 50_000, "t")], "page_id long, url string, html string, text string")
     assert sorted(len(r.text) for r in pages.extract_pages(odd).collect()) == [0, 1, 1, 549_999]
     assert pages.extract_pages(odd.limit(0)).count() == 0
+    assert pages.extract_pages(odd, carry=("url", "text")).columns == ["url", "text"]
 
 
 def test_op9_edges(edges, empty):
