@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import sys
 
 import numpy as np
@@ -10,12 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shipped
+from .common import documents, shipped, without
 
 #: A public byte-level vocabulary in rank format: base64 token, space, rank.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's own tokenizer cuts text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: the pattern's white space. The matcher gives up on runs of about
+#: a million, so runs longer than ``LONG_RUN`` are cut out where it would cut.
+WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = 100_000
 RULES = ("start", "end", "most")
 #: Between the fields of a document, when several are encoded as one text.
 JOINT = "\n"
@@ -37,6 +42,23 @@ def encoder(vocabulary: bytes):
     return _encoders[key]
 
 
+def encode(encoding, text: str, long_run: int = LONG_RUN) -> np.ndarray:
+    """The text's tokens, as of one pass over all of it.
+
+    The pattern takes a run of white space as one piece, less its last character
+    if text follows, which then begins the next piece. Nothing in it looks back,
+    so long runs are encoded as that piece and the text between them apart.
+    """
+    out, at = [], 0
+    for m in re.finditer(f"{WHITE}{{{long_run},}}", text):
+        stop = m.end() - (m.end() < len(text))
+        if stop > m.start():
+            out += [encoding.encode_to_numpy(text[at : m.start()], disallowed_special=()), np.array(encoding._encode_single_piece(text[m.start() : stop].encode()), dtype=np.uint32)]
+            at = stop
+    out.append(encoding.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(out).astype(np.int64)
+
+
 def attribute(ends: np.ndarray, section_ends: np.ndarray, rule: str) -> np.ndarray:
     """Tokens of each section, by an interval join of token and section spans.
 
@@ -68,21 +90,19 @@ def line_ends(raw: bytes) -> np.ndarray:
 
 
 def count_batches(batches, vocabulary, fields: int, rule: str):
-    """(carried..., fields...) -> (carried..., sections) with sections an array
-    of (field, section, start, end, n_tokens); start and end in code points."""
+    """(row, fields...) -> (row, sections) with sections an array of (field,
+    section, start, end, n_tokens); start and end in code points."""
     encoding, lengths = encoder(vocabulary.value)
     for batch in batches:
-        carried = batch.num_columns - fields
-        columns = [batch.column(carried + i).to_pylist() for i in range(fields)]
-        out = []
+        columns = [batch.column(1 + i).to_pylist() for i in range(fields)]
+        made: list[list[np.ndarray]] = [[] for _ in range(5)]
+        sizes = []
         for row in zip(*columns, strict=True):
             # A field's last section holds the joint after it.
             texts = [(x or "") + (JOINT if i + 1 < fields else "") for i, x in enumerate(row)]
             raws = [x.encode() for x in texts]
-            whole = b"".join(raws)
-            ids = encoding.encode_to_numpy(whole.decode(), disallowed_special=()) if whole else np.zeros(0, np.int64)
-            ends, sections, base, cuts = np.cumsum(lengths[ids]), [], 0, []
-            for field, (text, raw) in enumerate(zip(texts, raws, strict=True)):
+            ends, base, cuts = np.cumsum(lengths[encode(encoding, "".join(texts))]), 0, []
+            for field, raw in enumerate(raws):
                 at = line_ends(raw if field + 1 == fields else raw[:-1])
                 if field + 1 < fields:
                     at = at.copy()
@@ -90,14 +110,18 @@ def count_batches(batches, vocabulary, fields: int, rule: str):
                 # Code points before each byte: bytes that do not continue a character.
                 chars = np.concatenate(([0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)))
                 stops = chars[np.minimum(at, len(raw))]
-                for k in range(len(at)):
-                    sections.append((field, k, int(stops[k - 1]) if k else 0, int(stops[k])))
+                for out, values in zip(made, (np.full(len(at), field), np.arange(len(at)), np.concatenate(([0], stops[:-1])), stops), strict=False):
+                    out.append(values)
                 cuts.append(at + base)
                 base += len(raw)
-            counts = attribute(ends, np.concatenate(cuts), rule)
-            out.append([{"field": f, "section": k, "start": a, "end": b, "n_tokens": int(c)} for (f, k, a, b), c in zip(sections, counts, strict=True)])
-        kind = pa.list_(pa.struct([("field", pa.int32()), ("section", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(carried)), pa.array(out, kind)], [*batch.schema.names[:carried], "sections"])
+            cuts = np.concatenate(cuts)
+            made[4].append(attribute(ends, cuts, rule))
+            sizes.append(len(cuts))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        flat = [pa.array(np.concatenate(m) if m else np.zeros(0), k) for m, k in zip(made, kinds, strict=True)]
+        sections = pa.StructArray.from_arrays(flat, ["field", "section", "start", "end", "n_tokens"])
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, sections)], ["_row", "sections"])
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -115,20 +139,26 @@ def token_counts(docs: DataFrame, fields: tuple[str, ...] = ("text",), carry: tu
     the lines by their spans, and one that crosses a boundary goes to a single
     line by ``rule``, so a row's counts add up to its tokens. Null and empty
     fields are one section without text (its joint may hold a token). Repeated
-    rows each get their sections.
+    rows each get their sections; an empty table gives none. A carried column
+    with the name of a result is left out.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     known = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", sections array<struct<field:int,section:int,start:bigint,end:bigint,n_tokens:bigint>>"
-    n = len(fields)
-    made = docs.select(*carry, *[F.col(f).cast("string").alias(f"_field{i}") for i, f in enumerate(fields)]).mapInArrow(lambda it: count_batches(it, known, n, rule), schema)
+    carry, n = without(carry, "field", "section", "start", "end", "n_tokens"), len(fields)
+    row = F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias("_")).alias("_row")
+    given = docs.select(row, *[F.col(f"`{f}`").cast("string").alias(f"_field{i}") for i, f in enumerate(fields)])
+    schema = f"_row {given.schema['_row'].dataType.simpleString()}, sections array<struct<field:int,section:int,start:bigint,end:bigint,n_tokens:bigint>>"
+    made = given.mapInArrow(lambda it: count_batches(it, known, n, rule), schema)
     names = F.array(*[F.lit(f) for f in fields])
-    return made.select(*carry, F.explode("sections").alias("s")).select(*carry, F.get(names, F.col("s.field")).alias("field"), "s.section", "s.start", "s.end", "s.n_tokens")
+    each = made.select("_row", F.explode("sections").alias("_s"))
+    return each.select(*[F.col("_row")[c].alias(c) for c in carry], F.get(names, F.col("_s.field")).alias("field"), *[F.col(f"_s.{c}") for c in ("section", "start", "end", "n_tokens")])
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of each line of each document."""
+    """Tokens of each line of each document; a token across lines goes to that of
+    its first byte. Null and empty texts are one line of none; repeated rows each
+    get their lines."""
     return token_counts(documents(spark, sf_dir)).drop("field")
 
 

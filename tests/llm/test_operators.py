@@ -59,6 +59,48 @@ def test_op1_counts_add_up(spark, sf, texts):
         assert "".join(t[a:b] for a, b in zip(group.start, group.end, strict=True)) == t
 
 
+def test_op1_lines_by_brute_force(spark, sf, texts):
+    """Every token's first byte, laid by hand over the lines."""
+    got = collections.defaultdict(dict)
+    for r in queries.QUERIES["op1_token_counts"](spark, sf).collect():
+        got[r.doc_id][r.section] = r.n_tokens
+    encoding, _ = tokens.encoder(tokens.read_vocabulary(tokens.VOCABULARY))
+    for doc_id, text in texts.items():
+        raw, at = (text or "").encode(), 0
+        want = collections.Counter({k: 0 for k in range(raw[:-1].count(b"\n") + 1)})
+        for token in encoding.decode_tokens_bytes(encoding.encode_ordinary(text or "")):
+            want[raw.count(b"\n", 0, at)] += 1
+            at += len(token)
+        assert got[doc_id] == want
+
+
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_op1_attribution_by_brute_force(rule):
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        ends, cuts = (np.append(np.sort(rng.choice(np.arange(1, n), min(n - 1, int(rng.integers(0, 9))), replace=False)), n) if n > 1 else np.array([1]) for _ in range(2))
+        want, start = [0] * len(cuts), 0
+        section = lambda byte: next(i for i, c in enumerate(cuts) if byte < c)  # noqa: B023, E731
+        for end in ends.tolist():
+            held = collections.Counter(section(b) for b in range(start, end))
+            want[{"start": section(start), "end": section(end - 1), "most": min(held, key=lambda k: (-held[k], k))}[rule]] += 1
+            start = end
+        assert tokens.attribute(ends, cuts, rule).tolist() == want
+
+
+def test_op1_long_runs(spark):
+    encoding, _ = tokens.encoder(tokens.read_vocabulary(tokens.VOCABULARY))
+    r = random.Random(4)
+    for _ in range(300):
+        text = "".join(r.choice([" ", "\n", "\t", "\u2028", "\x1c", "a", "é1", "'s", "!", " x"]) * r.choice([1, 1, 2, 9]) for _ in range(r.randint(0, 30)))
+        for run in (1, 2, 5):
+            assert tokens.encode(encoding, text, run).tolist() == encoding.encode_ordinary(text)
+    rows = [(1, " " * 10_000_000 + "end"), (2, "a" + "\n" * 2_000_000), (3, "b" * 1_000_000)]
+    got = {x.doc_id: (x.n, x.k) for x in tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("section").alias("k")).collect()}
+    assert got[1] == (10_000_000, 1) and got[2] == (1_000_001, 2_000_000) and got[3][1] == 1
+
+
 def test_op1_rules_and_fields(spark):
     ends, cuts = np.array([3, 8, 10]), np.array([4, 10])
     assert tokens.attribute(ends, cuts, "start").tolist() == [2, 1]
@@ -75,6 +117,10 @@ def test_op1_edges(edges, empty):
     got = tokens.token_counts(edges).collect()
     assert {r.doc_id for r in got} == {1, 2, 3, 4, 5, 6, 7, None} and sum(r.n_tokens for r in got if r.doc_id in (1, 2)) == 0
     assert tokens.token_counts(empty).count() == 0
+    clash = edges.withColumn("start", F.lit("s")).withColumn("Section", F.lit(1)).withColumn("s", F.lit(2))
+    named = tokens.token_counts(clash, carry=("doc_id", "start", "Section", "s"))
+    assert named.columns == ["doc_id", "s", "field", "section", "start", "end", "n_tokens"] and named.where("s = 2").count() == len(got)
+    assert tokens.token_counts(edges, carry=()).count() == len(got)
 
 
 def test_op2_near_targets_and_stable(spark, sf):
