@@ -349,7 +349,7 @@ def test_op7_edges(edges, empty):
 
 def test_op7_filters_have_no_false_negatives():
     filters = langid.LanguageFilters(["x", "y"], [1, 1])
-    hashes, _ = langid.grams(["some ordinary words"])
+    hashes = langid.grams(["some ordinary words"])
     filters.enter(0, hashes)
     filters.finish()
     shares = filters.shares(["some ordinary words"])
