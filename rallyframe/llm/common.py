@@ -22,20 +22,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written intermediates.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
-    local master gets a temporary folder and a cluster the warehouse, which
-    executors share too.
-    """
+    """The shared folder for written intermediates, which the cluster names in
+    ``spark.checkpoint.dir``. Where that is unset, a local master gets a
+    temporary folder, and a cluster its warehouse if that isn't on the machines'
+    own disks; otherwise this is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_root:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        _own_root[app] = tempfile.mkdtemp(prefix="rallyframe-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    return _own_root[app]
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if master == "local" or master.startswith("local["):
+        if app not in _own_root:
+            _own_root[app] = tempfile.mkdtemp(prefix="rallyframe-")
+        return _own_root[app]
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if ":" not in warehouse or warehouse.startswith("file:"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return warehouse.rstrip("/") + "/_scratch"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -44,7 +46,26 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a settled table."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+#: A settled table is broadcast up to so many rows and bytes of its files.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+
+
+def side(df: DataFrame) -> DataFrame:
+    """A settled table, marked for broadcast only if it is small."""
+    small = written_bytes(df) <= BROADCAST_BYTES and df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(df) if small else df
 
 
 def release(spark: SparkSession) -> None:
@@ -105,16 +126,16 @@ def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
     return (F.xxhash64(doc_id, text, doc_id.isNull(), text.isNull()), F.hash(text, doc_id, text.isNull()))
 
 
-def small_enough(df: DataFrame, limit_rows: int) -> bool:
-    """Whether a written table may be broadcast, by its counted rows."""
-    return df.limit(limit_rows + 1).count() <= limit_rows
-
-
 def packed(docs: DataFrame) -> DataFrame:
     """``docs`` as one struct column, so that its names can't meet an operator's."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
 
+def keyed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns of ``docs`` and all its columns as one struct ``_row``."""
+    return packed(docs).select(*[F.col("_row")[c].alias(c) for c in names], "_row")
+
+
 def unpacked(columns: list[str], **changed: Column) -> list[Column]:
     """The columns of a packed table, some replaced."""
     return [changed.get(c, F.col("_row")[c]).alias(c) for c in columns]

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, settle, words
+from .common import documents, let, settle, without, words
 
-#: Documents in a bucket of keys, on average. Only one bucket per source is sorted.
-BUCKET_ROWS = 1000
+#: Words in a window of ``quality_weight``.
+WINDOW = 16
 
 
 def uniform(*parts: Column) -> Column:
@@ -43,30 +43,34 @@ def source_targets(sizes: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFr
     )
 
 
-def mix(docs: DataFrame, size: Column, weight: Column, source: str = "source", doc_id: str = "doc_id", seed: int = 0, cap: float = 3.0, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, size: Column, weight: Column, source: str = "source", doc_id: str = "doc_id", text: str = "text", seed: int = 0, cap: float = 3.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """How many words the mix takes of each document.
 
-    Each document gets the key -ln(u) / weight: ascending keys are a weighted
-    draw without replacement. A source whose target is e times its size plus a
-    rest gives every document e times, then its documents in key order until
-    the rest is spent; the document that crosses the rest is taken if that
-    comes nearer to it. Keys fall into ordered buckets, whose sums fix the
-    bucket where the rest ends, so only that bucket's rows are sorted.
-
-    Returns doc_id, size, source, source_size, target, taken and ``carry``.
-    Null or empty texts have size 0 and are taken 0 times; a null source is a
-    source of its own, last in order; weights that are null or not positive
-    count as the smallest, 1e-6. Repeated rows are rows: each is counted and
-    may be taken. Ties in the key go by doc_id, then size.
+    Each document gets the key -ln(u) / weight, with u from its id and text:
+    ascending keys are a weighted draw without replacement. A source whose target
+    is e times its size plus a rest gives every document e times, then its
+    documents in key order until the rest is spent; the document that crosses
+    the rest is taken if that comes nearer to it. The n keys of a source fall
+    into the root of n ordered buckets, whose sums fix the bucket where the rest
+    ends, so about as many bucket sums as rows of one bucket are sorted.
+
+    Returns doc_id, size, source, source_size, target, taken and ``carry``, less
+    its columns of these names. Null or empty texts have size 0 and are taken 0
+    times; a null source is a source of its own, last in order; weights that are
+    null or not positive count as the smallest, 1e-6. Repeated rows are rows:
+    each is counted and may be taken. Rows without an id differ by their texts.
+    Ties in the key go by doc_id, then size. An empty table gives none.
     """
     weight = F.greatest(F.coalesce(weight, F.lit(1e-6)), F.lit(1e-6))
-    keyed = settle(docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.cast("long").alias("size"),
-        (-F.log(uniform(F.lit(seed), F.col(doc_id))) / weight).alias("key"), *carry))
+    carry = without(carry, "doc_id", "size", "source", "source_size", "target", "taken")
+    row = F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias("_")).alias("_row")
+    u = uniform(F.lit(seed), F.col(f"`{doc_id}`"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
+    keyed = settle(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.cast("long").alias("size"), (-F.log(u) / weight).alias("key"), *([row] if carry else [])))
+    carried = ["_row"] if carry else []
     sources = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"), F.avg("key").alias("mean_key"))
     plan = settle(source_targets(sources.select("source", "source_size"), cap).alias("t").join(sources.select("source", "n_docs", "mean_key").alias("s"), F.expr("t.source <=> s.source")).select(
         "t.source", "source_size", "target", "mean_key",
-        F.ceil(F.col("n_docs") / F.lit(BUCKET_ROWS)).cast("long").alias("n_buckets"),
+        F.ceil(F.sqrt("n_docs")).cast("long").alias("n_buckets"),
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"))
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
     # 1 - exp(-key / mean) rises with the key and spreads near-exponential keys evenly.
@@ -86,17 +90,24 @@ def mix(docs: DataFrame, size: Column, weight: Column, source: str = "source", d
     last = (marked.where(F.col("bucket") == F.col("cut")).withColumn("used", used)
             .withColumn("extra", (F.col("used") < F.col("rest")) & (2 * (F.col("rest") - F.col("used")) >= F.col("size"))).drop("used"))
     taken = F.col("size") * (F.col("epochs") + F.col("extra").cast("long"))
-    return whole.unionByName(last).select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), *carry)
+    out = whole.unionByName(last).select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), *carried)
+    return out.select("doc_id", "size", "source", "source_size", "target", "taken", *[F.col("_row")[c].alias(c) for c in carry])
 
 
 def quality_weight(text: Column) -> Column:
-    """1 plus the share of distinct words among the first-to-last words: varied
-    text is drawn earlier than repetitive text. 1 for an empty text."""
-    w = words(text)
-    return F.lit(1.0) + F.coalesce(F.size(F.array_distinct(w)) / F.nullif(F.size(w), F.lit(0)), F.lit(0.0))
+    """1 plus the mean share of distinct words in the text's whole windows of 16
+    words: varied text is drawn earlier than repetitive text, and a text's length
+    doesn't matter, as every window is as long. A text of fewer words is one
+    window of its own; 1 for an empty text."""
+    distinct = lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / WINDOW).cast("int") - 1), lambda i: F.size(F.array_distinct(F.slice(w, i * WINDOW + 1, WINDOW))))
+    share = let(words(text), lambda w: F.when(F.size(w) >= WINDOW, F.aggregate(distinct(w), F.lit(0), lambda a, x: a + x) / (F.floor(F.size(w) / WINDOW) * WINDOW))
+                .when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0)))
+    return F.lit(1.0) + share
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all ``documents``; nulls, empty texts, ties and repeated rows as
+    in ``mix``."""
     docs = documents(spark, sf_dir)
     return mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -109,9 +120,10 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 ORACLE_MIX = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(w), 0)::BIGINT AS size,
-         -ln((('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
-           / (1.0 + CASE WHEN coalesce(len(w), 0) = 0 THEN 0.0 ELSE len(list_distinct(w))::DOUBLE / len(w) END) AS key
-  FROM (SELECT doc_id, source, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM {documents})),
+         -ln((('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
+           / (1.0 + CASE WHEN coalesce(len(w), 0) = 0 THEN 0.0 WHEN len(w) < 16 THEN len(list_distinct(w))::DOUBLE / len(w)
+             ELSE list_sum([len(list_distinct(w[16 * i + 1:16 * i + 16])) for i in range(0, len(w) // 16)])::DOUBLE / (len(w) // 16 * 16) END) AS key
+  FROM (SELECT doc_id, source, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM {documents})),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap, (SELECT sum(source_size) FROM totals)::DOUBLE AS total FROM totals),
 laid AS (SELECT *, cap / weight AS ratio,

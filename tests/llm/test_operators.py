@@ -155,6 +155,28 @@ def test_op2_edges(edges, empty):
     assert mixing.mix_documents(empty).count() == 0
 
 
+def test_op2_rows_without_ids_and_own_columns(spark):
+    """Rows without an id spread over the keys; carried columns may have any name."""
+    rows = [(None, f"text number {i} of a few words", "a", i) for i in range(400)] + [(1, "one two", "b", 5)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    own = docs.select("*", *[F.col("n").alias(c) for c in ("key", "bucket", "cut", "before", "rest", "epochs", "taken", "_row")])
+    carry = ("n", "key", "bucket", "cut", "before", "rest", "epochs", "taken", "_row")
+    got = mixing.mix(own, F.size(F.split("text", " ")), F.lit(1.0), carry=carry)
+    assert got.columns == ["doc_id", "size", "source", "source_size", "target", "taken", *[c for c in carry if c != "taken"]]
+    kept = got.collect()
+    assert len(kept) == 403 and all(r.key == r.n == r["_row"] for r in kept)
+    keys = docs.select(mixing.uniform(F.lit(0), F.col("doc_id"), F.md5(F.col("text").cast("binary"))).alias("u")).distinct().count()
+    assert keys == 401
+
+
+def test_op2_weight_is_free_of_length(spark):
+    got = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(mixing.quality_weight(F.col("text")).alias("w"), F.size(F.split("text", "\\s+")).alias("n"))
+    rows = got.where("n >= 32").toPandas()
+    assert len(rows) > 500 and abs(np.corrcoef(rows.w, np.log(rows.n))[0, 1]) < 0.15
+    three = spark.createDataFrame([("a b c d " * 40,), (" ".join(f"w{i}" for i in range(160)),), (" ".join(f"w{i}" for i in range(32_000)),), (None,)], "t string").select(mixing.quality_weight(F.col("t")).alias("w"))
+    assert [r.w for r in three.collect()] == [1.25, 2.0, 2.0, 1.0]
+
+
 def test_op3_held_out(spark, sf):
     got = queries.QUERIES["op3_quality_score"](spark, "/root/testdata/sf0.01").toPandas()
     labels = duckdb.sql("select doc_id, quality from '/root/testdata/sf0.01/labels.parquet'").fetchdf()
