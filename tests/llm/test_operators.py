@@ -303,6 +303,19 @@ def test_op5_boilerplate(spark):
     assert all(got[200 + i].kept for i in range(40))
 
 
+def test_op5_copies_and_large_hosts(spark):
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    note, body = " ".join(f"license{i}" for i in range(30)), lambda i: " ".join(f"{letters(i)}{letters(j)}" for j in range(25))
+    copies = spark.createDataFrame([(i, body(0), "h") for i in range(40)] + [(100 + i, body(1 + i), "h") for i in range(10)], "doc_id long, text string, source string")
+    assert all(r.kept for r in rules.judge_documents(copies).collect())
+    assert {r.doc_id for r in rules.judge_documents(copies, copies=True).collect() if not r.kept} == set(range(40))
+    rows = [(i, f"{body(i)}\n{note if i % 20 == 0 else 'a short one'}", "h") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_words", F.lit("own")).withColumn("_n", F.lit("own"))
+    got = rules.judge_documents(frame, carry=("doc_id", "n_words", "_n"), max_share=0.99, max_docs=20)
+    assert got.columns[:3] == ["doc_id", "_n", "n_words"]
+    assert {(r["_n"], r.words_left - (0 if r.doc_id % 20 == 0 else 3)) for r in got.collect()} == {("own", 25)}
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
