@@ -5,26 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, let, packed, row_key, settle, unpacked
+from .common import ascii_lower, documents, let, packed, row_key, settle, side, unpacked, without
 
 #: What lies between words: ASCII that is no letter or digit. Fixed value.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: Written tables up to so many rows are broadcast, larger ones shuffled.
-BROADCAST_ROWS = 200_000
-#: An alignment of which this share of words agrees, without an exact window, is a proximity match.
-NEAR_SHARE = 0.5
+#: A proximity match is an item of which this share of words occurs in place, or
+#: up to ``SLACK`` words inserted or deleted on the way, without an exact window.
+NEAR_SHARE, SLACK = 0.5, 4
 
 
 def terms(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN, -1), "")
 
 
-def _side(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast only if its counted rows are few."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def rarest_terms(items: DataFrame, docs_terms: DataFrame, window: int) -> DataFrame:
     """For every window of every item the two positions whose terms are rarest
     in the corpus: rows (term, item, at, need), distinct over an item's windows.
@@ -35,7 +29,7 @@ def rarest_terms(items: DataFrame, docs_terms: DataFrame, window: int) -> DataFr
     """
     at = items.select("item", F.posexplode("item_terms").alias("at", "term"), F.size("item_terms").alias("len"))
     vocabulary = settle(at.select("term").distinct())
-    frequency = settle(docs_terms.select(F.explode("terms").alias("term")).join(_side(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    frequency = settle(docs_terms.select(F.explode("terms").alias("term")).join(side(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     ranked = at.join(frequency, "term", "left").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "term", "n"))).alias("all"))
     width = F.least(F.size("all"), F.lit(window))
     each = ranked.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("all") - width + 1), lambda s: F.slice("all", s, width))).alias("win"))
@@ -52,47 +46,63 @@ def exact_runs(equal: Column, width: Column) -> Column:
     return let(breaks, lambda b: F.filter(F.transform(F.slice(b, 1, F.size(b) - 1), lambda x, i: F.struct((x + 1).alias("start"), F.get(b, i + 1).alias("end"))), lambda r: r["end"] - r["start"] >= width))
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, near_share: float = NEAR_SHARE) -> DataFrame:
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, near_share: float = NEAR_SHARE, slack: int = SLACK) -> DataFrame:
     """Rows (_k1, _k2, exact, near) for the distinct document contents with a match.
 
     The index holds postings (term, document, position) of the terms that are
-    the rarest or second rarest of some benchmark window. Each item's lists
-    are shifted by the term's place in the item and intersected on (document,
-    shift); a window can only occur where both its rarest terms meet. Every
-    shift that survives is compared word by word with the whole item.
+    the rarest or second rarest of some benchmark window; no others are stored.
+    Each item's lists are shifted by the term's place in the item and intersected
+    on (document, shift); a window can only occur where both its rarest terms
+    meet. At each shift that survives, the stretch of the document that lies
+    against the item becomes a row of its own and is compared with the item word
+    by word, so no row holds more than two texts of an item's length.
 
     exact: (item, start, end) of maximal runs of at least a window (an item of
     fewer words: all of it), in words of the document. near: (item, start,
-    equal) of other shifts at which ``near_share`` of the item's words agree.
-    Null and empty texts or items have no terms and match nothing; repeated
-    rows share their match through the row key; a null item id is kept as null.
+    equal) where ``near_share`` of the item's words agree at a shift or at shifts
+    up to ``slack`` above it, as after words inserted or deleted, and no shift
+    among them has an exact run; a shift is only tried where both rarest terms
+    of some window meet. Null and empty texts or items have no terms and
+    match nothing; repeated rows share their match through the row key; a null
+    item id is kept as null.
     """
-    k1, k2 = row_key(F.col(doc_id), F.col(text))
-    keyed = docs.select(k1.alias("_k1"), k2.alias("_k2"), F.col(text).alias("_text"))
-    items = settle(benchmark.select(F.xxhash64(F.col(item_id), F.col(item_text)).alias("item"), F.col(item_id).cast("string").alias("item_id"), terms(F.col(item_text)).alias("item_terms")).where(F.size("item_terms") > 0).distinct())
+    k1, k2 = row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    keyed = docs.select(k1.alias("_k1"), k2.alias("_k2"), F.col(f"`{text}`").alias("_text"))
+    items = settle(benchmark.select(F.xxhash64(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).alias("item"), F.col(f"`{item_id}`").cast("string").alias("item_id"), terms(F.col(f"`{item_text}`")).alias("item_terms")).where(F.size("item_terms") > 0).distinct())
     rare = rarest_terms(items, keyed.select(terms(F.col("_text")).alias("terms")), window)
     wanted = settle(rare.select("term").distinct())
-    postings = settle(keyed.select("_k1", "_k2", F.posexplode(terms(F.col("_text"))).alias("pos", "term")).join(_side(wanted), "term"))
-    shifts = (postings.join(_side(rare), "term").withColumn("shift", F.col("pos") - F.col("at"))
+    postings = settle(keyed.select("_k1", "_k2", F.posexplode(terms(F.col("_text"))).alias("pos", "term")).join(side(wanted), "term"))
+    shifts = (postings.join(side(rare), "term").withColumn("shift", F.col("pos") - F.col("at"))
               .groupBy("_k1", "_k2", "item", "shift").agg(F.collect_set("at").alias("met"), F.max("need").alias("need"), F.min("need").alias("least"))
               .where(F.size("met") >= F.col("least")).select("_k1", "_k2", "item", "shift"))
-    found = settle(shifts.join(_side(items), "item").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("item_id", "shift", "item_terms")).alias("tries")))
-    holders = found.select("_k1", "_k2")
-    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        keyed = keyed.join(F.broadcast(holders), ["_k1", "_k2"], "left_semi")
-
-    def compare(w: Column) -> Column:
-        def one(t: Column) -> Column:
-            equal = F.transform(t["item_terms"], lambda x, j: F.coalesce(F.get(w, t["shift"] + j) == x, F.lit(False)))
-            return let(equal, lambda e: F.struct(
-                t["item_id"].alias("item_id"), t["shift"].alias("shift"), F.size(F.filter(e, lambda y: y)).alias("equal"), F.size(e).alias("of"),
-                exact_runs(e, F.least(F.size(e), F.lit(window))).alias("runs")))
-        return F.transform("tries", one)
-
-    compared = keyed.join(found, ["_k1", "_k2"]).select("_k1", "_k2", let(terms(F.col("_text")), compare).alias("m"))
-    exact = F.flatten(F.transform("m", lambda t: F.transform(t["runs"], lambda r: F.struct(t["item_id"].alias("item_id"), (t["shift"] + r["start"]).alias("start"), (t["shift"] + r["end"]).alias("end")))))
-    near = F.transform(F.filter("m", lambda t: (F.size(t["runs"]) == 0) & (t["equal"] >= F.ceil(t["of"] * near_share))), lambda t: F.struct(t["item_id"], t["shift"].alias("start"), t["equal"]))
-    return compared.select("_k1", "_k2", exact.alias("exact"), near.alias("near")).where((F.size("exact") > 0) | (F.size("near") > 0)).groupBy("_k1", "_k2").agg(F.first("exact").alias("exact"), F.first("near").alias("near"))
+    lengths = settle(items.select("item", F.size("item_terms").alias("of")).distinct())
+    # Fixed-width tries: at most one for each shift of an item in the document.
+    tries = settle(shifts.join(side(lengths), "item").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("item", "shift", "of")).alias("tries")))
+    holders = side(settle(tries.select("_k1", "_k2")))
+    texts = keyed.join(holders, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    stretch = lambda w, t: F.slice(w, F.greatest(t["shift"], F.lit(0)) + 1, F.greatest(t["of"] + F.least(t["shift"], F.lit(0)), F.lit(0)))
+    laid = texts.join(tries, ["_k1", "_k2"]).select("_k1", "_k2", F.explode(let(terms(F.col("_text")), lambda w: F.transform(F.col("tries"), lambda t: F.struct(t["item"].alias("item"), t["shift"].alias("shift"), stretch(w, t).alias("words"))))).alias("t"))
+    laid = laid.select("_k1", "_k2", "t.*").join(side(items), "item")
+    equal = F.transform("item_terms", lambda x, j: F.coalesce(F.get(F.col("words"), j + F.least(F.col("shift"), F.lit(0))) == x, F.lit(False)))
+    places = let(equal, lambda e: F.struct(
+        exact_runs(e, F.least(F.size(e), F.lit(window))).alias("runs"),
+        F.filter(F.transform(e, lambda y, j: F.when(y, j)), lambda j: j.isNotNull()).alias("places")))
+    compared = laid.select("_k1", "_k2", "item", "item_id", "shift", F.size("item_terms").alias("of"), places.alias("p"))
+    # All shifts of an item in a document, and so at most a row for each of its words' places.
+    per_item = compared.groupBy("_k1", "_k2", "item", "item_id").agg(F.first("of").alias("of"), F.sort_array(F.collect_list(F.struct("shift", F.col("p.runs").alias("runs"), F.col("p.places").alias("places")))).alias("all"))
+    exact = F.flatten(F.transform("all", lambda t: F.transform(t["runs"], lambda r: F.struct(F.col("item_id").alias("item_id"), (t["shift"] + r["start"]).alias("start"), (t["shift"] + r["end"]).alias("end")))))
+
+    def banded(t: Column, i: Column) -> Column:
+        """Places that agree at this shift or one up to ``slack`` above, and whether one has a run."""
+        band = F.filter(F.slice("all", i + 1, slack + 1), lambda o: o["shift"] <= t["shift"] + slack)
+        return F.struct(F.col("item_id").alias("item_id"), t["shift"].alias("start"), F.size(F.array_distinct(F.flatten(F.transform(band, lambda o: o["places"])))).alias("equal"), F.exists(band, lambda o: F.size(o["runs"]) > 0).alias("run"))
+
+    tried = F.filter(F.transform("all", banded), lambda b: ~b["run"] & (b["equal"] >= F.ceil(F.col("of") * near_share)))
+    # Of neighbouring shifts that reach the share, the best one stands for them.
+    best = F.filter(tried, lambda b: ~F.exists(tried, lambda o: (F.abs(o["start"] - b["start"]) <= slack) & ((o["equal"] > b["equal"]) | (o["equal"] == b["equal"]) & (o["start"] < b["start"]))))
+    near = F.transform(best, lambda b: F.struct(b["item_id"].alias("item_id"), b["start"].alias("start"), b["equal"].alias("equal")))
+    found = per_item.select("_k1", "_k2", exact.alias("exact"), near.alias("near")).where((F.size("exact") > 0) | (F.size("near") > 0))
+    return found.groupBy("_k1", "_k2").agg(F.array_sort(F.flatten(F.collect_list("exact"))).alias("exact"), F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
 
 
 def covered_words(spans: Column) -> Column:
@@ -103,9 +113,12 @@ def covered_words(spans: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] | None = None, **options) -> DataFrame:
-    """``docs`` with _n_words, _exact and _near (empty arrays without a match)."""
+    """``docs``, or its columns ``carry``, with _n_words, _exact and _near (empty
+    arrays without a match); see ``phrase_matches``. Null and empty texts have no
+    words and no match; repeated rows each get theirs; own columns of the three
+    names are replaced; empty tables give empty results or none that match."""
     matches = phrase_matches(docs, benchmark, text=text, doc_id=doc_id, **options)
-    columns = [c for c in (carry if carry is not None else docs.columns) if c.lower() not in ("_n_words", "_exact", "_near")]
+    columns = without(carry if carry is not None else docs.columns, "_n_words", "_exact", "_near")
     the_id, the_text = F.col("_row")[doc_id], F.col("_row")[text]
     k1, k2 = row_key(the_id, the_text)
     mine = packed(docs).withColumns({"_k1": k1, "_k2": k2, "_n_words": F.size(terms(the_text)).cast("long")}).select(F.struct(*unpacked(columns)).alias("_row"), "_k1", "_k2", "_n_words")
@@ -119,6 +132,8 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact matches of all of ``benchmark`` in all ``documents``; nulls, empty
+    and repeated texts as in ``decontaminate``."""
     out = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("doc_id",))
     ids = F.array_sort(F.array_distinct(F.transform("_exact", lambda s: s["item_id"])))
     return out.withColumn("_hit", covered_words(F.col("_exact"))).select(

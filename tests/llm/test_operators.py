@@ -368,6 +368,19 @@ def test_op6_proximity(spark):
     assert got["_exact"] == [] and [(s.item_id, s.start, s.equal) for s in got["_near"]] == [("9", 0, 22)]
 
 
+def test_op6_proximity_with_inserted_and_deleted_words(spark):
+    item = [f"k{i}" for i in range(40)]
+    inserted = [x for i, w in enumerate(item) for x in ([w, "extra"] if i % 11 == 10 else [w])]
+    deleted = [w for i, w in enumerate(item) if i % 11 != 10]
+    apart = [x for w in item for x in (w, "and", "then")]
+    rows = [(1, " ".join(inserted)), (2, "x y " + " ".join(deleted)), (4, " ".join(apart)), (5, " ".join(item)), (6, " ".join(item[:12]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in decontam.decontaminate(frame, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()}
+    near = {i: [(s.item_id, s.equal) for s in r["_near"]] for i, r in got.items()}
+    assert [len(near[i]) for i in (1, 2, 4, 5, 6)] == [1, 1, 0, 0, 0] and near[1][0][1] >= 30 and near[2][0][1] >= 30
+    assert [i for i, r in got.items() if r["_exact"]] == [5]
+
+
 def test_op7_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.QUERIES["op7_language_id"](spark, sf).toPandas().merge(duckdb.sql(f"select doc_id, lang from '{sf}/documents.parquet'").fetchdf(), on="doc_id")
