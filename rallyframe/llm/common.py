@@ -8,6 +8,7 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: ASCII white space; every other code point belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -147,6 +148,13 @@ def without(carry, *made: str) -> tuple[str, ...]:
     return tuple(c for c in carry if c.lower() not in taken)
 
 
+def made_schema(given: DataFrame, carry, **made: str) -> StructType:
+    """The schema of a batch function that passes columns of ``given`` on and
+    adds others; types as objects, as names in text may not parse."""
+    kept = [StructField(c, given.schema[c].dataType) for c in carry]
+    return StructType(kept + [StructField(c, StructType.fromDDL(f"x {kind}")[0].dataType) for c, kind in made.items()])
+
+
 def shipped(module):
     """``module``, sent to executors by value: they need no copy of this library."""
     cloudpickle.register_pickle_by_value(module)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of_id, documents, settle, shipped, without
+from .common import bucket_of_id, documents, made_schema, settle, shipped, without
 
 SIZES = (1, 2, 3, 4)
 #: Labelled documents of each language that are learnt from, about.
@@ -300,8 +300,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text", carr
     row = F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias("_")).alias("_row")
     has_letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("_letter")
     given = docs.select(row, F.col(f"`{text}`").alias("_text"), has_letter)
-    kind = given.schema["_row"].dataType.simpleString()
-    out = given.mapInArrow(lambda it: language_batches(it, known), f"_row {kind}, lang_pred string, score double, evidence double")
+    out = given.mapInArrow(lambda it: language_batches(it, known), made_schema(given, ["_row"], lang_pred="string", score="double", evidence="double"))
     return out.select(*[F.col("_row")[c].alias(c) for c in carry], "lang_pred", "score", "evidence")
 
 

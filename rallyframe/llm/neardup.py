@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import documents, packed, row_key, settle, shipped, unpacked
+from .common import documents, made_schema, packed, row_key, settle, shipped, unpacked
 from .components import components
 
 shipped(sketch)
@@ -156,8 +156,7 @@ def _placed(docs: DataFrame, text: str, doc_id: str, percent: int, width: int, b
     rows_of = docs.select("doc_id", "text", k1.alias("_k1"), k2.alias("_k2"))
     keyed = rows_of.select(F.struct("doc_id", "_k1", "_k2").alias("row"), "text")
     n_bands = bands or bands_for(percent, rows)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    made = keyed.mapInArrow(partial(sketch.sketch_batches, t=n_bands * rows, rows=rows, width=width), f"row struct<doc_id:{kind},_k1:bigint,_k2:int>, n_shingles bigint, digest binary, bands array<bigint>")
+    made = keyed.mapInArrow(partial(sketch.sketch_batches, t=n_bands * rows, rows=rows, width=width), made_schema(keyed, ["row"], n_shingles="bigint", digest="binary", bands="array<bigint>"))
     sketched = settle(made.select("row.*", "n_shingles", "digest", "bands"))
     classes = settle(sketched.where("digest IS NOT NULL").groupBy(F.col("digest").alias("c")).agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("_k1", "_k2")).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     linked = link_classes(classes.select("c", "row", "n", "bands"), rows_of.drop("doc_id"), percent, width)

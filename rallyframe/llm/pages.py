@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shipped, without
+from .common import made_schema, shipped, without
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -339,8 +339,8 @@ def extract_pages(pages: DataFrame, html: str = "html", carry: tuple[str, ...] =
     gives an empty text. Repeated rows each get their text; other columns of
     ``pages`` are left behind, as is a carried column called ``text``."""
     carry = without(carry, "text")
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in carry) + ", text string"
-    return pages.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{html}`").alias("_html")).mapInArrow(extract_batches, schema.removeprefix(", "))
+    given = pages.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{html}`").alias("_html"))
+    return given.mapInArrow(extract_batches, made_schema(pages, carry, text="string"))
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

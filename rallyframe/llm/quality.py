@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of_id, documents, shipped
+from .common import bucket_of_id, documents, made_schema, shipped
 
 #: Labelled documents of each class that are learnt from, about, and their bytes
 #: at most: texts of more than ``LONG_PART`` of these are not learnt from.
@@ -158,7 +158,8 @@ def score_quality(docs: DataFrame, model: SizeModel, text: str = "text", doc_id:
     """(doc_id, score) of every row, from its whole text. A null or empty text
     gets the model's score of empty texts; repeated rows each get theirs."""
     known = docs.sparkSession.sparkContext.broadcast(model.fields())
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(lambda it: score_batches(it, known), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, score double")
+    given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
+    return given.mapInArrow(lambda it: score_batches(it, known), made_schema(given, ["doc_id"], score="double"))
 
 
 def op3_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:

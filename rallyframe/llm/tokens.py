@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shipped, without
+from .common import documents, made_schema, shipped, without
 
 #: A public byte-level vocabulary in rank format: base64 token, space, rank.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -148,7 +148,7 @@ def token_counts(docs: DataFrame, fields: tuple[str, ...] = ("text",), carry: tu
     carry, n = without(carry, "field", "section", "start", "end", "n_tokens"), len(fields)
     row = F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias("_")).alias("_row")
     given = docs.select(row, *[F.col(f"`{f}`").cast("string").alias(f"_field{i}") for i, f in enumerate(fields)])
-    schema = f"_row {given.schema['_row'].dataType.simpleString()}, sections array<struct<field:int,section:int,start:bigint,end:bigint,n_tokens:bigint>>"
+    schema = made_schema(given, ["_row"], sections="array<struct<field:int,section:int,start:bigint,end:bigint,n_tokens:bigint>>")
     made = given.mapInArrow(lambda it: count_batches(it, known, n, rule), schema)
     names = F.array(*[F.lit(f) for f in fields])
     each = made.select("_row", F.explode("sections").alias("_s"))

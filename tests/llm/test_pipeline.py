@@ -40,6 +40,18 @@ def test_odd_tables(spark, sf, rows):
     assert docs.count() <= len(rows)
 
 
+def test_own_columns_go_through(spark, sf):
+    """Columns named as results or inner columns of the operators stay as they are."""
+    names = ["score", "lang_pred", "evidence", "_n_removed", "_N_lines", "start", "_row", "_k1", "_k2", "size", "key", "taken", "bucket", "n", "row", "c", "_exact", "_n_words", "held", "draw", "a b"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf))
+        assert docs.columns == columns
+    assert docs.select(*[F.col(f"`{n}`") for n in names]).distinct().collect() == [tuple(f"own {n}" for n in names)]
+    assert corpus_pipeline.mix_sources(spark, docs, sf).count() == docs.count() > 0
+
+
 def test_language_id_rejects_unlearnt_texts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rng = random.Random(5)
