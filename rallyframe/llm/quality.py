@@ -20,7 +20,7 @@ TRAIN_DOCS, TRAIN_BYTES, LONG_PART = 1500, 8 << 20, 16
 #: Each text is compressed in pieces of so many bytes, all of them, so that the
 #: dictionaries and not the text's own repetitions explain its size.
 PIECE = 512
-LEVEL = 12
+LEVEL = 6
 #: Texts of fewer bytes than these are calibrated apart: the shorter a text, the
 #: less its difference can say.
 BANDS = (48, 384)
