@@ -27,25 +27,28 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_time:
 
 
 def latest_before(snapshots: DataFrame, times: DataFrame, key: str, time: str, at: str, take: list[str], by: list[str] | None = None) -> DataFrame:
-    """For each row of ``times`` (key, at) and each group ``by``: the ``take``
-    values of the last snapshot at or before ``at``. An equal join on the key,
-    then one reduction; ties go to the largest ``take`` values."""
+    """For each row of ``times`` (key, at) and each group ``by`` of its key: the
+    ``take`` values of the last snapshot at or before ``at``; none without one.
+    Ties go to the largest ``take`` values.
+
+    The moments are spread over the key's groups and meet the snapshots in one
+    ordered pass (``asof_backward``), so a history isn't read once a moment.
+    """
     by = by or []
-    seen = snapshots.join(times, key).where(F.col(time) <= F.col(at))
-    best = F.max(F.struct(F.col(time), *[F.col(c) for c in take])).alias("_m")
-    return seen.groupBy(key, *by, at).agg(best).select(key, *by, at, F.col("_m")[time].alias(time), *[F.col("_m")[c].alias(c) for c in take])
+    asked = times.select(key, at).join(snapshots.select(key, *by).distinct(), key) if by else times.select(key, at)
+    found = asof_backward(asked.distinct(), snapshots.withColumn("_seen", F.col(time)), [key, *by], at, "_seen", [time, *take])
+    return found.where(F.col(time).isNotNull()).select(key, *by, at, time, *take)
 
 
 def before_anchor(snapshots: DataFrame, anchors: DataFrame, key: str, time: str, anchor: str, hours: list[int], take: str) -> DataFrame:
     """For each anchor and each N in ``hours``: the last value at or before
-    anchor - N hours, and how many minutes earlier it is."""
-    cut = F.col(anchor).cast("timestamp") - F.make_dt_interval(hours=F.col("hours"))
+    anchor - N hours, and how many minutes earlier it is. One ordered pass over
+    the snapshots and all cuts."""
     steps = F.explode(F.array(*[F.lit(h) for h in hours])).alias("hours")
-    limits = anchors.select(key, anchor, steps).withColumn("_cut", cut)
-    seen = snapshots.join(limits, key).where(F.col(time).cast("timestamp") <= F.col("_cut"))
-    best = seen.groupBy(key, anchor, "hours", "_cut").agg(F.max(F.struct(time, take)).alias("_m"))
-    lag = ((F.unix_micros("_cut") - micros(F.col("_m")[time])) / 60_000_000).alias("lag_minutes")
-    return best.select(key, anchor, "hours", F.col("_m")[take].alias(take), lag)
+    cuts = anchors.select(key, anchor, steps).withColumn("_cut", micros(F.col(anchor)) - F.col("hours").cast("long") * 3_600_000_000)
+    seen = snapshots.select(key, micros(F.col(time)).alias("_at"), F.col(take).alias(take))
+    found = asof_backward(cuts, seen.withColumn("_seen", F.col("_at")), [key], "_cut", "_seen", ["_at", take]).where("_at IS NOT NULL")
+    return found.select(key, anchor, "hours", take, ((F.col("_cut") - F.col("_at")) / 60_000_000).alias("lag_minutes"))
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, key: str, left_id: str, left_time: str, right_time: str, take: list[str], hours: int = 24) -> DataFrame:

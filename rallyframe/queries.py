@@ -531,8 +531,6 @@ def effective_date(spark, d):
 # Prices ----------------------------------------------------------------------
 
 TICKS = "(SELECT l_orderkey AS match_uid, 'b' || (l_suppkey % 3) AS book, (l_linenumber % 4 + 0.5)::DOUBLE AS points, CASE WHEN l_partkey % 2 = 0 THEN 'over' ELSE 'under' END AS side, round(1 + l_quantity / 25, 4) AS price, l_discount < 0.09 AS active, l_shipdate AS ts, l_partkey * 10 + l_linenumber AS tick_id FROM lineitem)"
-LAST = f"(SELECT match_uid, book, points, side, max(ts) AS ts, max_by(price, (ts, price, active)) AS price, max_by(active, (ts, price, active)) AS active FROM {TICKS} t WHERE ts <= TIMESTAMP '1999-06-01' GROUP BY ALL)"
-BOARD = f"(SELECT match_uid, book, points, max(price) FILTER (side = 'over' AND active) AS over_price, max(price) FILTER (side = 'under' AND active) AS under_price FROM {LAST} l GROUP BY ALL HAVING count(*) FILTER (active) > 0)"
 
 
 def ticks(spark, d):
@@ -543,23 +541,6 @@ def ticks(spark, d):
         F.when(F.col("l_partkey") % 2 == 0, "over").otherwise("under").alias("side"), F.round(1 + F.col("l_quantity") / 25, 4).alias("price"), (F.col("l_discount") < 0.09).alias("active"), F.col("l_shipdate").alias("ts"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("tick_id"))
 
 
-def board(spark, d):
-    t = ticks(spark, d)
-    times = t.select("match_uid").distinct().withColumn("t", F.lit("1999-06-01").cast("timestamp_ntz"))
-    return P.board_at(t, times)
-
-
-@query(f"SELECT match_uid, book, points, over_price, under_price FROM {BOARD}")
-def board_at(spark, d):
-    return board(spark, d).select("match_uid", "book", "points", "over_price", "under_price")
-
-
-@query(f"""SELECT match_uid, points, n_books, round(gap, 6) AS gap, best_over, best_under FROM (SELECT *, row_number() OVER (PARTITION BY match_uid ORDER BY n_books DESC, round(gap, 9), points) AS r FROM (
-SELECT match_uid, points, count(DISTINCT book) AS n_books, avg(abs(over_price - under_price)) AS gap, max(over_price) AS best_over, max(under_price) AS best_under FROM {BOARD} b WHERE over_price IS NOT NULL AND under_price IS NOT NULL GROUP BY 1, 2)) WHERE r = 1""")
-def main_line_pick(spark, d):
-    return P.main_lines(board(spark, d)).select("match_uid", "points", "n_books", F.round("gap", 6).alias("gap"), "best_over", "best_under")
-
-
 @query(f"""WITH t AS (SELECT user_id AS match_uid, event_type AS book, 0.5::DOUBLE AS points, CASE WHEN event_id % 2 = 0 THEN 'over' ELSE 'under' END AS side, event_id % 5 > 0 AS active, ts, event_id AS tick_id FROM events),
 s AS (SELECT *, coalesce(last_value(CASE WHEN side = 'over' THEN active END IGNORE NULLS) OVER w, false) AND coalesce(last_value(CASE WHEN side = 'under' THEN active END IGNORE NULLS) OVER w, false) AS live FROM t WINDOW w AS (PARTITION BY match_uid, book, points ORDER BY ts, tick_id)),
 m AS (SELECT *, live::INT - coalesce(lag(live) OVER (PARTITION BY match_uid, book, points ORDER BY ts, tick_id), false)::INT AS step FROM s),
@@ -833,3 +814,6 @@ def feature_plan(spark, d):
     out = FeatureEngine(feature_registry()).compute(player_matches(spark, d), FEATURES)
     names = {"win_pct(days=365)": "win_pct_365", "points_mean(days=180)": "points_mean_180"}
     return out.select("match_uid", "player_id", *[(F.col(f"`{s}`") if s == "matches_played_sum" else F.round(F.col(f"`{s}`"), 6)).alias(names.get(s, s)) for s in FEATURES])
+
+
+from . import evaluation_queries, market_queries  # noqa: E402, F401

@@ -1,8 +1,8 @@
 """Planner, languages, ratings, chains, streams and sinks."""
 
-import datetime
 import math
 import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rallyframe import queries
 from rallyframe.functions import scalars
 from rallyframe.functions import windows as W
-from rallyframe.operators import aggregates, evaluate, integrate, joins, markov, prices, ratings, reshape
+from rallyframe.operators import aggregates, evaluate, integrate, joins, ledger, markov, metrics, prices, ratings, reshape, splits
 from rallyframe.plans import filters, planner
 from rallyframe.plans.registry import Registry
 from rallyframe.sources import tables
@@ -18,7 +18,7 @@ from rallyframe.streaming import feeds
 
 
 def day(i, hour=0):
-    return datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i, hours=hour)
+    return datetime(2024, 1, 1) + timedelta(days=i, hours=hour)
 
 
 def test_spec_parsing():
@@ -147,13 +147,61 @@ def test_feed_flattening(spark):
     assert sorted((r.m, r.book, r.market, r.outcome, r.t, r.price) for r in rows) == [(7, "b1", "totals", "over", 1, 1.9), (7, "b1", "totals", "over", 2, 2.0)]
 
 
-def test_board_hides_stopped_sides(spark):
-    rows = [(1, "m", "b", "x", 2.5, "over", 1.9, True, day(0)), (2, "m", "b", "x", 2.5, "under", 1.8, True, day(0)), (3, "m", "b", "x", 2.5, "over", 2.1, False, day(1)), (4, "m", "b", "x", 2.5, "under", 9.0, True, day(9))]
-    ticks = spark.createDataFrame(rows, tables.TICKS)
-    at = spark.createDataFrame([("m", day(2))], "match_uid string, t timestamp")
-    board = prices.board_at(ticks, at).collect()
-    assert [(r.over_price, r.under_price) for r in board] == [(None, 1.8)] and prices.main_lines(prices.board_at(ticks, at)).count() == 0
-    assert prices.formed(ticks, 1).first().formed_at == day(0) and prices.formed(ticks, 2).count() == 0
+TICK = "tick_id long, match_uid string, book string, points double, side string, odds double, active boolean, ts timestamp, status string"
+
+
+def tick(i, book, points, side, odds, active, hour, status="NOT_STARTED", match="m"):
+    return (i, match, book, points, side, odds, active, datetime(2024, 1, 1, hour), status)
+
+
+def test_board_carries_stopped_sides_and_picks_main_lines(spark):
+    rows = [
+        tick(1, "b", 22.5, "over", 1.9, True, 0), tick(2, "b", 22.5, "under", 1.8, True, 0), tick(3, "b", 22.5, "over", 2.1, False, 1), tick(4, "b", 22.5, "under", 9.0, True, 9),
+        tick(5, "c", 21.5, "over", 2.0, True, 0), tick(6, "c", 21.5, "under", 2.0, True, 1), tick(7, "c", 22.5, "over", 2.2, True, 0), tick(8, "c", 22.5, "under", 1.7, True, 0), tick(9, "c", 23.5, "over", 3.0, True, 0),
+        tick(10, "c", 21.5, "over", 1.0, True, 1), tick(11, "c", 21.5, "over", 5.0, True, 1, "LIVE"), tick(12, "c", 21.5, "over", 5.0, True, 1, match=None),
+    ]
+    ticks = spark.createDataFrame(rows, TICK)
+    at = spark.createDataFrame([("m", datetime(2024, 1, 1, 2))], "match_uid string, t timestamp")
+    board = {(r.book, r.points): r for r in prices.board_at(ticks, at).collect()}
+    assert set(board) == {("b", 22.5), ("c", 21.5), ("c", 22.5), ("c", 23.5)}
+    stopped = board["b", 22.5]
+    assert (stopped.over_odds, stopped.live, stopped.live_over, stopped.live_under, stopped.is_main_line, stopped.n_two_sided) == (2.1, False, False, True, False, 0)
+    assert (stopped.quote_age_s, stopped.last_change_s) == (7200, 3600)
+    main = board["c", 21.5]
+    assert main.is_main_line and main.p_over == 0.5 and main.overround == 1.0 and main.n_two_sided == 2 and main.separation == pytest.approx(board["c", 22.5].imbalance)
+    assert board["c", 23.5].p_over is None and not board["c", 23.5].live and board["c", 23.5].live_over
+    assert [(r.points, r.n_books_on_line, r.books, r.n_books_live, r.line_spread) for r in prices.main_line_support(prices.board_at(ticks, at)).collect()] == [(21.5, 1, ["c"], 1, 0.0)]
+    with pytest.raises(Exception, match="one moment only"):
+        prices.board_at(ticks, at.union(at)).collect()
+    assert prices.board_at(ticks.limit(0), at).count() == 0
+
+
+def test_formed_sums_one_instant(spark):
+    rows = [tick(1, "b", 1.5, "over", 2.0, True, 0), tick(2, "b", 1.5, "under", 2.0, True, 0), tick(3, "b", 1.5, "under", 2.0, False, 5), tick(4, "b", 2.5, "over", 2.0, True, 3), tick(5, "b", 2.5, "under", 2.0, True, 5),
+            tick(6, "c", 1.5, "over", 2.0, True, 6), tick(7, "c", 1.5, "under", 2.0, True, 6)]
+    ticks = spark.createDataFrame(rows, TICK)
+    assert prices.formed(ticks, 1).first().formed_at == datetime(2024, 1, 1, 0) and prices.formed(ticks, 2).first().formed_at == datetime(2024, 1, 1, 6) and prices.formed(ticks, 3).count() == 0
+    starts = spark.createDataFrame([("m", datetime(2024, 1, 2)), ("m", datetime(2024, 1, 3)), ("n", None)], "match_uid string, start timestamp")
+    assert [r.t for r in prices.anchor("close", ticks, starts).collect()] == [datetime(2024, 1, 2, 23, 45)] and [r.t for r in prices.anchor("offset1.5", ticks, starts).collect()] == [datetime(2024, 1, 2, 22, 30)]
+    with pytest.raises(ValueError):
+        prices.anchor("peak", ticks, starts)
+
+
+def test_ledger_rules(spark):
+    """Pushes return the stake; one-sided and stopped sides are taken by what is left; reference books never."""
+    columns = "match_uid string, book string, points double, over_odds double, under_odds double, p_over double, live_over boolean, live_under boolean, is_main_line boolean"
+    rows = [("m", "b", 2.0, 2.5, 2.5, 0.5, True, True, True), ("m", "b", 2.5, 2.5, None, None, True, False, False), ("m", "b", 1.5, 3.0, 9.0, 0.75, True, False, False), ("m", "pinnacle", 2.0, 9.0, 9.0, 0.5, True, True, True), ("m", "b", 9.5, 2.0, 2.0, 0.5, True, True, False), ("x", "b", 2.5, 2.0, 2.0, 0.5, True, True, True)]
+    pmf = spark.createDataFrame([("m", [0.1, 0.2, 0.3, 0.4], 2), ("y", [1.0], None)], "match_uid string, pmf array<double>, actual_total int")
+    settled = ledger.settle(ledger.price(ledger.line_offset(spark.createDataFrame(rows, columns)), pmf), pmf)
+    got = {(r.book, r.points): r for r in settled.collect()}
+    assert set(got) == {("b", 2.0), ("b", 2.5), ("b", 1.5), ("pinnacle", 2.0)}
+    push = got["b", 2.0]
+    assert push.is_push and push.over_won is None and push.pnl_over == push.pnl_under == 0.0 and push.p_push == pytest.approx(0.3) and push.model_p_over == pytest.approx(0.4) and push.model_p_under == pytest.approx(0.3)
+    assert got["b", 1.5].over_won and got["b", 1.5].pnl_over == 2.0 and got["b", 1.5].pnl_under == -1.0 and got["b", 1.5].line_offset == -0.5
+    taken = {(r.points, r.side): r.odds for r in ledger.bets(settled, -0.01).collect()}
+    assert taken == {(2.0, "over"): 2.5, (2.5, "over"): 2.5, (1.5, "over"): 3.0}
+    sides = ledger.mean_covers(ledger.by_side(settled), pmf)
+    assert sides.count() == 8 and {(r.side, r.mean_covers) for r in sides.where("points = 1.5").collect()} == {("over", True), ("under", False)}
 
 
 def test_settlement(spark):
@@ -224,7 +272,7 @@ def test_quarantine(spark):
 
 def test_streams(spark, tmp_path):
     schema = "match_uid string, book string, tick_id long, price double, ts timestamp"
-    rows = [("m", "b", i, 1.5 + i / 10, day(0) + datetime.timedelta(minutes=7 * i)) for i in range(9)]
+    rows = [("m", "b", i, 1.5 + i / 10, day(0) + timedelta(minutes=7 * i)) for i in range(9)]
     source = str(tmp_path / "in")
     spark.createDataFrame([*rows, rows[0]], schema).coalesce(1).write.parquet(source)
     stream = lambda: feeds.file_stream(spark, source, spark.read.parquet(source).schema)
@@ -253,3 +301,36 @@ def test_html_tables(spark):
     rows = web.html_tables(df, "id", "html")
     assert sorted((r.table, r.row, r.header, tuple(r.cells), r.links[0]) for r in rows.collect()) == [(0, 0, True, ("Player", "Pts"), None), (0, 1, False, ("A. One", "1 200"), "/p/1"), (0, 2, False, ("B Two", "9"), None), (1, 0, False, ("inner",), None)]
     assert [(r.row, r.fields) for r in web.records(rows, "id").orderBy("row").collect()] == [(1, {"Player": "A. One", "Pts": "1 200"}), (2, {"Player": "B Two", "Pts": "9"})]
+
+
+def test_incomplete_beta_by_integration(spark):
+    import numpy as np
+
+    x = [0.001, 0.2, 0.5, 0.51, 0.9, 0.999]
+    row = spark.createDataFrame([(v,) for v in x], "x double").select("x", metrics.incomplete_beta(F.col("x"), 0.25, 1.25).alias("a"), metrics.incomplete_beta(F.col("x"), 2.0, 3.0).alias("b")).collect()
+    # Substituting t = u**4 takes the pole at 0 away.
+    u = np.linspace(0, 1, 400_001)
+    grid = np.concatenate([[0], np.cumsum(((1 - u**4) ** 0.25)[:-1] + ((1 - u**4) ** 0.25)[1:])])
+    for r in row:
+        assert r.b == pytest.approx(6 * r.x**2 - 8 * r.x**3 + 3 * r.x**4)
+        assert r.a == pytest.approx(float(np.interp(r.x**0.25, u, grid / grid[-1])), abs=1e-6)
+
+
+def test_metrics_of_one_class_and_ties(spark):
+    df = spark.createDataFrame([("a", 0.7, 1), ("a", 0.6, 1), ("b", 0.5, 1), ("b", 0.5, 0), ("b", None, 1), ("c", 0.9, 1), ("c", 0.1, 0)], "k string, p double, y int")
+    got = {r.k: r for r in metrics.metrics(df, "p", "y", ["k"]).collect()}
+    assert got["a"].roc_auc is None and got["a"].weighted_concordance == 0 and got["a"].partial_auc_tail == 0.5
+    assert got["b"].n == 2 and got["b"].roc_auc == 0.5 and got["b"].partial_auc_tail == pytest.approx(0.5) and got["c"].roc_auc == 1 and got["c"].partial_auc_tail == 1 and got["c"].weighted_concordance == 1
+
+
+def test_split_bounds(spark):
+    assert splits.expanding_rows(10, n_splits=1, min_train_size=4, test_size=3) == [(0, 4, 4, 7)] and splits.sliding_rows(10, 4, 3) == [(0, 4, 4, 7), (3, 7, 7, 10)]
+    assert splits.month_folds(date(2024, 1, 15), date(2024, 7, 2), 3, 2, True) == [(date(2024, 1, 1), date(2024, 4, 1), date(2024, 4, 1), date(2024, 6, 1))]
+    for bad in ({}, {"n_splits": 2, "step_size": 1}, {"n_splits": 2}, {"step_size": 2}, {"n_splits": 2, "min_train_size": 9, "test_size": 9}):
+        with pytest.raises(ValueError):
+            splits.expanding_rows(10, **bad)
+    df = spark.createDataFrame([(i, date(2024, 1, 1 + i // 2)) for i in range(6)], "i int, effective_match_date date")
+    rows = splits.split(df, "sliding_window", tie=["i"], train_size=2, test_size=2).collect()
+    assert sorted((r.fold, r.part, r.i) for r in rows) == [(0, "test", 2), (0, "test", 3), (0, "train", 0), (0, "train", 1), (1, "test", 4), (1, "test", 5), (1, "train", 2), (1, "train", 3)]
+    with pytest.raises(ValueError):
+        splits.split(df, "date_window", test_start=date(2020, 1, 1))
