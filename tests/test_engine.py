@@ -325,7 +325,7 @@ def test_metrics_of_one_class_and_ties(spark):
 
 def test_split_bounds(spark):
     assert splits.expanding_rows(10, n_splits=1, min_train_size=4, test_size=3) == [(0, 4, 4, 7)] and splits.sliding_rows(10, 4, 3) == [(0, 4, 4, 7), (3, 7, 7, 10)]
-    assert splits.month_folds(date(2024, 1, 15), date(2024, 7, 2), 3, 2, True) == [(date(2024, 1, 1), date(2024, 4, 1), date(2024, 4, 1), date(2024, 6, 1))]
+    assert splits.month_folds(date(2024, 1, 15), date(2024, 6, 30), 3, 2, True) == [(date(2024, 1, 1), date(2024, 4, 1), date(2024, 4, 1), date(2024, 6, 1))]
     for bad in ({}, {"n_splits": 2, "step_size": 1}, {"n_splits": 2}, {"step_size": 2}, {"n_splits": 2, "min_train_size": 9, "test_size": 9}):
         with pytest.raises(ValueError):
             splits.expanding_rows(10, **bad)
