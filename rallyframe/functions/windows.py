@@ -60,7 +60,8 @@ def rolling_sum(x: Column, over: Over, days: int, fill=0) -> Column:
 
 
 def rolling_count(over: Over, days: int) -> Column:
-    return F.count(F.lit(1)).over(over.rolling(days))
+    """Rows in the window; 0 for a row without a time."""
+    return F.when(F.col(over.time).isNull(), F.lit(0)).otherwise(F.count(F.lit(1)).over(over.rolling(days)))
 
 
 def rolling_mean(x: Column, over: Over, days: int) -> Column:
@@ -146,12 +147,15 @@ def interleaved(x: Column, over: Over, days: int) -> Column:
     return F.coalesce((F.lead(x, 2).over(w) == x) & (F.lead(x, 1).over(w) != x) & (span <= days * DAY), F.lit(False))
 
 
-def instance_average(x: Column, keys: tuple[str, ...], instance: str, time: str, order: str, df: DataFrame) -> DataFrame:
-    """Mean over earlier instances of the instance's total: totals first, one
-    row an instance, then a running mean over that small table, joined back."""
-    totals = df.groupBy(*keys, instance).agg(F.sum(x).alias("_total"), F.min(time).alias("_first"))
-    w = Window.partitionBy(*keys).orderBy("_first", instance).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(totals.withColumn("instance_avg", F.avg("_total").over(w)).drop("_total", "_first"), [*keys, instance])
+def instance_average(df: DataFrame, x: Column, over: Over, instance: str, name: str = "instance_avg") -> DataFrame:
+    """``df`` with the mean of the totals of the key's instances that have ended
+    before the row; null before the first has. A total counts from the row after
+    the instance's last one, so that of an instance which runs on isn't known
+    early. All windows split by the same keys: one shuffle."""
+    whole = Window.partitionBy(*over.keys, instance)
+    last = F.row_number().over(whole.orderBy(F.desc(over.time), *[F.desc(o) for o in over.order])) == 1
+    marked = df.withColumn("_total", F.sum(x).over(whole)).withColumn("_ended", F.when(last, F.col("_total")))
+    return marked.withColumn(name, F.avg("_ended").over(over.before())).drop("_total", "_ended")
 
 
 def population_window(df: DataFrame, time: str, x: str, days: int) -> DataFrame:
@@ -165,18 +169,20 @@ def population_window(df: DataFrame, time: str, x: str, days: int) -> DataFrame:
 
 
 def leave_one_out_z(df: DataFrame, key: str, time: str, x: str, days: int) -> DataFrame:
-    """``df`` with loo_z: the key's own window mean against the mean and
-    deviation of everybody else's values in the same days."""
+    """``df`` with loo_z: the row's own value against the mean and deviation of
+    everybody else's values of the days before; null with fewer than two of
+    those or where they are all equal."""
     day = F.to_date(time)
     own = df.groupBy(F.col(key), day.alias("day")).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"))
     w = Window.partitionBy(key).orderBy(F.unix_date("day")).rangeBetween(-days, -1)
-    own = own.select(key, "day", *[F.sum(c).over(w).alias(f"own_{c}") for c in "nsq"])
+    own = own.select(key, "day", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"own_{c}") for c in "nsq"])
     both = own.join(population_window(df, time, x, days), "day")
     n, s, q = (F.col(f"pop_{c}") - F.col(f"own_{c}") for c in "nsq")
     mean = F.try_divide(s, n)
-    var = F.try_divide(q - F.try_divide(s * s, n), n - 1)
-    z = F.when((F.col("own_n") > 0) & (n > 1) & (var > 1e-12), (F.col("own_s") / F.col("own_n") - mean) / F.sqrt(var))
-    return df.withColumn("day", day).join(both.select(key, "day", z.alias("loo_z")), [key, "day"])
+    # Sums of squares leave rounding noise where all values are equal.
+    var = F.greatest(F.try_divide(q - F.try_divide(s * s, n), n - 1), F.lit(0.0))
+    field = both.select(key, "day", mean.alias("_mean"), F.when((n >= 2) & (var > 1e-12), F.sqrt(var)).alias("_std"))
+    return df.withColumn("day", day).join(field, [key, "day"]).withColumn("loo_z", (F.col(x) - F.col("_mean")) / F.col("_std")).drop("_mean", "_std")
 
 
 def rolling_population_quantile(df: DataFrame, time: str, x: str, days: int, q: float) -> DataFrame:

@@ -130,3 +130,21 @@ def top_by(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> D
     """The first ``k`` rows of each key; ``order`` must end in a unique column."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+
+
+def per_distinct(df: DataFrame, keys: list[str], grain: list[str], measures: list[Column]) -> DataFrame:
+    """Measures over the distinct rows of a finer grain, such as games of matches
+    told once a point. Rows of a grain must agree in what ``measures`` read;
+    the first by value stands for them."""
+    inner = [c for c in df.columns if c not in {*keys, *grain}]
+    once = df.groupBy(*keys, *grain).agg(F.min(F.struct(*inner)).alias("_r")).select(*keys, *grain, "_r.*") if inner else df.select(*keys, *grain).distinct()
+    return once.groupBy(*keys).agg(*measures)
+
+
+def first_live(snapshots: DataFrame, key: str, time: str, status: str, waiting: str = "NOT_STARTED") -> DataFrame:
+    """(key, anchor_at): the first snapshot in play after every one that says the
+    match hasn't started; matches without one are left out. One shuffle."""
+    last = F.max(F.when(F.col(status) == waiting, F.col(time))).over(Window.partitionBy(key))
+    seen = snapshots.select(key, time, status).withColumn("_last", last)
+    live = seen.where((F.col(status) != waiting) & (F.col("_last").isNull() | (F.col(time) > F.col("_last"))))
+    return live.groupBy(key).agg(F.min(time).alias("anchor_at"))

@@ -24,16 +24,35 @@ def swap_sides(df: DataFrame, disagree: Column, first: str, second: str, fields:
     return df.withColumns(both)
 
 
-def effective_date(df: DataFrame, tournament: list[str], start: str, round_: str, scheduled: str, duration: Column) -> DataFrame:
-    """``df`` with effective_match_date: the schedule's date if the whole
-    tournament has one, else the start plus the round's share of the duration."""
+#: Circuits whose listed span may merge several weeks, and the days they last.
+SHORT_CIRCUITS, SHORT_DAYS = ("itf", "chal"), 6
+
+
+def effective_date(df: DataFrame, tournament: list[str], draw: str, round_order: str, start: str, end: str, scheduled: str, circuit: str | None = None, event_type: str | None = None, strict: bool = True) -> DataFrame:
+    """``df`` with effective_match_date.
+
+    A match without a schedule takes the latest one of its tournament, draw and
+    round. If then all of the tournament's matches have one, that is the date.
+    Otherwise rounds are laid evenly over the tournament's days (six at most on
+    short circuits) from its start; qualifying rounds of a Grand Slam (round
+    order 3 and below) lie on the days before it. A match that gets no date is an
+    error when rows are read, or null if not ``strict``. One shuffle by tournament.
+    """
     t = Window.partitionBy(*tournament)
-    offset = F.dense_rank().over(t.orderBy(round_)) - 1
-    placed = df.withColumn("_offset", offset)
+    peers = F.max(scheduled).over(Window.partitionBy(*tournament, draw, round_order))
+    placed = df.withColumn("_known", F.coalesce(F.col(scheduled), peers)).withColumn("_offset", F.when(F.col(round_order).isNotNull(), F.dense_rank().over(t.orderBy(F.col(round_order).asc_nulls_last())) - 1))
+    days = F.datediff(end, start)
+    days = F.when(F.col(circuit).isin(*SHORT_CIRCUITS) & (days > SHORT_DAYS), SHORT_DAYS).otherwise(days) if circuit else days
     last = F.max("_offset").over(t)
-    share = F.when(last > 0, F.round(F.col("_offset") * duration / last)).otherwise(0).cast("int")
-    whole = F.count(scheduled).over(t) == F.count(F.lit(1)).over(t)
-    return placed.withColumn("effective_match_date", F.when(whole, F.col(scheduled).cast("date")).otherwise(F.date_add(F.col(start).cast("date"), share))).drop("_offset")
+    share = F.when(last > 0, F.round(F.col("_offset") * days / last)).otherwise(0).cast("int")
+    if event_type:
+        share = F.when((F.col(event_type) == "GS") & (F.col(round_order) <= 3), F.col(round_order) - 4).otherwise(share).cast("int")
+    whole = F.count("_known").over(t) == F.count(F.lit(1)).over(t)
+    moment = lambda c: c.cast("timestamp_ntz")
+    found = F.when(whole, moment(F.col("_known"))).otherwise(moment(F.date_add(F.col(start).cast("date"), share)))
+    if strict:
+        found = F.coalesce(found, F.raise_error(F.lit("a match has no effective date")).cast("timestamp_ntz"))
+    return placed.withColumn("effective_match_date", found).drop("_known", "_offset")
 
 
 def odds_movement(snapshots: DataFrame, keys: list[str], time: str, price: str, tie: str) -> DataFrame:

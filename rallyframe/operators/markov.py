@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -79,11 +79,12 @@ def match_games(pa: float, pb: float, best_of: int = 3) -> tuple[float, list[flo
 
 
 def _rows(batches):
+    """Each pair of chances is computed once a task, while it is among the recent ones."""
+    known = lru_cache(maxsize=1 << 14)(match_games)
     for rows in batches:
         out = []
         for i, a, b, n in zip(rows["id"], rows["pa"], rows["pb"], rows["best_of"], strict=True):
-            won, pmf = match_games(float(a), float(b), int(n))
-            out.append((i, won, pmf))
+            out.append((i, *known(float(a), float(b), int(n))))
         yield pd.DataFrame(out, columns=["id", "p_match", "games_pmf"])
 
 

@@ -70,3 +70,14 @@ def completed(reason: Column, result: Column, also: tuple[str, ...] = ()) -> Col
 
 def no_team_events(name: Column, circuit: Column) -> Column:
     return ~(F.coalesce(F.startswith(name, F.lit("DC")), F.lit(False)) | F.coalesce(circuit == "team", F.lit(False)))
+
+
+def upto(df: DataFrame, cutoff, column: str = "effective_match_date") -> DataFrame:
+    """Rows dated up to ``cutoff``, all of its day included; without a cutoff all
+    rows. A frame without the column is an error, as silence would let later
+    rows in."""
+    if cutoff is None:
+        return df
+    if column not in df.columns:
+        raise ValueError(f"no column {column!r} to cut at {cutoff}")
+    return df.where(F.to_date(column) <= F.lit(cutoff).cast("date"))

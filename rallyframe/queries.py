@@ -175,8 +175,8 @@ def dense_offset(spark, d):
 pw AS (SELECT day, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q FROM p WINDOW w AS (ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)),
 o AS (SELECT user_id, ts::DATE AS day, count(value) AS n, sum(value) AS s, sum(value * value) AS q FROM events GROUP BY 1, 2),
 ow AS (SELECT user_id, day, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q FROM o WINDOW w AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)),
-z AS (SELECT user_id, day, ow.n AS own_n, ow.s AS own_s, pw.n - ow.n AS n, pw.s - ow.s AS s, pw.q - ow.q AS q FROM ow JOIN pw USING (day))
-SELECT event_id, round(CASE WHEN own_n > 0 AND n > 1 AND (q - s * s / n) / (n - 1) > 1e-12 THEN (own_s / own_n - s / n) / sqrt((q - s * s / n) / (n - 1)) END, 5) AS loo_z
+z AS (SELECT user_id, day, pw.n - coalesce(ow.n, 0) AS n, pw.s - coalesce(ow.s, 0) AS s, pw.q - coalesce(ow.q, 0) AS q FROM ow JOIN pw USING (day))
+SELECT event_id, round(CASE WHEN n >= 2 AND (q - s * s / n) / (n - 1) > 1e-12 THEN (value - s / n) / sqrt((q - s * s / n) / (n - 1)) END, 5) AS loo_z
 FROM events e JOIN z ON z.user_id = e.user_id AND z.day = e.ts::DATE""")
 def loo_zscore(spark, d):
     return W.leave_one_out_z(events(spark, d).select("event_id", "user_id", "ts", "value"), "user_id", "ts", "value", 7).select("event_id", F.round("loo_z", 5).alias("loo_z"))
@@ -188,10 +188,10 @@ def rolling_population_quantile(spark, d):
     return W.rolling_population_quantile(events(spark, d), "ts", "value", 7, 0.33)
 
 
-@query("""WITH t AS (SELECT user_id, event_type, sum(value) AS total, min(ts) AS f FROM events GROUP BY 1, 2)
-SELECT event_id, round(a, 5) AS instance_avg FROM events JOIN (SELECT user_id, event_type, avg(total) OVER (PARTITION BY user_id ORDER BY f, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a FROM t) USING (user_id, event_type)""")
+@query("""WITH t AS (SELECT user_id, event_type, sum(value) AS total, max((ts, event_id)) AS ended FROM events GROUP BY 1, 2)
+SELECT event_id, round(avg(total), 5) AS instance_avg FROM events e LEFT JOIN t ON t.user_id = e.user_id AND t.ended < (e.ts, e.event_id) GROUP BY event_id""")
 def instance_average(spark, d):
-    return W.instance_average(F.col("value"), ("user_id",), "event_type", "ts", "event_id", events(spark, d)).select("event_id", F.round("instance_avg", 5).alias("instance_avg"))
+    return W.instance_average(events(spark, d), F.col("value"), USER, "event_type").select("event_id", F.round("instance_avg", 5).alias("instance_avg"))
 
 
 @query("SELECT event_id, round(value / nullif(sum(value) OVER (PARTITION BY user_id), 0), 6) AS share, max(value) OVER (PARTITION BY user_id, event_type) AS best FROM events")
@@ -207,18 +207,21 @@ def sweep_concurrency(spark, d):
 
 # Joins -----------------------------------------------------------------------
 
-PAIRS = "(SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS side FROM lineitem)"
+PAIRS = """(SELECT *, l_orderkey * 1000 + (r - 1) // 2 AS match_uid, (r - 1) % 2 + 1 AS side FROM (
+SELECT l_orderkey, l_quantity, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem))"""
 
 
 def pairs(spark, d):
-    """The first two lines of each order, as the two sides of a match."""
+    """All lines of each order by twos, as the sides of matches; the last line of
+    an odd number has no other side."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", F.row_number().over(w).alias("side")).where("side <= 2")
+    placed = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", (F.row_number().over(w) - 1).alias("_r"))
+    return placed.select("l_orderkey", (F.col("l_orderkey") * 1000 + F.expr("_r div 2")).alias("match_uid"), (F.col("_r") % 2 + 1).alias("side"), "l_quantity", "l_extendedprice")
 
 
-@query(f"SELECT a.l_orderkey, a.side::INT AS side, a.l_quantity, b.l_quantity AS opp_l_quantity, b.l_extendedprice AS opp_l_extendedprice FROM (SELECT * FROM {PAIRS} WHERE side <= 2) a LEFT JOIN (SELECT * FROM {PAIRS} WHERE side <= 2) b ON a.l_orderkey = b.l_orderkey AND a.side <> b.side")
+@query(f"SELECT a.match_uid, a.side::INT AS side, a.l_quantity, b.l_quantity AS opp_l_quantity, b.l_extendedprice AS opp_l_extendedprice FROM {PAIRS} a LEFT JOIN {PAIRS} b ON a.match_uid = b.match_uid AND a.side <> b.side")
 def mirror_self_join(spark, d):
-    return J.mirror(pairs(spark, d), "l_orderkey", "side", ["l_quantity", "l_extendedprice"]).select("l_orderkey", "side", "l_quantity", "opp_l_quantity", "opp_l_extendedprice")
+    return J.mirror(pairs(spark, d), "match_uid", "side", ["l_quantity", "l_extendedprice"]).select("match_uid", "side", "l_quantity", "opp_l_quantity", "opp_l_extendedprice")
 
 
 @query("""SELECT a.event_id, round(sum(w * v) / (sum(w) + 2), 5) AS kernel_mean, round(sum(w) * sum(w) / sum(w * w), 4) AS effective_n, count(*) AS n FROM (
@@ -374,13 +377,17 @@ def median_lag_cap(spark, d):
 
 
 CUBE = """(SELECT concat_ws('+', CASE WHEN grouping(l_returnflag) = 0 THEN 'l_returnflag' END, CASE WHEN grouping(l_linestatus) = 0 THEN 'l_linestatus' END, CASE WHEN grouping(l_linenumber) = 0 THEN 'l_linenumber' END) AS slice_dims,
-l_returnflag, l_linestatus, l_linenumber, count(*) AS n, round(avg(l_discount), 6) AS rate FROM lineitem
+l_returnflag, l_linestatus, l_linenumber, count(*) AS n, ((20000 * sum(round(l_discount * 100)::BIGINT) + count(*)) // (2 * count(*)))::DOUBLE / 1000000 AS rate FROM lineitem
 GROUP BY GROUPING SETS ((), (l_returnflag), (l_linestatus), (l_linenumber), (l_returnflag, l_linestatus), (l_returnflag, l_linenumber), (l_linestatus, l_linenumber)) HAVING count(*) >= 25)"""
 DIMS = ["l_returnflag", "l_linestatus", "l_linenumber"]
 
 
 def cube(spark, d):
-    return A.slices(table(spark, d, "lineitem"), DIMS, [r6(F.avg("l_discount"), "rate")], 2, 25)
+    """Mean discount by slice, rounded in whole numbers: sums of hundredths are
+    exact in any order, where a sum of fractions decides the last digit by chance."""
+    lines = table(spark, d, "lineitem").withColumn("_hundredths", F.round(F.col("l_discount") * 100).cast("long"))
+    rate = F.expr("cast((20000 * sum(_hundredths) + count(*)) div (2 * count(*)) as double) / 1000000").alias("rate")
+    return A.slices(lines, DIMS, [rate], 2, 25)
 
 
 @query(f"SELECT * FROM {CUBE}")
@@ -521,11 +528,39 @@ def rating_math(spark, d):
     return events(spark, d).select("event_id", F.round(S.logistic_expectation(F.col("value"), F.lit(50.0)), 8).alias("expected"), F.round(S.hold_probability(p), 8).alias("hold"))
 
 
-@query("""SELECT o_orderkey, (o_orderdate::DATE + CASE WHEN last > 0 THEN round(place * 6.0 / last) ELSE 0 END::INT)::DATE AS effective_match_date FROM (
-SELECT *, max(place) OVER (PARTITION BY o_custkey) AS last FROM (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) - 1 AS place FROM orders))""")
+STAGED = """(SELECT *, min(o_orderdate::DATE) OVER (PARTITION BY tid) AS start_date, (min(o_orderdate::DATE) OVER (PARTITION BY tid) + (tid % 16)::INT)::DATE AS end_date FROM (
+SELECT o_orderkey, o_orderdate, o_custkey // 4 AS tid, o_orderstatus AS draw, (substr(o_orderpriority, 1, 1)::INT * 2 - 1) AS round_order, CASE WHEN o_orderkey % 3 > 0 AND (o_custkey // 4) % 3 > 0 THEN o_orderdate + to_hours((o_orderkey % 24)::INT) END AS planned,
+['itf', 'chal', 'tour'][(o_custkey // 4) % 3 + 1] AS circuit, CASE WHEN (o_custkey // 4) % 5 = 0 THEN 'GS' ELSE 'T' END AS event_type FROM orders))"""
+
+
+@query(f"""WITH p AS (SELECT *, coalesce(planned, max(planned) OVER (PARTITION BY tid, draw, round_order)) AS known, dense_rank() OVER (PARTITION BY tid ORDER BY round_order) - 1 AS place, CASE WHEN circuit IN ('itf', 'chal') AND end_date - start_date > 6 THEN 6 ELSE end_date - start_date END AS days FROM {STAGED} s),
+q AS (SELECT *, max(place) OVER (PARTITION BY tid) AS last, count(known) OVER (PARTITION BY tid) = count(*) OVER (PARTITION BY tid) AS whole FROM p)
+SELECT o_orderkey, CASE WHEN whole THEN known ELSE (start_date + CASE WHEN event_type = 'GS' AND round_order <= 3 THEN round_order - 4 WHEN last > 0 THEN round(place * days::DOUBLE / last)::INT ELSE 0 END)::TIMESTAMP END AS effective_match_date FROM q""")
 def effective_date(spark, d):
-    o = table(spark, d, "orders").withColumn("planned", F.when(F.col("o_orderkey") < 0, F.col("o_orderdate")))
-    return I.effective_date(o, ["o_custkey"], "o_orderdate", "o_orderpriority", "planned", F.lit(6)).select("o_orderkey", "effective_match_date")
+    tid = F.expr("o_custkey div 4")
+    o = table(spark, d, "orders").select(
+        "o_orderkey", "o_orderdate", tid.alias("tid"), F.col("o_orderstatus").alias("draw"), (F.substring("o_orderpriority", 1, 1).cast("int") * 2 - 1).alias("round_order"),
+        F.when((F.col("o_orderkey") % 3 > 0) & (tid % 3 > 0), F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))).alias("planned"),
+        F.get(F.array(F.lit("itf"), F.lit("chal"), F.lit("tour")), (tid % 3).cast("int")).alias("circuit"), F.when(tid % 5 == 0, "GS").otherwise("T").alias("event_type"))
+    start = F.min(F.to_date("o_orderdate")).over(Window.partitionBy("tid"))
+    staged = o.withColumn("start_date", start).withColumn("end_date", F.date_add("start_date", (F.col("tid") % 16).cast("int")))
+    return I.effective_date(staged, ["tid"], "draw", "round_order", "start_date", "end_date", "planned", "circuit", "event_type").select("o_orderkey", "effective_match_date")
+
+
+@query("""WITH l AS (SELECT user_id, max(ts) FILTER (event_type = 'view') AS last FROM events GROUP BY 1) SELECT user_id, min(ts) AS anchor_at FROM events JOIN l USING (user_id) WHERE event_type <> 'view' AND (last IS NULL OR ts > last) GROUP BY 1""")
+def first_live_anchor(spark, d):
+    return A.first_live(events(spark, d), "user_id", "ts", "event_type", "view")
+
+
+@query("""WITH g AS (SELECT o_custkey, o_orderpriority, min(o_orderstatus) AS s FROM orders GROUP BY 1, 2) SELECT o_custkey, count(*) AS n_grains, count(*) FILTER (s = 'F') AS n_done FROM g GROUP BY 1""")
+def distinct_sub_grain(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus")
+    return A.per_distinct(rows, ["o_custkey"], ["o_orderpriority"], [F.count(F.lit(1)).alias("n_grains"), F.count_if(F.col("o_orderstatus") == "F").alias("n_done")])
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate::DATE <= DATE '1996-06-30'")
+def cutoff_filter(spark, d):
+    return L.upto(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "1996-06-30", "o_orderdate")
 
 
 # Prices ----------------------------------------------------------------------
@@ -729,20 +764,43 @@ def clustered_bootstrap(spark, d):
 
 # Ratings, chains, features ---------------------------------------------------
 
+PAIRINGS = "(SELECT o_orderkey, o_orderdate, o_orderpriority, o_custkey AS a, o_custkey * 7 % 101 + 1 AS b, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice > 200000 END AS won FROM orders WHERE o_custkey <> o_custkey * 7 % 101 + 1)"
+
+
 def pairings(spark, d):
-    """Orders as matches between a customer and the next one by number."""
+    """Orders as matches between a customer and another by number."""
     o = table(spark, d, "orders")
-    return o.select("o_orderkey", "o_orderdate", "o_orderpriority", F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 101 + 1).alias("b"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") > 200_000).alias("won")).where("a <> b")
+    other = F.col("o_custkey") * 7 % 101 + 1
+    return o.where(F.col("o_custkey") != other).select("o_orderkey", "o_orderdate", "o_orderpriority", F.col("o_custkey").alias("a"), other.alias("b"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") > 200_000).alias("won"))
 
 
-@query()
+def elo_sql(pool: str) -> str:
+    """The fold as a recursion: in each step the matches that are next for both
+    their players; the table of players is updated by key."""
+    return f"""WITH RECURSIVE m AS (SELECT *, {pool} AS pool, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS pos FROM {PAIRINGS} q),
+i AS (SELECT pos, pool, p, row_number() OVER (PARTITION BY pool, p ORDER BY pos) AS n FROM (SELECT pos, pool, a AS p FROM m UNION ALL SELECT pos, pool, b FROM m)),
+g AS MATERIALIZED (SELECT m.*, x.n AS na, y.n AS nb FROM m JOIN i x ON x.pos = m.pos AND x.p = a JOIN i y ON y.pos = m.pos AND y.p = b),
+s(kind, pool, id, n, played, r, other) USING KEY (kind, pool, id) AS (SELECT 'p', pool, p, 1::BIGINT, 0::BIGINT, 1500.0::DOUBLE, 0.0::DOUBLE FROM (SELECT DISTINCT pool, p FROM i)
+UNION SELECT kind, pool, id, n, played, r, other FROM (SELECT unnest([{{'kind': 'p', 'pool': pool, 'id': a, 'n': na + 1, 'played': pa + (won IS NOT NULL)::INT, 'r': ra + coalesce(ka * d, 0), 'other': 0.0::DOUBLE}},
+  {{'kind': 'p', 'pool': pool, 'id': b, 'n': nb + 1, 'played': pb + (won IS NOT NULL)::INT, 'r': rb - coalesce(kb * d, 0), 'other': 0.0::DOUBLE}}, {{'kind': 'm', 'pool': pool, 'id': o_orderkey, 'n': 0, 'played': 0, 'r': ra, 'other': rb}}], recursive := true)
+  FROM (SELECT g.*, sa.r AS ra, sb.r AS rb, sa.played AS pa, sb.played AS pb, CASE WHEN sa.played < 30 THEN 48.0 ELSE 32.0 END AS ka, CASE WHEN sb.played < 30 THEN 48.0 ELSE 32.0 END AS kb, won::INT - 1 / (1 + pow(10, (sb.r - sa.r) / 400)) AS d
+   FROM g JOIN recurring.s sa ON sa.kind = 'p' AND sa.pool = g.pool AND sa.id = a AND sa.n = na JOIN recurring.s sb ON sb.kind = 'p' AND sb.pool = g.pool AND sb.id = b AND sb.n = nb)))
+SELECT pool, id AS match, round(r, 6) AS a_before, round(other, 6) AS b_before FROM s WHERE kind = 'm'"""
+
+
+def rated(spark, d, pool=None):
+    out = R.elo(pairings(spark, d), "o_orderkey", "o_orderdate", "a", "b", "won", pool=pool)
+    return out.select("pool", "match", r6(F.col("a_before"), "a_before"), r6(F.col("b_before"), "b_before"))
+
+
+@query(elo_sql("''"))
 def elo_fold(spark, d):
-    return R.elo(pairings(spark, d), "o_orderkey", "o_orderdate", "a", "b", "won")
+    return rated(spark, d)
 
 
-@query()
+@query(elo_sql("o_orderpriority"))
 def elo_fold_by_pool(spark, d):
-    return R.elo(pairings(spark, d), "o_orderkey", "o_orderdate", "a", "b", "won", pool="o_orderpriority")
+    return rated(spark, d, "o_orderpriority")
 
 
 @query()
@@ -793,13 +851,13 @@ def feature_registry() -> Registry:
     return reg
 
 
-MATCHES = f"(SELECT l_orderkey AS match_uid, ('p' || ((l_orderkey * 31 + side * 17) % 211)) AS player_id, o_orderdate AS ts, (side = 1)::INT AS won, l_quantity AS points, side FROM {PAIRS} l JOIN orders ON l_orderkey = o_orderkey WHERE side <= 2)"
+MATCHES = f"(SELECT match_uid, ('p' || ((match_uid * 31 + side * 17) % 211)) AS player_id, o_orderdate AS ts, (side = 1)::INT AS won, l_quantity AS points, side FROM {PAIRS} l JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def player_matches(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("ts"))
-    player = F.concat(F.lit("p"), ((F.col("l_orderkey") * 31 + F.col("side") * 17) % 211).cast("string"))
-    return pairs(spark, d).join(o, "l_orderkey").select(F.col("l_orderkey").alias("match_uid"), player.alias("player_id"), "ts", (F.col("side") == 1).cast("int").alias("won"), F.col("l_quantity").alias("points"))
+    player = F.concat(F.lit("p"), ((F.col("match_uid") * 31 + F.col("side") * 17) % 211).cast("string"))
+    return pairs(spark, d).join(o, "l_orderkey").select("match_uid", player.alias("player_id"), "ts", (F.col("side") == 1).cast("int").alias("won"), F.col("l_quantity").alias("points"))
 
 
 FEATURES = ["win_pct", "win_pct(days=365)", "points_mean(days=180)", "win_pct_diff", "matches_played_sum", "form_vs_record"]

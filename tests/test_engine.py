@@ -109,7 +109,8 @@ def test_elo_is_a_plain_fold(spark):
         assert got[m] == pytest.approx((x, y))
         if won is not None:
             e = 1 / (1 + 10 ** ((y - x) / 400))
-            state[a], state[b] = (x + 250 / (n + 5) ** 0.4 * (won - e), n + 1), (y - 250 / (k + 5) ** 0.4 * (won - e), k + 1)
+            step = lambda played: 48 if played < 30 else 32
+            state[a], state[b] = (x + step(n) * (won - e), n + 1), (y - step(k) * (won - e), k + 1)
 
 
 def test_glicko_example():
@@ -334,3 +335,40 @@ def test_split_bounds(spark):
     assert sorted((r.fold, r.part, r.i) for r in rows) == [(0, "test", 2), (0, "test", 3), (0, "train", 0), (0, "train", 1), (1, "test", 4), (1, "test", 5), (1, "train", 2), (1, "train", 3)]
     with pytest.raises(ValueError):
         splits.split(df, "date_window", test_start=date(2020, 1, 1))
+
+
+def test_instances_count_once_ended(spark):
+    """An instance that runs on, or lies among others, is not known early."""
+    rows = [(1, 1, "a", 10.0), (2, 2, "b", 1.0), (3, 3, "a", 20.0), (4, 4, "b", 2.0), (5, 5, "c", 5.0), (6, 6, "c", 7.0)]
+    df = spark.createDataFrame([("k", *r) for r in rows], "k string, t int, i int, inst string, x double")
+    got = {r.i: r.avg for r in W.instance_average(df, F.col("x"), W.Over(("k",), "t", ("i",)), "inst", "avg").collect()}
+    assert got == {1: None, 2: None, 3: None, 4: 30.0, 5: 16.5, 6: 16.5}
+
+
+def test_effective_dates(spark):
+    """Peers fill gaps; partly scheduled tournaments are laid out; qualifying comes before the start."""
+    d = lambda x: datetime(2024, 1, x)
+    rows = [
+        ("a", 1, "s", 5, d(1), d(8), d(3), "tour", "T"), ("a", 2, "s", 5, d(1), d(8), None, "tour", "T"), ("a", 3, "s", 6, d(1), d(8), d(4), "tour", "T"),
+        ("b", 4, "s", 1, d(10), d(24), None, "itf", "GS"), ("b", 5, "s", 5, d(10), d(24), d(12), "itf", "GS"), ("b", 6, "s", 8, d(10), d(24), None, "itf", "GS"), ("b", 7, "s", 11, d(10), d(24), None, "itf", "GS"), ("c", 8, "s", 11, d(5), d(9), None, "tour", "T"),
+    ]
+    df = spark.createDataFrame(rows, "tid string, i int, draw string, ro int, start timestamp_ntz, end timestamp_ntz, sched timestamp_ntz, circuit string, kind string")
+    got = {r.i: r.effective_match_date for r in integrate.effective_date(df, ["tid"], "draw", "ro", "start", "end", "sched", "circuit", "kind").collect()}
+    assert got == {1: d(3), 2: d(3), 3: d(4), 4: d(7), 5: d(12), 6: d(14), 7: d(16), 8: d(5)}
+    undated = df.withColumn("start", F.lit(None).cast("timestamp_ntz"))
+    with pytest.raises(Exception, match="no effective date"):
+        integrate.effective_date(undated, ["tid"], "draw", "ro", "start", "end", "sched").collect()
+    assert integrate.effective_date(undated, ["tid"], "draw", "ro", "start", "end", "sched", strict=False).where("effective_match_date IS NULL").count() == 5
+
+
+def test_leave_one_out_uses_the_row(spark):
+    rows = [("p", date(2024, 1, 1), 1.0), ("q", date(2024, 1, 1), 2.0), ("r", date(2024, 1, 2), 4.0), ("p", date(2024, 1, 3), 9.0), ("p", date(2024, 1, 4), None)]
+    got = W.leave_one_out_z(spark.createDataFrame(rows, "k string, t date, x double"), "k", "t", "x", 30).collect()
+    assert {(r.k, r.t.day): r.loo_z for r in got}["p", 3] == pytest.approx((9 - 3) / 2**0.5) and sum(r.loo_z is not None for r in got) == 2
+
+
+def test_cutoff_needs_its_column(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 1, 23),), (datetime(2024, 1, 2),), (None,)], "effective_match_date timestamp_ntz")
+    assert filters.upto(df, date(2024, 1, 1)).count() == 1 and filters.upto(df, None).count() == 3
+    with pytest.raises(ValueError):
+        filters.upto(df, date(2024, 1, 1), "other")
