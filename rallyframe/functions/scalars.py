@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and their plain forms, in order.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+def _plain_letters() -> tuple[str, str]:
+    """Letters of the Latin blocks with marks, and their base letters, from the
+    Unicode decompositions; and the combining marks, which go."""
+    letters, bases = [], []
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        base = unicodedata.normalize("NFKD", chr(code))[0]
+        if base != chr(code) and base.isascii():
+            letters.append(chr(code))
+            bases.append(base)
+    return "".join(letters) + "".join(map(chr, range(0x300, 0x370))), "".join(bases)
+
+
+ACCENTED, PLAIN = _plain_letters()
 
 
 def normalise_name(name: Column) -> Column:

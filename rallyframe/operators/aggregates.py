@@ -100,12 +100,46 @@ def simulate(df: DataFrame, scenarios: list[tuple[str, Column]], segments: list[
     return out.withColumn("roi", (F.col("returned") - F.col("n_bets")) / F.col("n_bets"))
 
 
+#: Slices of a column's range for exact quantiles.
+SLICES = 4096
+
+
+def quantiles(df: DataFrame, x: str, at: list[float]) -> DataFrame:
+    """One row with ``q``: exact interpolated quantiles of ``x`` at ``at``; null
+    without values.
+
+    Values are counted by slices of their range (of its inverse hyperbolic sine,
+    so that long tails spread); running counts over the slices tell which ones
+    hold the wanted places, and only their distinct values are put in order.
+    """
+    known = df.select(F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    scale = F.asinh("_x")
+    span = known.agg(F.min(scale).alias("_lo"), F.max(scale).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    width = F.coalesce(F.try_divide(scale - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    sliced = known.join(F.broadcast(span)).withColumn("_slice", F.least(F.floor(width * SLICES), F.lit(SLICES - 1)))
+    counts = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_held"), F.first("_n").alias("_n"))
+    before = F.coalesce(F.sum("_held").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = lambda q: F.lit(q) * (F.col("_n") - 1)
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(q)), F.ceil(place(q))) for q in at])))
+    held = counts.withColumn("_before", before).withColumn("_places", F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_held")))).where(F.size("_places") > 0)
+    values = sliced.select("_slice", "_x").join(F.broadcast(held.select("_slice", "_before", "_places")), "_slice").groupBy("_slice", "_x").agg(F.count(F.lit(1)).alias("_k"), F.first("_before").alias("_before"), F.first("_places").alias("_places"))
+    run = Window.partitionBy("_slice").orderBy("_x")
+    through = F.col("_before") + F.sum("_k").over(run)
+    placed = values.withColumn("_through", through).select("_x", F.explode(F.filter("_places", lambda r: (r < F.col("_through")) & (r >= F.col("_through") - F.col("_k")))).alias("_place"))
+    found = placed.agg(F.map_from_entries(F.collect_list(F.struct("_place", "_x"))).alias("_at")).join(F.broadcast(span))
+
+    def between(q: float) -> Column:
+        low, high = (F.element_at("_at", f(place(q))) for f in (F.floor, F.ceil))
+        return low + (high - low) * (place(q) - F.floor(place(q)))
+
+    return found.select(F.when(F.col("_n") > 0, F.array(*[between(q) for q in at])).alias("q"))
+
+
 def impute_median(df: DataFrame, x: str, group: str, least: int = 30) -> DataFrame:
     """``df`` with nulls of ``x`` as the group's median if it has ``least``
     values, else the overall median, else 0."""
     per = df.groupBy(group).agg(F.when(F.count(x) >= least, F.median(x)).alias("_group"))
-    overall = df.agg(F.median(x).alias("_all"))
-    both = per.join(overall)
+    both = per.join(F.broadcast(quantiles(df, x, [0.5]).select(F.col("q")[0].alias("_all"))))
     return df.join(both.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left").withColumn(f"{x}_imputed", F.coalesce(F.col(x), "_group", "_all", F.lit(0.0))).drop("_g", "_group", "_all")
 
 
@@ -115,10 +149,13 @@ def coverage(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*counts).alias("c")).select(F.explode("c").alias("c")).select("c.*").withColumn("null_pct", F.try_divide(100.0 * F.col("n_null"), F.col("n")))
 
 
-def quantile_edges(df: DataFrame, x: str, parts: int) -> list[float]:
-    """Inner edges of ``parts`` equal buckets; interpolated."""
-    q = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    return df.agg(F.percentile(x, q).alias("e")).first()["e"] or []
+def quantile_edges(df: DataFrame, x: str, parts: int, distinct: int = 10) -> list[float]:
+    """Inner edges of ``parts`` equal buckets, interpolated and without repeats; of a
+    column with up to ``distinct`` values, all but the least of these instead."""
+    few = [r[0] for r in df.where(F.col(x).isNotNull()).select(F.col(x).cast("double")).distinct().limit(distinct + 1).collect()]
+    if len(few) <= distinct:
+        return sorted(few)[1:]
+    return sorted(set(quantiles(df, x, [i / parts for i in range(1, parts)]).first()["q"] or []))
 
 
 def rollup_with_total(df: DataFrame, group: str, measures: list[Column], total: str = "All") -> DataFrame:

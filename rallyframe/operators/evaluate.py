@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import quantiles
+from .metrics import score_counts
+
 EPS = 1e-15
 
 
@@ -32,14 +35,12 @@ def metric_columns(p: Column, y: Column) -> list[Column]:
 
 
 def auc(df: DataFrame, p: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """Area under the ROC curve: rows are first counted by score, so ranks run
-    over distinct scores; ties get half. Null for a single class."""
+    """Area under the ROC curve; ties get half. Null for a single class. See
+    ``metrics.score_counts`` for how ranks are counted."""
     by = by or []
-    per = df.groupBy(*by, p).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    w = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(w), F.lit(0))
-    won = per.withColumn("_won", F.col("pos") * (below + F.col("neg") / 2))
-    return won.groupBy(*by).agg(F.try_divide(F.sum("_won"), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    counts = score_counts(df.where(F.col(p).isNotNull()), p, y, by)
+    area = F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)), F.first("n_pos") * F.first("n_neg"))
+    return counts.groupBy(*by).agg(area.alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
 def calibration(df: DataFrame, p: Column, y: Column) -> DataFrame:
@@ -56,7 +57,7 @@ def calibration_error(bands: DataFrame) -> DataFrame:
 def decile_calibration(df: DataFrame, p: str, y: str) -> DataFrame:
     """Tenths of the score: edges by percentile, then one aggregation; a value
     on an edge belongs below. The edges are nine numbers."""
-    edges = df.agg(F.percentile(p, F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("e"))
+    edges = quantiles(df, p, [i / 10 for i in range(1, 10)]).withColumnRenamed("q", "e")
     placed = df.join(F.broadcast(edges)).withColumn("decile", F.size(F.filter("e", lambda x: x < F.col(p))) + 1)
     return placed.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
 

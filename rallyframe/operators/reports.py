@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import quantiles
 from .evaluate import favourite, metric_columns
 
 
@@ -71,7 +73,7 @@ def threshold_conditions(df: DataFrame, columns: list[str], p: str, y: str, leve
     """Metrics where a feature is extreme: |x| at or above its 90th, 95th and
     99th percentile, nulls as 0. The bounds are one row; conditions overlap."""
     filled = df.select(F.col(p).alias("_p"), F.col(y).alias("_y"), *[F.abs(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in columns])
-    edges = filled.agg(*[F.percentile(c, F.array(*[F.lit(v) for v in levels])).alias(f"_{c}") for c in columns])
+    edges = reduce(lambda a, b: a.join(F.broadcast(b)), [quantiles(filled, c, list(levels)).withColumnRenamed("q", f"_{c}") for c in columns])
     hits = F.filter(F.array(*[F.when(F.col(c) >= F.col(f"_{c}")[i], F.lit(f"|{c}|>=p{round(100 * v)}")) for c in columns for i, v in enumerate(levels)]), lambda x: x.isNotNull())
     rows = filled.join(F.broadcast(edges)).select("_p", "_y", F.explode(hits).alias("condition"))
     return rows.groupBy("condition").agg(*metric_columns(F.col("_p"), F.col("_y")))

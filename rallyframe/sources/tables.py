@@ -79,16 +79,81 @@ def append_ledger(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def recover_table(spark: SparkSession, path: str) -> None:
+    """Finish a swap of ``replace_table`` that was cut off between its two renames:
+    the table put aside last comes back, and what is left of others goes."""
+    at, fs = _files(spark, path.rstrip("/"))
+    beside = sorted((s for s in fs.listStatus(at.getParent()) or [] if s.getPath().getName().startswith(f"{at.getName()}.")), key=lambda s: s.getModificationTime()) if fs.exists(at.getParent()) else []
+    old = [s.getPath() for s in beside if s.getPath().getName().endswith(".old")]
+    if old and not fs.exists(at) and not fs.rename(old.pop(), at):
+        raise OSError(f"cannot restore {path}")
+    for p in [*old, *[s.getPath() for s in beside if s.getPath().getName().endswith(".new")]]:
+        fs.delete(p, True)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside ``path`` and swap, so that ``df`` may read from it."""
-    spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}.new"
-    df.write.parquet(fresh)
-    jvm = spark.sparkContext._jvm
-    at, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = jvm.org.apache.hadoop.fs.Path(f"{fresh}.old")
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
+    """Write beside ``path`` and swap, so that ``df`` may read from it. A swap
+    that fails puts the old table back; one that is cut off is finished by
+    ``recover_table``. One writer at a time."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    fresh = f"{path}.{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{fresh}.new")
+    at, fs = _files(spark, path)
+    new, old = _files(spark, f"{fresh}.new")[0], _files(spark, f"{fresh}.old")[0]
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        raise OSError(f"cannot put {path} aside")
+    if not fs.rename(new, at):
+        if had:
+            fs.rename(old, at)
+        raise OSError(f"cannot move the new table to {path}")
     fs.delete(old, True)
+
+
+META = "_schema_hash"
+
+
+def write_checked(df: DataFrame, path: str) -> None:
+    """``replace_table`` with the schema's hash in a file beside the data."""
+    replace_table(df, path)
+    at, fs = _files(df.sparkSession, f"{path.rstrip('/')}/{META}")
+    out = fs.create(at, True)
+    out.write(schema_hash(df.schema).encode())
+    out.close()
+
+
+def read_checked(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table of ``write_checked``; an error if it was written with another schema."""
+    recover_table(spark, path)
+    at, fs = _files(spark, f"{path.rstrip('/')}/{META}")
+    if not fs.exists(at):
+        raise ValueError(f"{path} has no schema hash")
+    stream = fs.open(at)
+    found = bytes(b & 0xFF for b in stream.readAllBytes()).decode()
+    stream.close()
+    if found != schema_hash(schema):
+        raise ValueError(f"{path} was written with another schema")
+    return spark.read.schema(schema).parquet(path)
+
+
+def delimited_table(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
+    """A CSV table with a declared schema; fields that don't fit are null."""
+    return spark.read.schema(schema).option("header", str(header).lower()).option("enforceSchema", "false" if header else "true").csv(path)
+
+
+def write_delimited(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def overridden(df: DataFrame, overrides: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``df`` with fields replaced by those of a table of overrides or aliases by
+    key, where they are not null there. Several rows of a key are an error."""
+    one = overrides.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.max(f).alias(f"_o_{f}") for f in fields])
+    sure = one.select(F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(F.lit("a key has several overrides"))).alias(key), *[f"_o_{f}" for f in fields])
+    out = df.join(sure, key, "left").withColumns({f: F.coalesce(f"_o_{f}", f) for f in fields})
+    return out.select(*df.columns)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.reshape import upsert
-from ..sources.tables import replace_table
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -41,18 +38,39 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_upserts(stream: DataFrame, target: str, keys: list[str], version: str, tie: str, checkpoint: str, empty: Callable[[], DataFrame]) -> None:
-    """Merge each micro-batch into a parquet table by key. A batch that is
-    replayed after a failure changes nothing, as the newest row wins."""
+#: Parts that an upsert target is split into by its keys' hash.
+BUCKETS = 64
+
+
+def upsert_target(spark: SparkSession, target: str) -> DataFrame:
+    """The rows of a table kept by ``run_upserts``."""
+    return spark.read.parquet(target).drop("_bucket")
+
+
+def run_upserts(stream: DataFrame, target: str, keys: list[str], version: str, tie: str, checkpoint: str, buckets: int = BUCKETS) -> None:
+    """Merge each micro-batch into a parquet table by key. The table lies in
+    ``buckets`` partitions by the hash of its keys; a batch reads and replaces
+    only those that it touches. A batch that is replayed after a failure changes
+    nothing, as the newest row wins."""
     spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    schema = T.StructType([*stream.schema.fields, T.StructField("_bucket", T.IntegerType())])
 
     def merge(batch: DataFrame, _: int) -> None:
+        fresh = batch.withColumn("_bucket", bucket).persist()
         try:
-            current = spark.read.parquet(target)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            current = empty()
-        replace_table(upsert(current, batch.unionByName(current, allowMissingColumns=True), keys, version, tie), target)
+            touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]
+            if not touched:
+                return
+            try:
+                current = spark.read.schema(schema).parquet(target).where(F.col("_bucket").isin(touched))
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                current = spark.createDataFrame([], schema)
+            merged = upsert(current, fresh.unionByName(current), keys, version, tie)
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(target)
+        finally:
+            fresh.unpersist()
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -280,11 +280,10 @@ def test_streams(spark, tmp_path):
     feeds.run_available(feeds.price_buckets(feeds.deduped(stream(), ["tick_id"], "ts", "5 minutes"), ["match_uid"], "ts", "price", delay=None), str(tmp_path / "out"), str(tmp_path / "c1"))
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("bucket").collect()
     assert got and got[0].n == 3 and math.isclose(got[0].close, 1.7)
-    empty = lambda: spark.createDataFrame([], schema)
-    feeds.run_upserts(stream(), str(tmp_path / "u"), ["match_uid", "book"], "ts", "tick_id", str(tmp_path / "c2"), empty)
+    feeds.run_upserts(stream(), str(tmp_path / "u"), ["match_uid", "book"], "ts", "tick_id", str(tmp_path / "c2"))
     spark.createDataFrame([("m", "b", 99, 9.9, day(1)), ("m", "c", 100, 3.0, day(1))], schema).coalesce(1).write.mode("append").parquet(source)
-    feeds.run_upserts(stream(), str(tmp_path / "u"), ["match_uid", "book"], "ts", "tick_id", str(tmp_path / "c2"), empty)
-    assert sorted((r.book, r.tick_id) for r in spark.read.parquet(str(tmp_path / "u")).collect()) == [("b", 99), ("c", 100)]
+    feeds.run_upserts(stream(), str(tmp_path / "u"), ["match_uid", "book"], "ts", "tick_id", str(tmp_path / "c2"))
+    assert sorted((r.book, r.tick_id) for r in feeds.upsert_target(spark, str(tmp_path / "u")).collect()) == [("b", 99), ("c", 100)]
 
 
 def test_entry(spark):
@@ -372,3 +371,34 @@ def test_cutoff_needs_its_column(spark):
     assert filters.upto(df, date(2024, 1, 1)).count() == 1 and filters.upto(df, None).count() == 3
     with pytest.raises(ValueError):
         filters.upto(df, date(2024, 1, 1), "other")
+
+
+def test_checked_tables_and_recovery(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
+    path = str(tmp_path / "t")
+    tables.write_checked(df, path)
+    assert tables.read_checked(spark, path, df.schema).count() == 2
+    with pytest.raises(ValueError, match="another schema"):
+        tables.read_checked(spark, path, df.drop("name").schema)
+    (tmp_path / "t").rename(tmp_path / "t.0.old")
+    (tmp_path / "t.1.new").mkdir()
+    assert tables.read_checked(spark, path, df.schema).count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+    tables.write_delimited(df, str(tmp_path / "c"))
+    assert sorted(map(tuple, tables.delimited_table(spark, str(tmp_path / "c"), df.schema).collect())) == [(1, "a"), (2, None)]
+    named = tables.overridden(df, spark.createDataFrame([(2, "b"), (3, "c")], "id long, name string"), "id", ["name"])
+    assert sorted(map(tuple, named.collect())) == [(1, "a"), (2, "b")]
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(2)
+    for values in ([rng.gauss(0, 1e6) for _ in range(999)], [rng.choice([0.0, 1.0, 5.0, -3.0]) for _ in range(100)], [7.0], [], [10.0 ** rng.randint(-5, 9) for _ in range(300)]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+        at = [0.0, 0.1, 0.5, 0.9, 0.99, 1.0]
+        want = df.agg(F.percentile("x", F.array(*map(F.lit, at)))).first()[0]
+        assert aggregates.quantiles(df, "x", at).first().q == (None if want is None else pytest.approx(want, rel=1e-12))
+
+
+def test_names_of_all_latin_letters(spark):
+    given = ["Novak Đoković", "Iga Świątek", "Tomáš Macháč", "Çağla Büyükakçay", "Stan  Wawrinka", "A\u0301na-Bo\u0308"]
+    got = spark.createDataFrame([(g,) for g in given], "n string").select(scalars.normalise_name(F.col("n")).alias("n")).collect()
+    assert [r.n for r in got] == ["novak đoković".replace("ć", "c"), "iga swiatek", "tomas machac", "cagla buyukakcay", "stan wawrinka", "ana bo"]
