@@ -168,38 +168,51 @@ def population_window(df: DataFrame, time: str, x: str, days: int) -> DataFrame:
     return per_day.select("day", *[F.sum(c).over(w).alias(f"pop_{c}") for c in "nsq"])
 
 
-def leave_one_out_z(df: DataFrame, key: str, time: str, x: str, days: int) -> DataFrame:
-    """``df`` with loo_z: the row's own value against the mean and deviation of
-    everybody else's values of the days before; null with fewer than two of
-    those or where they are all equal."""
+def others_field(df: DataFrame, key: str, time: str, x: str, days: int) -> DataFrame:
+    """(key, day, mean, std): of everybody else's values in the days before; null
+    with fewer than two of those or where they are all equal."""
     day = F.to_date(time)
     own = df.groupBy(F.col(key), day.alias("day")).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"))
     w = Window.partitionBy(key).orderBy(F.unix_date("day")).rangeBetween(-days, -1)
     own = own.select(key, "day", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"own_{c}") for c in "nsq"])
     both = own.join(population_window(df, time, x, days), "day")
     n, s, q = (F.col(f"pop_{c}") - F.col(f"own_{c}") for c in "nsq")
-    mean = F.try_divide(s, n)
     # Sums of squares leave rounding noise where all values are equal.
     var = F.greatest(F.try_divide(q - F.try_divide(s * s, n), n - 1), F.lit(0.0))
-    field = both.select(key, "day", mean.alias("_mean"), F.when((n >= 2) & (var > 1e-12), F.sqrt(var)).alias("_std"))
-    return df.withColumn("day", day).join(field, [key, "day"]).withColumn("loo_z", (F.col(x) - F.col("_mean")) / F.col("_std")).drop("_mean", "_std")
+    known = (n >= 2) & (var > 1e-12)
+    return both.select(key, "day", F.when(known, s / n).alias("mean"), F.when(known, F.sqrt(var)).alias("std"))
+
+
+def leave_one_out_z(df: DataFrame, key: str, time: str, x: str, days: int) -> DataFrame:
+    """``df`` with loo_z: the row's own value against ``others_field``."""
+    field = others_field(df, key, time, x, days)
+    return df.withColumn("day", F.to_date(time)).join(field, [key, "day"], "left").withColumn("loo_z", (F.col(x) - F.col("mean")) / F.col("std")).drop("mean", "std")
 
 
-def rolling_population_quantile(df: DataFrame, time: str, x: str, days: int, q: float) -> DataFrame:
+def rolling_population_quantile(df: DataFrame, time: str, x: str, days: int, q: float, slices: int = 256) -> DataFrame:
     """Nearest-rank quantile of all values in [d - N days, d) for each date d.
 
-    Values are counted by date and value first; each date then meets only the
-    distinct values of its window, by an equal join on the dates of the window,
-    and running counts find the rank. No row meets another row.
+    Values are counted by date and slice of their range (of its inverse hyperbolic
+    sine, so that long tails spread). Windows by slice over a row a date find the
+    slice that holds the rank; each date then meets the distinct values of that
+    slice only, by an equal join on the window's dates.
     """
-    held = df.where(F.col(x).isNotNull()).groupBy(F.to_date(time).alias("of"), F.col(x).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    days_at = df.select(F.to_date(time).alias("day")).distinct()
-    window = days_at.select("day", F.explode(F.sequence(F.date_sub("day", days), F.date_sub("day", 1))).alias("of"))
-    per_value = window.join(held, "of").groupBy("day", "v").agg(F.sum("n").alias("n"))
-    run = Window.partitionBy("day").orderBy("v")
-    total = F.sum("n").over(Window.partitionBy("day"))
-    rank = F.floor((total - 1) * F.lit(q) + 0.5) + 1
-    found = per_value.withColumn("through", F.sum("n").over(run)).withColumn("rank", rank).where("through >= rank").groupBy("day").agg(F.min("v").alias("quantile"))
+    known = df.select(F.to_date(time).alias("of"), F.col(x).cast("double").alias("v")).where(F.col("of").isNotNull() & F.col("v").isNotNull())
+    scale = F.asinh("v")
+    span = known.agg(F.min(scale).alias("_lo"), F.max(scale).alias("_hi"))
+    place = F.least(F.floor(F.coalesce(F.try_divide(scale - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * slices), F.lit(slices - 1)).cast("int")
+    held = known.join(F.broadcast(span)).groupBy("of", place.alias("slice"), "v").agg(F.count(F.lit(1)).alias("n"))
+    days_at = df.select(F.to_date(time).alias("day")).where("day IS NOT NULL").distinct()
+    grid = days_at.select("day", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")).withColumn("n", F.lit(None).cast("long"))
+    seen = grid.unionByName(held.groupBy(F.col("of").alias("day"), "slice").agg(F.sum("n").alias("n")))
+    earlier = Window.partitionBy("slice").orderBy(F.unix_date("day")).rangeBetween(-days, -1)
+    counts = seen.withColumn("k", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where("n IS NULL")
+    every, run = Window.partitionBy("day"), Window.partitionBy("day").orderBy("slice")
+    rank = F.floor((F.sum("k").over(every) - 1) * F.lit(q) + 0.5) + 1
+    chosen = counts.withColumns({"rank": rank, "through": F.sum("k").over(run)}).where((F.col("k") > 0) & (F.col("through") >= F.col("rank")) & (F.col("through") - F.col("k") < F.col("rank"))).select("day", "slice", (F.col("rank") - F.col("through") + F.col("k")).alias("need"))
+    window = chosen.select("day", "slice", "need", F.explode(F.sequence(F.date_sub("day", days), F.date_sub("day", 1))).alias("of"))
+    values = window.join(held, ["of", "slice"]).groupBy("day", "need", "v").agg(F.sum("n").alias("n"))
+    found = values.withColumn("through", F.sum("n").over(Window.partitionBy("day").orderBy("v"))).where("through >= need").groupBy("day").agg(F.min("v").alias("quantile"))
     return days_at.join(found, "day", "left")
 
 

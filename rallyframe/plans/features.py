@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import windows as W
+from .feature_families import FAMILIES
 from .registry import Registry
 
 TIME, ORDER = "effective_match_date", ("tournament_start_date", "round_order", "match_uid")
@@ -307,6 +308,6 @@ def _tournaments(reg: Registry) -> None:
 def library() -> Registry:
     """All declared features; needs an active session."""
     reg = Registry()
-    for family in (_ratios, _moments, _static, _sequence, _tournaments):
+    for family in (_ratios, _moments, _static, _sequence, _tournaments, *FAMILIES):
         family(reg)
     return reg

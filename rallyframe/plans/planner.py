@@ -12,10 +12,13 @@ import ast
 import hashlib
 import json
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settled
 from .registry import Registry
 
 SPEC = re.compile(r"^\s*([A-Za-z_]\w*)\s*(?:\((.*)\))?\s*$", re.S)
@@ -52,16 +55,18 @@ class _Context:
         return F.col(f"`{self.engine.resolve(spec)[0]}`")
 
     def pooled(self, num: str, den: str, by: tuple[str, ...] = ()) -> Column:
-        """The overall ratio of two columns, or of each row's stratum."""
+        """The overall ratio of two columns, or of each row's stratum; the overall
+        one for a stratum without."""
         known = self.engine.pools[num, den, by]
         if not by:
             return F.lit(known.get((), None)).cast("double")
+        overall = F.lit(known.get(None)).cast("double")
         out = None
         for key, m in known.items():
-            if m is not None:
+            if key is not None and m is not None:
                 test = F.col(by[0]).eqNullSafe(F.lit(key[0]))
                 out = F.when(test, F.lit(m)) if out is None else out.when(test, F.lit(m))
-        return out if out is not None else F.lit(None).cast("double")
+        return out.otherwise(overall) if out is not None else overall
 
     def opponent(self, spec: str) -> Column:
         return F.col(f"`opp:{self.engine.resolve(spec)[0]}`")
@@ -73,10 +78,11 @@ class FeatureEngine:
     def __init__(self, registry: Registry, match: str = "match_uid", player: str = "player_id"):
         self.registry, self.match, self.player = registry, match, player
         self.pools: dict[tuple, dict] = {}
+        self.raw: frozenset[str] = frozenset()
 
     def resolve(self, spec: str) -> tuple[str, dict, object]:
         """Canonical name, parameters and declaration; raw columns have none."""
-        name, given = parse(spec)
+        name, given = parse(spec.removeprefix("="))
         f = self.registry.features.get(name)
         if f is None:
             if given:
@@ -85,7 +91,9 @@ class FeatureEngine:
         if unknown := set(given) - set(f.params):
             raise ValueError(f"{name} has no parameters {sorted(unknown)}")
         params = f.params | given
-        return canonical(name, params), params, f
+        key = canonical(name, params)
+        # A feature may be called as a raw column is.
+        return f"={key}" if key in self.raw else key, params, f
 
     def phases(self, specs: list[str], raw: list[str]) -> list[list[str]]:
         """Canonical names by phase: each needs only raw columns and earlier
@@ -114,7 +122,7 @@ class FeatureEngine:
 
     def compute(self, df: DataFrame, specs: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
         """Keys, ``extra`` columns and one column a spec, named as written."""
-        context = _Context(self)
+        context, self.raw = _Context(self), frozenset(df.columns)
         phases = self.phases(specs, df.columns)
         self._measure(df, [self.resolve(key)[2].pool for phase in phases for key in phase])
         for phase in phases:
@@ -122,12 +130,13 @@ class FeatureEngine:
             needed = sorted({self.resolve(n.format(**p))[0] for _, p, f in declared if f.mirror for n in f.needs})
             if needed:
                 df = self._with_opponent(df, needed)
-            plain = [(k, p, f) for k, p, f in declared if f.transform is None]
+            plain = [(k, p, f) for k, p, f in declared if f.transform is None and f.side is None]
             for i in range(0, len(plain), BATCH):
                 df = df.select("*", *[f.build(context, **p).alias(k) for k, p, f in plain[i : i + BATCH]])
             for _, _, f in declared:
                 if f.transform is not None:
                     df = df.transform(f.transform)
+            df = self._join_sides(context, df, [(k, f) for k, _, f in declared if f.side is not None])
             df = df.drop(*[f"opp:{n}" for n in needed])
         return df.select(self.match, self.player, *extra, *[F.col(f"`{self.resolve(s)[0]}`").alias(s) for s in specs if self.resolve(s)[2] is None or self.resolve(s)[2].transform is None])
 
@@ -138,10 +147,28 @@ class FeatureEngine:
         for by in {p[2] for p in pools if p}:
             wanted = sorted({p[:2] for p in pools if p and p[2] == by})
             both = lambda a, b, c: F.sum(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c)))
-            sums = [F.try_divide(both(a, b, a), both(a, b, b)).cast("double").alias(f"m{i}") for i, (a, b) in enumerate(wanted)]
+            sums = [both(a, b, c).cast("double").alias(f"{x}{i}") for i, (a, b) in enumerate(wanted) for x, c in (("n", a), ("d", b))]
             rows = (df.groupBy(*by) if by else df).agg(*sums).collect()
+            ratio = lambda n, d: n / d if d else None
             for i, pair in enumerate(wanted):
-                self.pools[*pair, by] = {tuple(r[b] for b in by): r[f"m{i}"] for r in rows}
+                self.pools[*pair, by] = {tuple(r[b] for b in by): ratio(r[f"n{i}"], r[f"d{i}"]) for r in rows}
+                if by:
+                    self.pools[*pair, by][None] = ratio(*(sum(r[f"{x}{i}"] or 0.0 for r in rows) for x in "nd"))
+
+    @staticmethod
+    def _join_sides(context: _Context, df: DataFrame, features: list) -> DataFrame:
+        """``df`` with features that are joined to it. The table is written once,
+        and all sides are made from that: else each would repeat all before it."""
+        if not features:
+            return df
+        base = settled(df)
+        out = base
+        for i, (key, f) in enumerate(features):
+            side, on = f.side(context, base)
+            side = side.select(*[F.col(k).alias(f"_on{i}_{k}") for k in on], F.col("value").alias(key))
+            met = reduce(and_, [c == F.col(f"_on{i}_{k}") for k, c in on.items()])
+            out = out.join(side, met, "left").drop(*[f"_on{i}_{k}" for k in on])
+        return out
 
     def _with_opponent(self, df: DataFrame, names: list[str]) -> DataFrame:
         w = Window.partitionBy(self.match).orderBy(self.player)

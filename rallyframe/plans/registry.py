@@ -22,6 +22,7 @@ class Feature:
     mirror: bool = False
     transform: Callable[[DataFrame], DataFrame] | None = None
     pool: tuple[str, str, tuple[str, ...]] | None = None
+    side: Callable | None = None
 
 
 class Registry:
@@ -74,4 +75,15 @@ class Registry:
         """A feature that adds its columns to the whole table."""
         self._add(Feature(name, None, needs, {}, False, transform))
 
-
+    def joined(self, name: str, needs: tuple[str, ...], side: Callable) -> None:
+        """A feature read from a table of its own: ``side(ctx, df)`` gives that
+        table with the column ``value``, and for each of its keys the column of
+        ``df`` that it equals."""
+        self._add(Feature(name, None, needs, {}, False, None, None, side))
+
+    def both(self, name: str, base: str | tuple[str, ...], combine: Callable, needs: tuple[str, ...] = (), days: bool = True) -> None:
+        """A feature of both sides' ``base`` features over the same days, and of raw
+        columns: ``combine(own..., opponent's...)``."""
+        calls = tuple(f"{b}(days={{days}})" if days else b for b in ([base] if isinstance(base, str) else base))
+        build = lambda ctx, **given: combine(*[side(c.format(**given)) for side in (ctx.column, ctx.opponent) for c in calls])
+        self._add(Feature(name, build, (*calls, *needs), {"days": None} if days else {}, True))

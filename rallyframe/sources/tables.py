@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,26 @@ def schema_hash(schema: T.StructType) -> str:
     return hashlib.md5(json.dumps([(f.name, f.dataType.simpleString(), f.nullable) for f in schema]).encode()).hexdigest()
 
 
+_scratch: dict[str, str] = {}
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder that the cluster names in
+    ``spark.checkpoint.dir`` and read back, so that plans above it stay small and
+    a lost executor costs no more than them. Without that setting a local master
+    gets a temporary folder; a cluster must name one."""
+    spark = df.sparkSession
+    root, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _scratch.setdefault(app, tempfile.mkdtemp(prefix="rallyframe-core-"))
+    path = f"{root.rstrip('/')}/{app}/{uuid.uuid4().hex}"
+    # Positions for names: a column may be called anything.
+    df.toDF(*[f"c{i}" for i in range(len(df.columns))]).write.parquet(path)
+    return spark.read.schema(T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)])).parquet(path).toDF(*df.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,11 +1,14 @@
 """The feature library on a small random table of matches."""
 
 import datetime
+import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from rallyframe.plans import feature_families as families
 from rallyframe.plans import features
 from rallyframe.plans.planner import FeatureEngine
 
@@ -36,7 +39,11 @@ def matches(spark):
     df = spark.createDataFrame([tuple(r[c] for c in names) for r in rows], ", ".join(f"{c} {kinds.get(c) or number(c)}" for c in names))
     for c in features.COLUMNS:
         df = df.withColumn(f"player_{c}", (F.crc32(F.concat("player_id", F.lit(c)).cast("binary")) % 500).cast("double")).withColumn(f"opp_{c}", (F.crc32(F.concat("opp_id", F.lit(c)).cast("binary")) % 500).cast("double"))
-    return features.score_columns(df)
+    df = features.score_columns(df)
+    reg = features.library()
+    needs = sorted({n.split("(")[0] for f in reg.features.values() for n in f.needs} - set(reg.features) - set(df.columns) | {"tournament_round_ordinal"})
+    value = lambda c: F.crc32(F.concat("match_uid", "player_id", F.lit(c)).cast("binary"))
+    return df.select("*", *[F.when(value(c) % 5 > 0, value(c) % 40).cast("double").alias(c) for c in needs])
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +57,7 @@ def compute(matches, specs):
 
 def test_library_has_distinct_features(spark):
     reg = features.library()
-    assert len(reg.features) > 500 and all(f.build for f in reg.features.values())
+    assert len(reg.features) > 1100 and all(f.build or f.side for f in reg.features.values())
 
 
 def test_every_feature_resolves(matches):
@@ -60,11 +67,18 @@ def test_every_feature_resolves(matches):
 
 
 def test_a_wide_plan_computes(matches):
-    names = [n for n in features.library().features if not n.startswith("surface_")][::6]
+    names = [n for n in features.library().features if not n.startswith(("surface_", "is_", "matchup_", "_")) and "_vs_" not in n][::8]
     got = compute(matches, names)
     assert len(got) == 240
 
 
+def test_styles_and_kinds_compute(matches):
+    kinds = ["is_power_server", "is_clay_specialist", "matchup_both_power_servers", "winpct_vs_power_server", "matches_vs_surface_specialists", "surface_ace_pct_vs_surf_spec(days=200)"]
+    got = compute(matches, [*kinds, "style_radar_serve", "style_radar_rally", "style_conf_net", "surface_easy_hold_pct", "tiebreaks_played", "best_of"])
+    assert len(got) == 240 and {r.is_power_server for r in got.values()} >= {0, 1}
+    assert all(r.style_radar_serve is not None and 0 <= r.style_conf_net < 1 for r in got.values())
+
+
 def before(raw, r, days=None, **same):
     key = lambda x: (x["effective_match_date"], x["tournament_start_date"], x["round_order"], x["match_uid"])
     past = [x for x in raw if x["player_id"] == r["player_id"] and all(x[k] == v for k, v in same.items())]
@@ -101,6 +115,52 @@ def test_against_brute_force(matches, raw):
         assert g["tourn_games_won"] == (sum(x["games_won"] for x in here) if here else None)
 
 
+def test_new_families_against_brute_force(matches, raw):
+    specs = ["glicko_zscore_rd", "glicko_bhattacharyya_rd", "tier_ordinal_avg", "level_gap_disp(days=120)", "tourn_hold_pct", "tourn_history_sets_margin_avg_per_year", "tourn_history_year_instances_completed", "venue_win_pct", "match_count_max", "last_match_minutes_per_rest_day", "style_winner_ue_ratio", "style_z_net", "style_net_rate", "wins_vs_power_server", "is_power_server", "glicko_zscore_formvol", "form_volatility"]
+    got = compute(matches, specs)
+    tier = {k.lower(): v[0] for k, v in families.TIERS.items()}
+    other = {(r["match_uid"], r["opp_id"]): r for r in raw}
+    near = lambda x: None if x is None else pytest.approx(x)
+
+    def gap(r, days):
+        now, past = tier.get((r["tournament_level"] or "").lower()), [tier.get((x["tournament_level"] or "").lower()) for x in before(raw, r, days)]
+        known = [x for x in past if x is not None]
+        return now - sum(known) / len(known) if known and now is not None else None
+
+    for r in raw:
+        g, o = got[r["match_uid"], r["player_id"]], other[r["match_uid"], r["player_id"]]
+        mu, rd = r["player_glicko_mu"] - r["opp_glicko_mu"], (r["player_glicko_rd"], r["opp_glicko_rd"])
+        assert g["glicko_zscore_rd"] == near(mu / math.hypot(*rd)) and g["glicko_bhattacharyya_rd"] == near(math.sqrt(2 * rd[0] * rd[1] / (rd[0] ** 2 + rd[1] ** 2)) * math.exp(-mu * mu / 4 / (rd[0] ** 2 + rd[1] ** 2)))
+        past = before(raw, r)
+        assert g["tier_ordinal_avg"] == (near(sum(tier.get((x["tournament_level"] or "").lower(), 0) for x in past) / len(past)) if past else None)
+        gaps = gap(r, 120), gap(o, 120)
+        assert g["level_gap_disp(days=120)"] == (None if None in gaps else near(abs(gaps[0]) + abs(gaps[1])))
+        here = [x for x in before(raw, r, tournament_id=r["tournament_id"], year=r["year"], draw=r["draw"])]
+        known = [(x["svc_games_played"] - x["svc_bp_faced"] + x["svc_bp_saved"], x["svc_games_played"]) for x in here if None not in (x["svc_games_played"], x["svc_bp_faced"], x["svc_bp_saved"])]
+        assert g["tourn_hold_pct"] == (near(sum(a for a, _ in known) / sum(b for _, b in known)) if sum(b for _, b in known) > 0 else None)
+        same = [x for x in raw if all(x[k] == r[k] for k in ("player_id", "tournament_id", "draw"))]
+        ended = [y for y in {x["year"] for x in same} if all(x in past for x in same if x["year"] == y)]
+        assert g["tourn_history_year_instances_completed"] == len(ended)
+        totals = [sum(x["sets_won"] - x["sets_lost"] for x in same if x["year"] == y) for y in ended]
+        assert g["tourn_history_sets_margin_avg_per_year"] == (near(sum(totals) / len(totals)) if totals else None)
+        inside = before(raw, r, indoor=r["indoor"])
+        assert g["venue_win_pct"] == (near(sum(x["won"] for x in inside) / len(inside)) if inside else None)
+        assert g["match_count_max"] == max(len(past), len(before(raw, o)))
+        timed = [x for x in past if x["minutes"] is not None]
+        assert g["last_match_minutes_per_rest_day"] == (near(timed[-1]["minutes"] / ((r["effective_match_date"] - timed[-1]["effective_match_date"]).days + 1)) if timed else None)
+        shown = [x["mb_player_winners"] / x["mb_player_ues"] for x in before(raw, r, 365) if x["mb_player_winners"] is not None and (x["mb_player_ues"] or 0) > 0]
+        assert g["style_winner_ue_ratio"] == (near(sum(shown) / len(shown)) if shown else None)
+        field = [got[x["match_uid"], x["player_id"]]["style_net_rate"] for x in raw if x["player_id"] != r["player_id"] and 0 < (r["effective_match_date"] - x["effective_match_date"]).days <= 730]
+        field = [x for x in field if x is not None]
+        if g["style_net_rate"] is not None and len(field) >= 2 and statistics.stdev(field) > 1e-4:
+            assert g["style_z_net"] == pytest.approx((g["style_net_rate"] - statistics.mean(field)) / statistics.stdev(field), rel=1e-4)
+        else:
+            assert g["style_z_net"] is None
+        assert g["wins_vs_power_server"] == sum(x["won"] * (got[x["match_uid"], x["opp_id"]]["is_power_server"] or 0) for x in past)
+        vol = g["form_volatility"], got[r["match_uid"], r["opp_id"]]["form_volatility"]
+        assert g["glicko_zscore_formvol"] == (None if None in vol else near(mu / math.sqrt(vol[0] ** 2 + vol[1] ** 2 + 0.1)))
+
+
 def test_tour_ratings(matches):
     from rallyframe.operators import tour_ratings as T
 
