@@ -7,6 +7,9 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from .operators import metrics as M
+from .operators import points as T
+from .operators import reports as B
+from .operators import reshape as H
 from .operators import splits as X
 from .queries import SCORED, query, scored
 from .sources.tables import table
@@ -114,3 +117,67 @@ def split_date_expanding(spark, d):
 @query(f"SELECT 0 AS fold, CASE WHEN o_orderdate < DATE '1997-01-01' THEN 'train' ELSE 'test' END AS part, {FOLDED} FROM orders GROUP BY 2")
 def split_date_window(spark, d):
     return counted(X.split(orders(spark, d), "date_window", "o_orderdate", test_start=date(1997, 1, 1)))
+
+
+@query(" UNION ALL ".join(f"SELECT {m} AS months, make_date(year(o_orderdate), ((month(o_orderdate) - 1) // {m}) * {m} + 1, 1) AS period, count(*) AS n FROM orders GROUP BY 1, 2" for m in (1, 3, 6, 12)))
+def period_buckets(spark, d):
+    o, out = orders(spark, d), None
+    for m in (1, 3, 6, 12):
+        part = o.groupBy(B.period_start(F.col("o_orderdate"), m).alias("period")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("months"), "period", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""WITH s AS (SELECT *, o_orderpriority || '|' || year(o_orderdate)::VARCHAR AS segment FROM {SCORED} s), g AS (SELECT segment, count(*) AS n_overall FROM s GROUP BY 1),
+b AS (SELECT segment, least(floor((p - 0.5) / 0.1 + 1e-9), 4)::INT AS band, count(*) AS n, avg(p) AS pm, avg(y) AS ym FROM s WHERE p >= 0.5 GROUP BY 1, 2)
+SELECT g.segment, k.band, n_overall, coalesce(n, 0) AS n, round(coalesce(pm, 0), 6) AS predicted, round(coalesce(ym, 0), 6) AS actual, round(coalesce(ym - pm, 0), 6) AS err FROM g, (SELECT unnest(range(0, 5))::INT AS band) k LEFT JOIN b ON b.segment = g.segment AND b.band = k.band""")
+def segment_calibration(spark, d):
+    s = scored(spark, d).withColumn("year", F.year("o_orderdate"))
+    return B.segment_calibration(s, ["o_orderpriority", "year"], "p", "y").withColumns({c: F.round(c, 6) for c in ("predicted", "actual", "err")})
+
+
+POINTS = """(SELECT user_id AS m, least(event_id // 2500, 3)::INT + 1 AS set_num, (event_id // 250 % 10)::INT AS game_num, event_id AS point_num, ['0', '15', '30', '40', 'AD', '7'][event_id % 6 + 1] AS p1_game_score, ['0', '15', '30', '40', 'D', '3'][event_id * 7 % 6 + 1] AS p2_game_score,
+((event_id // 250) % 2 + 1)::VARCHAR AS server, 'p' || user_id AS p1_id, 'q' || user_id AS p2_id, CASE WHEN (event_id // 250 + user_id) % 5 > 0 THEN ((event_id // 250 + user_id) % 2 + 1)::VARCHAR END AS game_winner, ((least(event_id // 2500, 3) + user_id) % 2 + 1)::VARCHAR AS set_winner,
+event_id // 250 % 10 = 9 AS is_tiebreak, event_id % 3 = 0 AS is_set_point, event_id % 9 = 0 AS is_match_point, (event_id % 2 + 1)::INT AS serve, ['hard', 'clay', 'grass'][user_id % 3 + 1] AS surface FROM events)"""
+
+
+def points(spark, d):
+    e, u = F.col("event_id"), F.col("user_id")
+    pick = lambda i, *xs: F.get(F.array(*[F.lit(x) for x in xs]), i.cast("int"))
+    game, set_ = F.expr("event_id div 250"), F.least(F.expr("event_id div 2500"), F.lit(3))
+    return table(spark, d, "events").select(
+        u.alias("m"), (set_ + 1).cast("int").alias("set_num"), (game % 10).cast("int").alias("game_num"), e.alias("point_num"), pick(e % 6, "0", "15", "30", "40", "AD", "7").alias("p1_game_score"), pick(e * 7 % 6, "0", "15", "30", "40", "D", "3").alias("p2_game_score"),
+        (game % 2 + 1).cast("string").alias("server"), F.concat(F.lit("p"), u.cast("string")).alias("p1_id"), F.concat(F.lit("q"), u.cast("string")).alias("p2_id"), F.when((game + u) % 5 > 0, ((game + u) % 2 + 1).cast("string")).alias("game_winner"), ((set_ + u) % 2 + 1).cast("string").alias("set_winner"),
+        (game % 10 == 9).alias("is_tiebreak"), (e % 3 == 0).alias("is_set_point"), (e % 9 == 0).alias("is_match_point"), (e % 2 + 1).cast("int").alias("serve"), pick(u % 3, "hard", "clay", "grass").alias("surface"))
+
+
+@query(f"""WITH p AS {POINTS}, g AS (SELECT m, set_num, game_num, any_value(game_winner) AS w FROM p GROUP BY 1, 2, 3), s AS (SELECT m, set_num, any_value(set_winner) AS w FROM p GROUP BY 1, 2),
+gb AS (SELECT m, set_num, game_num, coalesce(sum((w = '1')::INT) OVER o, 0) AS g1, coalesce(sum((w = '2')::INT) OVER o, 0) AS g2 FROM g WINDOW o AS (PARTITION BY m, set_num ORDER BY game_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+sb AS (SELECT m, set_num, coalesce(sum((w = '1')::INT) OVER o, 0) AS s1, coalesce(sum((w = '2')::INT) OVER o, 0) AS s2 FROM s WINDOW o AS (PARTITION BY m ORDER BY set_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+q AS (SELECT *, server = '1' AS one, coalesce(lag(p1_game_score) OVER o, '0') AS a, coalesce(lag(p2_game_score) OVER o, '0') AS b FROM p WINDOW o AS (PARTITION BY m, set_num, game_num ORDER BY point_num))
+SELECT point_num, CASE WHEN one THEN p1_id ELSE p2_id END AS server_id, CASE WHEN one THEN p2_id ELSE p1_id END AS returner_id, CASE WHEN one THEN a ELSE b END AS game_score_server, CASE WHEN one THEN b ELSE a END AS game_score_returner, (CASE WHEN one THEN g1 ELSE g2 END)::INT AS set_score_server_games,
+(CASE WHEN one THEN g2 ELSE g1 END)::INT AS set_score_returner_games, (CASE WHEN one THEN s1 ELSE s2 END)::INT AS sets_won_server, (CASE WHEN one THEN s2 ELSE s1 END)::INT AS sets_won_returner FROM q JOIN gb USING (m, set_num, game_num) JOIN sb USING (m, set_num)""")
+def pre_point_scores(spark, d):
+    out = T.before_points(points(spark, d), ["m"])
+    return out.select("point_num", "server_id", "returner_id", "game_score_server", "game_score_returner", "set_score_server_games", "set_score_returner_games", "sets_won_server", "sets_won_returner")
+
+
+CALLS = "CASE {0} WHEN '0' THEN 0 WHEN '15' THEN 1 WHEN '30' THEN 2 WHEN '40' THEN 3 WHEN 'D' THEN 3 WHEN 'AD' THEN 4 END"
+
+
+@query(f"""WITH p AS (SELECT *, CASE WHEN server = '1' THEN a ELSE b END AS ss, CASE WHEN server = '1' THEN b ELSE a END AS rs FROM (SELECT *, coalesce(lag(p1_game_score) OVER o, '0') AS a, coalesce(lag(p2_game_score) OVER o, '0') AS b FROM {POINTS} z WINDOW o AS (PARTITION BY m, set_num, game_num ORDER BY point_num))),
+q AS (SELECT *, CASE WHEN is_tiebreak THEN try_cast(ss AS INT) ELSE {CALLS.format("ss")} END AS x, CASE WHEN is_tiebreak THEN try_cast(rs AS INT) ELSE {CALLS.format("rs")} END AS y, ss = 'AD' OR ss = '40' AND rs IN ('0', '15', '30') AS gs, rs = 'AD' OR rs = '40' AND ss IN ('0', '15', '30') AS gr FROM p)
+SELECT point_num, is_set_point AND gs AS is_server_set_point, is_set_point AND gr AS is_returner_set_point, is_match_point AND gs AS is_server_match_point, is_match_point AND gr AS is_returner_match_point, serve = 2 AS is_second_serve, x AS game_points_server, y AS game_points_returner, x - y AS game_points_diff,
+CASE WHEN is_tiebreak THEN coalesce(x - y, 0) ELSE 0 END AS tiebreak_point_diff, CASE WHEN is_tiebreak THEN coalesce(x + y, 0) ELSE 0 END AS tiebreak_points_played, surface = 'hard' AS is_surface_hard, surface = 'clay' AS is_surface_clay, surface = 'grass' AS is_surface_grass FROM q""")
+def point_columns(spark, d):
+    made = T.point_columns()
+    out = T.before_points(points(spark, d), ["m"])
+    return out.select("point_num", *[c.alias(n) for n, c in made.items() if n not in ("set_score_asymmetry", "sets_won_asymmetry")])
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_custkey AS player_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 END AS player_partner_id, o_custkey + 2 AS opp_id, o_custkey + 3 AS opp_partner_id, o_orderstatus AS won, o_totalprice AS stat FROM orders)
+SELECT * FROM d UNION ALL SELECT o_orderkey, player_partner_id, player_id, opp_partner_id, opp_id, won, NULL FROM d WHERE player_partner_id IS NOT NULL AND o_orderkey % 2 = 0""")
+def partner_rows(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, d, "orders").select(k, c.alias("player_id"), F.when(k % 3 == 0, c + 1).alias("player_partner_id"), (c + 2).alias("opp_id"), (c + 3).alias("opp_partner_id"), F.col("o_orderstatus").alias("won"), F.col("o_totalprice").alias("stat"))
+    return H.with_partners(o, k % 2 == 0, ["o_orderkey", "won"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import ledger as G
 from .operators import prices as P
+from .operators import reports as B
 from .queries import query, r6
 from .sources.tables import table
 
@@ -170,3 +171,27 @@ c AS (SELECT *, p_ref_close - 1 / odds AS clv FROM j) SELECT {rounded_sql(LEDGER
 @query(ledger_sql())
 def ledger_build(spark, d):
     return rounded(G.build_ledger(ticks(spark, d), starts(spark, d), pmf(spark, d)), LEDGER, LEDGER_ROUNDED)
+
+
+CLOSE_ROWS = f"(SELECT * FROM ({ledger_sql()}) l WHERE anchor = 'close' AND odds IS NOT NULL)"
+
+
+def close_rows(spark, d):
+    """Rounded, as sums of fractions on a band's end would fall to either side."""
+    return rounded(G.build_ledger(ticks(spark, d), starts(spark, d), pmf(spark, d), anchors=("close",)), LEDGER, LEDGER_ROUNDED).where("odds IS NOT NULL")
+
+
+GATED = "FILTER (edge >= 0.02)"
+
+
+@query(f"""SELECT side, count(*) AS n, count(*) {GATED} AS n_gated, round(avg(won::INT) {GATED}, 6) AS hit_rate, round(avg(pnl) {GATED}, 6) AS roi, round(sum(pnl) {GATED}, 4) AS units_gated, round(sum(pnl), 4) AS units_all,
+round(avg(edge) {GATED}, 6) AS avg_edge, round(avg(clv) {GATED}, 6) AS avg_clv, round(avg((clv > 0)::INT) {GATED}, 6) AS clv_pos_rate, count(clv) {GATED} AS n_clv FROM {CLOSE_ROWS} c GROUP BY 1""")
+def policy_statistics(spark, d):
+    out = close_rows(spark, d).groupBy("side").agg(*B.bet_metrics(0.02))
+    return out.withColumns({c: F.round(c, 4 if c.startswith("units") else 6) for c in ("hit_rate", "roi", "units_gated", "units_all", "avg_edge", "avg_clv", "clv_pos_rate")})
+
+
+@query(f"""WITH b AS (SELECT unnest([{", ".join(f"{{'band': '{n}', 'lo': {lo}, 'hi': {hi}}}" for n, lo, hi in B.EDGE_BANDS)}], recursive := true))
+SELECT band, count(*) AS n, round(avg(won::INT), 6) AS hit_rate, round(avg(pnl), 6) AS roi, round(sum(pnl), 4) AS units, round(avg(edge), 6) AS avg_edge FROM {CLOSE_ROWS} c JOIN b ON edge >= lo AND edge < hi GROUP BY 1""")
+def edge_band_curve(spark, d):
+    return B.band_curve(close_rows(spark, d)).withColumns({c: F.round(c, 4 if c == "units" else 6) for c in ("hit_rate", "roi", "units", "avg_edge")})

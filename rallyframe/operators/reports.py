@@ -128,6 +128,50 @@ def bet_report(bets: DataFrame, time: str, unit: str, groups: list[str]) -> Data
         F.count("pnl").alias("n_bets"), F.count_if(F.col("pnl") > 0).alias("n_won"), F.sum("pnl").alias("profit"), F.avg("pnl").alias("yield"))
 
 
+def bet_metrics(gate: float = 0.0) -> list[Column]:
+    """One aggregation over picked bets (edge, won, pnl, clv): all of them, and of
+    those from ``gate`` on their number, hit rate (pushes aside), return, units,
+    mean edge and value against the close."""
+    gated = F.col("edge") >= gate
+    of = lambda c: F.when(gated, c)
+    return [
+        F.count(F.lit(1)).alias("n"), F.count_if(gated).alias("n_gated"), F.avg(of(F.col("won").cast("int"))).alias("hit_rate"), F.avg(of(F.col("pnl"))).alias("roi"), F.sum(of(F.col("pnl"))).alias("units_gated"), F.sum("pnl").alias("units_all"),
+        F.avg(of(F.col("edge"))).alias("avg_edge"), F.avg(of(F.col("clv"))).alias("avg_clv"), F.avg(of((F.col("clv") > 0).cast("int"))).alias("clv_pos_rate"), F.count(of(F.col("clv"))).alias("n_clv")]
+
+
+# Bands of edge, low end included. The first holds all others.
+EDGE_BANDS = (("all", -1.0, 1.0), ("<0", -1.0, 0.0), ("0-2pp", 0.0, 0.02), ("2-5pp", 0.02, 0.05), ("5-10pp", 0.05, 0.10), ("10pp+", 0.10, 1.0))
+
+
+def band_curve(bets: DataFrame, on: str = "edge") -> DataFrame:
+    """Bets, hit rate, return, units and mean edge by band of ``on``; each bet is
+    spread over its bands and summed before the shuffle."""
+    bands = F.array(*[F.struct(F.lit(n).alias("band"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in EDGE_BANDS])
+    met = F.filter(bands, lambda b: (F.col(on) >= b["lo"]) & (F.col(on) < b["hi"]))
+    rows = bets.select("won", "pnl", "edge", F.explode(F.transform(met, lambda b: b["band"])).alias("band"))
+    return rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("won").cast("int")).alias("hit_rate"), F.avg("pnl").alias("roi"), F.sum("pnl").alias("units"), F.avg("edge").alias("avg_edge"))
+
+
+def period_start(time: Column, months: int) -> Column:
+    """First day of the calendar period of 1, 3, 6 or 12 months."""
+    if months not in (1, 3, 6, 12):
+        raise ValueError(f"periods have 1, 3, 6 or 12 months, not {months}")
+    return F.make_date(F.year(time), F.floor((F.month(time) - 1) / months).cast("int") * months + 1, F.lit(1))
+
+
+def segment_calibration(df: DataFrame, segments: list[str], p: str, y: str) -> DataFrame:
+    """Calibration in five bands of confidence from 0.5 for every combination of
+    segment values, empty bands as zeros: one row a segment and band. Scores
+    below 0.5 count for the segment's n_overall only."""
+    key = F.concat_ws("|", *[F.coalesce(F.col(s).cast("string"), F.lit("")) for s in segments])
+    band = F.when(F.col(p) >= 0.5, F.least(F.floor((F.col(p) - 0.5) / 0.1 + 1e-9), F.lit(4)).cast("int"))
+    per = df.groupBy(key.alias("segment"), band.alias("_b")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("p"), F.avg(y).alias("y"))
+    held = per.groupBy("segment").agg(F.sum("n").alias("n_overall"), F.map_from_entries(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", F.struct("n", "p", "y"))))).alias("_m"))
+    each = held.select("segment", "n_overall", "_m", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("band")).withColumn("_v", F.try_element_at("_m", F.col("band")))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return each.select("segment", "band", "n_overall", F.coalesce("_v.n", F.lit(0)).alias("n"), zero(F.col("_v.p")).alias("predicted"), zero(F.col("_v.y")).alias("actual"), zero(F.col("_v.y") - F.col("_v.p")).alias("err"))
+
+
 def rule_votes(rules: dict[str, Column]) -> Column:
     """Net votes: +1 for each rule that points to the player, -1 against."""
     return sum((F.when(c, 1).when(~c, -1).otherwise(0) for c in rules.values()), F.lit(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,11 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], version: str
     """Rows of both with the newest change of each key in place of the old row."""
     newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*changes.columns), F.struct(version, tie)).alias("_r")).select("_r.*")
     return current.join(newest.select(*keys), keys, "left_anti").unionByName(newest, allowMissingColumns=True)
+
+
+def with_partners(df: DataFrame, doubles: Column, keep: list[str]) -> DataFrame:
+    """``df`` with a row for each partner in doubles: the two of a side swapped, the
+    columns ``keep`` as they are and all others null, so that workload counts both."""
+    names = {"player_id": "player_partner_id", "player_partner_id": "player_id", "opp_id": "opp_partner_id", "opp_partner_id": "opp_id"}
+    partners = df.where(doubles & F.col("player_partner_id").isNotNull()).select(*[F.col(names.get(c, c)).alias(c) if c in names or c in keep else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+    return df.unionByName(partners)
