@@ -803,21 +803,33 @@ def elo_fold_by_pool(spark, d):
     return rated(spark, d, "o_orderpriority")
 
 
-@query()
-def glicko_fold(spark, d):
-    return R.glicko(pairings(spark, d), "o_orderkey", "o_orderdate", "a", "b", "won")
-
-
-@query()
+HOLD = "(pow({0}, 4) * (1 + 4 * (1 - {0}) + 10 * pow(1 - {0}, 2)) + 20 * pow({0} * (1 - {0}), 3) * {0} * {0} / ({0} * {0} + pow(1 - {0}, 2)))"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT DISTINCT (0.55::DOUBLE + (c_custkey % 20) / 100.0::DOUBLE) AS pa, 0.62::DOUBLE AS pb FROM customer),
+tb AS (SELECT pa, pb, f, 0 AS a, 0 AS b, 1.0::DOUBLE AS w FROM c, (SELECT unnest([true, false]) AS f) UNION ALL
+  SELECT pa, pb, f, a + won, b + 1 - won, w * CASE WHEN won = 1 THEN q ELSE 1 - q END FROM (SELECT *, CASE WHEN ((a + b + 1) // 2 % 2 = 0) = f THEN pa ELSE 1 - pb END AS q FROM tb WHERE a < 7 AND b < 7 AND NOT (a = 6 AND b = 6)) t, (SELECT unnest([0, 1]) AS won)),
+breaker AS (SELECT pa, pb, f, sum(CASE WHEN a = 6 AND b = 6 THEN w * pa * (1 - pb) / (pa * (1 - pb) + (1 - pa) * pb) WHEN a = 7 THEN w ELSE 0 END) AS win FROM tb WHERE a = 7 OR b = 7 OR a = 6 AND b = 6 GROUP BY 1, 2, 3),
+st AS (SELECT pa, pb, f, 0 AS a, 0 AS b, 1.0::DOUBLE AS w FROM c, (SELECT unnest([true, false]) AS f) UNION ALL
+  SELECT pa, pb, f, a + won, b + 1 - won, w * CASE WHEN won = 1 THEN q ELSE 1 - q END FROM (SELECT st.*, CASE WHEN a = 6 AND b = 6 THEN win WHEN ((a + b) % 2 = 0) = st.f THEN {HOLD.format("st.pa")} ELSE 1 - {HOLD.format("st.pb")} END AS q FROM st JOIN breaker k ON k.pa = st.pa AND k.pb = st.pb AND k.f = st.f
+  WHERE NOT ((a >= 6 OR b >= 6) AND abs(a - b) >= 2 OR a = 7 OR b = 7)) t, (SELECT unnest([0, 1]) AS won)),
+sets AS (SELECT pa, pb, f, a, b, sum(w) AS p FROM st WHERE (a >= 6 OR b >= 6) AND abs(a - b) >= 2 OR a = 7 OR b = 7 GROUP BY ALL),
+mt AS (SELECT pa, pb, true AS f, 0 AS x, 0 AS y, 0 AS games, 1.0::DOUBLE AS w FROM c UNION ALL SELECT m.pa, m.pb, m.f = ((a + b) % 2 = 0), x + (a > b)::INT, y + (b > a)::INT, games + a + b, w * p FROM mt m JOIN sets s ON s.pa = m.pa AND s.pb = m.pb AND s.f = m.f WHERE x < 2 AND y < 2),
+pmf AS (SELECT pa, games, sum(w) AS p, sum(w * (x = 2)::INT) AS won FROM mt WHERE x = 2 OR y = 2 GROUP BY 1, 2), wins AS (SELECT pa, sum(won) AS p_match FROM pmf GROUP BY 1)
+SELECT c_custkey, round(p_match, 9) AS p_match, games::INT AS games, round(p, 9) AS p FROM customer JOIN pmf ON pmf.pa = (0.55::DOUBLE + (c_custkey % 20) / 100.0::DOUBLE) JOIN wins USING (pa)""")
 def match_projection(spark, d):
     c = table(spark, d, "customer").select("c_custkey", (F.lit(0.55) + (F.col("c_custkey") % 20) / 100).alias("pa"), F.lit(0.62).alias("pb"), F.lit(3).alias("best_of"))
-    return project(c, "c_custkey", "pa", "pb", "best_of")
+    out = project(c, "c_custkey", "pa", "pb", "best_of").select("c_custkey", F.round("p_match", 9).alias("p_match"), F.posexplode("games_pmf").alias("games", "p"))
+    return out.where("p > 0").withColumn("p", F.round("p", 9))
 
 
-@query()
+@query(f"""WITH g AS (SELECT round(p, 2) AS p, sum(y) AS s, count(*) AS n FROM {SCORED} t GROUP BY 1), r AS (SELECT *, row_number() OVER w AS i, sum(s) OVER w AS cs, sum(n) OVER w AS cn FROM g WINDOW w AS (ORDER BY p)),
+a AS (SELECT u.i AS j, v.i AS k, (v.cs - u.cs + u.s) / (v.cn - u.cn + u.n) AS mean FROM r u JOIN r v ON v.i >= u.i), m AS (SELECT j, k, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS least FROM a)
+SELECT r.p, r.n, round(max(least), 6) AS p_calibrated FROM r JOIN m ON m.k = r.i GROUP BY 1, 2""")
 def isotonic_calibration(spark, d):
-    s = scored(spark, d)
-    return V.isotonic_fit(s, "p", "y").transform(s).select("o_orderkey", "p", "p_calibrated")
+    """Scores by hundredths, for the largest of the least means of SQL to be a small table."""
+    s = scored(spark, d).withColumn("p", F.round("p", 2))
+    return V.isotonic_fit(s, "p", "y").transform(s).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("p_calibrated"), 6).alias("p_calibrated"))
 
 
 def feature_registry() -> Registry:
