@@ -563,6 +563,25 @@ def test_op10_group_around_the_threshold(spark, percent):
     assert got == links(rows, percent)
 
 
+def test_op10_recall_by_similarity(spark):
+    """Pairs just above the threshold and in bands above it: none is missed."""
+    rng, rows, truth = np.random.default_rng(11), [], {}
+    for i in range(400):
+        a = [f"d{i}w{j}" for j in range(int(rng.integers(60, 300)))]
+        b, changes = list(a), 1 + i % 6
+        for at in rng.choice(len(a), changes, replace=False):
+            b[at] = f"d{i}v{at}"
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+        truth[2 * i] = len(x & y) / len(x | y)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
+    bands = collections.Counter()
+    for i, j in truth.items():
+        assert (got[i + 1] == i) == (j >= 0.8) and got[i] == i
+        bands[int(j * 20)] += j >= 0.8
+    assert min(bands[k] for k in (16, 17, 18, 19)) >= 20
+
+
 def test_op10_edges(edges, empty):
     got = neardup.near_duplicates(edges).collect()
     by = {r.doc_id: r for r in got}
