@@ -4,6 +4,7 @@ editions and points within a tournament, workload, and styles of play."""
 from __future__ import annotations
 
 from functools import reduce
+from math import comb
 from operator import add
 
 from pyspark.sql import Column, DataFrame
@@ -271,6 +272,32 @@ def _surfaces(reg: Registry) -> None:
     _sides(reg, "surface_dominance_ratio", "surface_quality_win_rate")
 
 
+def _chain(reg: Registry) -> None:
+    """A set between two chances to hold, of whole percents, whoever serves first."""
+    def after(own: int, other: int, won: int, a: Column, b: Column) -> Column:
+        """Chance that A has won so many games after ``own`` service games of A
+        and ``other`` of B."""
+        power = lambda x, n: F.pow(x, F.lit(n)) if n else F.lit(1.0)
+        parts = [comb(own, i) * comb(other, won - i) * power(a, i) * power(1 - a, own - i) * power(1 - b, won - i) * power(b, other - won + i) for i in range(max(0, won - other), min(own, won) + 1)]
+        return reduce(add, parts)
+
+    def open_after(n: int, a: Column, b: Column) -> Column:
+        """Chance that nobody has six games after ``n``, the mean over who serves first."""
+        return reduce(add, [after(s, n - s, k, a, b) for s in (n // 2, n - n // 2) for k in range(n - 5, 6)]) / 2
+
+    percent = lambda x: F.when(x.isNotNull(), F.greatest(F.least(F.bround(x, 2), F.lit(1.0)), F.lit(0.0)))
+
+    def both_six(a: Column, b: Column) -> Column:
+        return open_after(10, a, b) * (a * b + (1 - a) * (1 - b))
+
+    def games(x: Column, y: Column) -> Column:
+        a, b = percent(x), percent(y)
+        return 6 + reduce(add, [open_after(n, a, b) for n in range(6, 11)]) + open_after(10, a, b) + both_six(a, b)
+
+    reg.both("iid_expected_games_per_set", "iid_hold_prob", games)
+    reg.both("iid_tiebreak_prob", "iid_hold_prob", lambda x, y: both_six(percent(x), percent(y)))
+
+
 def _share(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den)
 
@@ -372,6 +399,36 @@ def _styles(reg: Registry) -> None:
     for name, x in records.items():
         reg.declare(f"{name}_vs_surface_specialists", lambda ctx, days=None, x=x: aligned(x(w), days), specialists, {"days": None})
     reg.declare("winpct_vs_surface_specialists", lambda ctx, days=None: F.when(aligned(F.lit(1.0), days) > 0, aligned(w, days) / aligned(F.lit(1.0), days)), specialists, {"days": None})
+    # The opponent's kind on an axis as a column first: 1 top, 0 neither, -1 bottom; null if unknown.
+    axes_of = {"serve_type": ("is_power_server", "is_placement_server"), "rally_type": ("is_aggressive_baseliner", "is_counterpuncher"), "net_type": ("is_net_rusher", None)}
+    for axis, (high, low) in axes_of.items():
+        def kind_of(ctx, high=high, low=low):
+            up, down = ctx.opponent(high), ctx.opponent(low) if low else F.lit(0)
+            return F.when(up == 1, 1).when(down == 1, -1).when((up == 0) & (down == 0), 0)
+        reg._add(Feature(f"_kind_{axis}", kind_of, tuple(x for x in (high, low) if x), {}, True))
+        for prefix, keys in (("", PLAYER), ("surface_", SURFACE)):
+            needs = (f"_kind_{axis}", "won", *BASE, *_extra(keys))
+
+            def same(x: Column, days, axis=axis, keys=keys) -> Column:
+                """Total over earlier rows whose opponent was of this one's kind."""
+                kind = F.col(f"`_kind_{axis}`")
+                # An unknown row before counts 0 in each kind's total, but leaves it known.
+                each = [F.when(kind == k, _total(x * F.coalesce((kind == k).cast("int"), F.lit(0)), keys, days)) for k in (1, -1, 0)]
+                return F.coalesce(*each, F.when(kind.isNotNull(), F.lit(0.0)))
+
+            for name, x in records.items():
+                reg.declare(f"{prefix}{name}_vs_opp_{axis}", lambda ctx, days=None, x=x, same=same: same(x(w), days), needs, {"days": None})
+            reg.declare(f"{prefix}winpct_vs_opp_{axis}", lambda ctx, days=None, same=same: F.when(same(F.lit(1.0), days) > 0, same(w, days) / same(F.lit(1.0), days)), needs, {"days": None})
+    # How far results stray from the ratings along the opponent's axis: a slope, drawn to 0.
+    for axis in axes:
+        reg._add(Feature(f"_met_radar_{axis}", lambda ctx, axis=axis: ctx.opponent(f"style_radar_{axis}"), (f"style_radar_{axis}",), {}, True))
+
+        def slope(ctx, days=None, axis=axis):
+            z, stray = F.col(f"`_met_radar_{axis}`"), F.col("won").cast("double") - 1 / (1 + F.pow(F.lit(10.0), -ctx.column("elo_surface_diff") / 400))
+            total = lambda x: W.rolling_sum(x, over(PLAYER), days, None) if days else W.cumulative_sum(x, over(PLAYER))
+            return total(z * stray) / (total(z * z) + 1.0)
+
+        reg.declare(f"style_resid_vs_{axis}", slope, (f"_met_radar_{axis}", "elo_surface_diff", "won", *BASE), {"days": None})
     # Rates against specialists of the surface.
     against = {"surface_first_serve_win_pct": ("svc_first_serve_pts_won", "svc_first_serve_pts_played"), "surface_second_serve_win_pct": ("svc_second_serve_pts_won", "svc_second_serve_pts_played"), "surface_ace_pct": ("svc_aces", "svc_first_serve_att"), "surface_df_pct": ("svc_double_faults", "svc_first_serve_att"),
                "surface_first_serve_in_pct": ("svc_first_serve_in", "svc_first_serve_att"), "surface_bp_save_pct": ("svc_bp_saved", "svc_bp_faced"), "surface_hold_pct": ("holds", "svc_games_played"), "surface_ret_first_serve_win_pct": ("ret_first_serve_pts_won", "ret_first_serve_pts_played"),
@@ -385,4 +442,4 @@ def _styles(reg: Registry) -> None:
 STYLE_COLUMNS = ("mb_player_winners", "mb_player_ues", "mb_opp_fes", "total_points", "pts_total_pts_played", "rally_points_with_data", "rally_short_count", "rally_long_count", "player_short_won", "player_short_err", "player_long_won", "player_long_err",
                  *[f"player_{s}_{k}" for s in ("fh", "bh") for k in ("winners", "forced_errors", "unforced_errors")], *[f"player_{s}_{k}" for s in ("ground_stroke", "volley", "approach", "overhead", "drop_shot", "passing", "lob") for k in ("winners", "forced_errors", "unforced_errors", "others")])
 SIGNAL_COLUMNS = ("svc_aces", "pts_service_pts_played", "pts_total_pts_played", "player_sp_net_points_played", "player_sp_winners", "player_sp_unforced_errors", "rally_long_count", "rally_short_count", "rally_points_with_data")
-FAMILIES = (_context, _ratings, _workload, _tiers, _editions, _within, _surfaces, _styles)
+FAMILIES = (_context, _ratings, _workload, _tiers, _editions, _within, _surfaces, _chain, _styles)

@@ -161,6 +161,60 @@ def test_new_families_against_brute_force(matches, raw):
         assert g["glicko_zscore_formvol"] == (None if None in vol else near(mu / math.sqrt(vol[0] ** 2 + vol[1] ** 2 + 0.1)))
 
 
+def test_chain_and_kinds_against_brute_force(matches, raw):
+    from rallyframe.operators import markov
+
+    specs = ["iid_hold_prob", "iid_expected_games_per_set", "iid_tiebreak_prob", "is_power_server", "is_placement_server", "matches_vs_opp_serve_type", "surface_winpct_vs_opp_serve_type", "wins_vs_opp_net_type(days=200)", "is_net_rusher", "style_resid_vs_net(days=300)", "style_radar_net", "elo_surface_diff"]
+    got = compute(matches, specs)
+
+    def chain(x, y):
+        games, both_six = 0.0, 0.0
+        for first in (True, False):
+            states = {(0, 0): 0.5}
+            for n in range(13):
+                ahead = {}
+                for (a, b), w in states.items():
+                    if max(a, b) >= 6 and abs(a - b) >= 2 or max(a, b) == 7:
+                        games += w * (a + b)
+                    elif a == b == 6:
+                        games, both_six = games + 13 * w, both_six + w
+                    else:
+                        p = x if (n % 2 == 0) == first else 1 - y
+                        ahead[a + 1, b] = ahead.get((a + 1, b), 0) + w * p
+                        ahead[a, b + 1] = ahead.get((a, b + 1), 0) + w * (1 - p)
+                states = ahead
+            games += sum(w * (a + b if (a, b) != (6, 6) else 13) for (a, b), w in states.items())
+            both_six += states.get((6, 6), 0)
+        return games, both_six
+
+    assert markov.hold(0.6) == pytest.approx(0.7357, abs=1e-3)
+    kind = lambda g: None if g["is_power_server"] is None else 1 if g["is_power_server"] else -1 if g["is_placement_server"] else 0
+    foe = lambda x: got[x["match_uid"], x["opp_id"]]
+    seen = set()
+    for r in raw:
+        g, o = got[r["match_uid"], r["player_id"]], foe(r)
+        x, y = g["iid_hold_prob"], o["iid_hold_prob"]
+        if x is None or y is None:
+            assert g["iid_tiebreak_prob"] is None
+        else:
+            want = chain(*(min(1.0, max(0.0, round(v, 2))) for v in (x, y)))
+            assert (g["iid_expected_games_per_set"], g["iid_tiebreak_prob"]) == pytest.approx(want)
+        past = before(raw, r)
+        if kind(o) is None:
+            assert g["matches_vs_opp_serve_type"] is None
+        else:
+            seen.add(kind(o))
+            assert g["matches_vs_opp_serve_type"] == sum(kind(foe(p)) == kind(o) for p in past)
+            here = [p for p in before(raw, r, surface=r["surface"]) if kind(foe(p)) == kind(o)]
+            assert g["surface_winpct_vs_opp_serve_type"] == (pytest.approx(sum(p["won"] for p in here) / len(here)) if here else None)
+        if o["is_net_rusher"] is not None:
+            assert g["wins_vs_opp_net_type(days=200)"] == sum(p["won"] for p in before(raw, r, 200) if foe(p)["is_net_rusher"] == o["is_net_rusher"])
+        recent = before(raw, r, 300)
+        z = [(foe(p)["style_radar_net"], p["won"] - 1 / (1 + 10 ** (-got[p["match_uid"], p["player_id"]]["elo_surface_diff"] / 400))) for p in recent]
+        assert g["style_resid_vs_net(days=300)"] == (pytest.approx(sum(a * b for a, b in z) / (sum(a * a for a, _ in z) + 1)) if recent else None)
+    assert seen == {1, 0, -1}
+
+
 def test_tour_ratings(matches):
     from rallyframe.operators import tour_ratings as T
 
