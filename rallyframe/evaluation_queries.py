@@ -1,4 +1,4 @@
-"""Queries of the metric bundle and of the splitters, with SQL."""
+"""Queries of metrics, splitters, points, text scalars and event mapping, with SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from .functions import scalars as S
+from .operators import integrate as I
+from .operators import joins as J
 from .operators import metrics as M
 from .operators import points as T
 from .operators import reports as B
@@ -181,3 +184,42 @@ def partner_rows(spark, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     o = table(spark, d, "orders").select(k, c.alias("player_id"), F.when(k % 3 == 0, c + 1).alias("player_partner_id"), (c + 2).alias("opp_id"), (c + 3).alias("opp_partner_id"), F.col("o_orderstatus").alias("won"), F.col("o_totalprice").alias("stat"))
     return H.with_partners(o, k % 2 == 0, ["o_orderkey", "won"])
+
+
+@query("""SELECT o_orderkey, (o_custkey % 5 * 3600 + o_orderkey % 60 * 60 + CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 60 ELSE 0 END)::INT AS seconds, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey % 32 END::INT AS seed, CASE WHEN o_orderkey % 3 <> 1 THEN 'WC' END AS entry,
+round((o_custkey % 20) / (o_orderkey % 9 + 1)::DOUBLE + 1, 9) AS odds, 'café ' || o_orderpriority AS mended, lower(replace(o_orderpriority, '-', ' ')) AS name, CASE o_orderkey % 4 WHEN 0 THEN 'CH125' WHEN 1 THEN 'GS' WHEN 2 THEN '500' ELSE '250' END AS level, CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 8 < 4 THEN 5 ELSE 3 END AS best_of FROM orders""")
+def text_scalars(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    o = table(spark, d, "orders").select(
+        k, "o_orderpriority", F.concat_ws(":", two(c % 5), two(k % 60), F.when(k % 2 == 0, two(c % 60))).alias("clock"), F.concat(F.lit("("), F.when(k % 3 == 0, F.lit("WC")).when(k % 3 == 1, (c % 32).cast("string")).otherwise(F.concat((c % 32).cast("string"), F.lit("/WC"))), F.lit(")")).alias("tag"),
+        F.concat((c % 20).cast("string"), F.lit("/"), (k % 9 + 1).cast("string")).alias("price"), F.concat(F.lit("cafÃ© "), F.col("o_orderpriority")).alias("broken"), F.concat(F.lit("ATP 2026 "), F.col("o_orderpriority"), F.lit(" (Clay), Qualifying")).alias("event"),
+        F.get(F.array(*[F.lit(x) for x in ("CH", "GS", "OL", "??")]), (k % 4).cast("int")).alias("kind"), F.when(k % 8 < 4, "QF").otherwise("Q2").alias("round"))
+    seed, entry = S.seed_entry(F.col("tag"))
+    level = S.tournament_level(F.col("kind"), F.lit(125))
+    return o.select("o_orderkey", S.duration_seconds(F.col("clock")).alias("seconds"), seed.alias("seed"), entry.alias("entry"), F.round(S.decimal_odds(F.col("price")), 9).alias("odds"), S.mended(F.col("broken")).alias("mended"), S.event_name(F.col("event")).alias("name"), level.alias("level"), S.best_of(level, F.col("round")).alias("best_of"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id, CASE WHEN event_id % 4 = 0 THEN ts END AS t, ['Starts At', 'Followed By', 'Followed By', 'After Rest'][event_id % 4 + 1] AS note FROM events),
+a AS (SELECT *, last_value(CASE WHEN t IS NOT NULL THEN t END IGNORE NULLS) OVER w AS lt, last_value(CASE WHEN t IS NOT NULL THEN event_id END IGNORE NULLS) OVER w AS lp FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT event_id, CASE WHEN t IS NOT NULL THEN t WHEN note = 'Followed By' THEN lt + to_minutes((event_id - lp) * 90) END AS scheduled_datetime, t IS NULL AS is_time_estimated FROM a""")
+def court_times(spark, d):
+    e = F.col("event_id")
+    rows = table(spark, d, "events").select("event_id", "user_id", F.when(e % 4 == 0, F.col("ts")).alias("t"), F.get(F.array(*[F.lit(x) for x in ("Starts At", "Followed By", "Followed By", "After Rest")]), (e % 4).cast("int")).alias("note"))
+    return I.court_times(rows, ["user_id"], "event_id", "t", "note").select("event_id", "scheduled_datetime", "is_time_estimated")
+
+
+@query("""WITH e AS (SELECT event_id AS event, CASE WHEN event_id % 17 > 0 THEN user_id % 12 END AS a, event_id % 12 AS b, ts AS moment, CASE event_id % 4 WHEN 0 THEN 'porto' WHEN 1 THEN 'porto alegre' WHEN 2 THEN 'paris' END AS name FROM events),
+m AS (SELECT o_orderkey AS match, o_custkey % 12 AS a, o_orderkey % 11 AS b, DATE '2023-12-01' + (o_orderkey % 90)::INT AS date, CASE o_orderkey % 3 WHEN 0 THEN 'porto' WHEN 1 THEN 'porto alegre' ELSE 'rome' END AS t FROM orders WHERE o_orderkey % 13 = 0),
+j AS (SELECT event, moment, name, e.a IS NULL AS unknown, match, date, t, coalesce(year(moment) = year(date), false) AS sy FROM e LEFT JOIN m ON least(e.a, e.b) = least(m.a, m.b) AND greatest(e.a, e.b) = greatest(m.a, m.b) AND e.a IS NOT NULL),
+k AS (SELECT *, match IS NOT NULL AND (name IS NULL OR list_has_all(string_split(t, ' '), string_split(name, ' ')) OR list_has_all(string_split(name, ' '), string_split(t, ' '))) AS fits FROM (SELECT *, bool_or(sy) OVER (PARTITION BY event) AS any_year FROM j) WHERE NOT any_year OR sy),
+g AS (SELECT *, CASE WHEN fits THEN abs(date_diff('day', date, moment::DATE)) END AS gap FROM k), l AS (SELECT *, min(gap) OVER (PARTITION BY event) AS least_gap FROM g),
+o AS (SELECT event, bool_or(unknown) AS unknown, count(match) AS met, count(*) FILTER (fits) AS agree, min(least_gap) AS gap, count(DISTINCT match) FILTER (fits AND gap = least_gap) AS n, min(match) FILTER (fits AND gap = least_gap) AS match FROM l GROUP BY 1),
+r AS (SELECT event, match, CASE WHEN unknown THEN 'unresolved' WHEN met = 0 THEN 'no_match' WHEN agree = 0 THEN 'tournament_rejected' WHEN n > 1 THEN 'ambiguous' WHEN gap > 10 THEN 'too_far' ELSE 'mapped' END AS outcome FROM o)
+SELECT event, CASE WHEN outcome = 'mapped' THEN match END AS match, outcome FROM r""")
+def event_mapping(spark, d):
+    e, k = F.col("event_id"), F.col("o_orderkey")
+    events = table(spark, d, "events").select(e.alias("event"), F.when(e % 17 > 0, F.col("user_id") % 12).alias("a"), (e % 12).alias("b"), F.col("ts").alias("at"), F.when(e % 4 == 0, "porto").when(e % 4 == 1, "porto alegre").when(e % 4 == 2, "paris").alias("tournament"))
+    day = F.date_add(F.lit("2023-12-01").cast("date"), (k % 90).cast("int"))
+    matches = table(spark, d, "orders").where(k % 13 == 0).select(k.alias("match"), (F.col("o_custkey") % 12).alias("a"), (k % 11).alias("b"), day.alias("date"), F.year(day).alias("year"), F.when(k % 3 == 0, "porto").when(k % 3 == 1, "porto alegre").otherwise("rome").alias("tournament"))
+    return J.map_events(events, matches, 10)

@@ -91,3 +91,71 @@ def remove_margin(a: Column, b: Column) -> Column:
     """Share of ``a`` in the implied probabilities of two sides."""
     x, y = implied_probability(a), implied_probability(b)
     return F.try_divide(x, x + y)
+
+
+def duration_seconds(text: Column) -> Column:
+    """Seconds of HH:MM or HH:MM:SS; null for other forms."""
+    part = lambda i: F.regexp_extract(F.trim(text), r"^(\d+):(\d+)(?::(\d+))?$", i).try_cast("int")
+    return part(1) * 3600 + part(2) * 60 + F.coalesce(part(3), F.when(part(2).isNotNull(), 0))
+
+
+def seed_entry(text: Column) -> tuple[Column, Column]:
+    """Seed and entry of "(3)", "(WC)" or "(3/WC)"; null where absent."""
+    bare = F.nullif(F.regexp_replace(text, r"^[()]+|[()]+$", ""), F.lit(""))
+    head, tail = F.substring_index(bare, "/", 1), F.when(F.instr(bare, "/") > 0, F.substring(bare, F.instr(bare, "/") + 1, F.length(bare)))
+    seed = head.try_cast("int")
+    return seed, F.when(seed.isNotNull(), F.nullif(tail, F.lit(""))).otherwise(bare)
+
+
+def decimal_odds(fraction_: Column) -> Column:
+    """Decimal odds of profit to stake: "8/11" is 1.727...; a whole number is over 1."""
+    a, b = F.regexp_extract(fraction_, r"^\s*(\d+)\s*(?:/\s*(\d+))?\s*$", 1).try_cast("double"), F.regexp_extract(fraction_, r"/\s*(\d+)\s*$", 1).try_cast("double")
+    return F.try_divide(a, F.coalesce(b, F.lit(1.0))) + 1
+
+
+def mended(text: Column) -> Column:
+    """Text whose UTF-8 was read as Latin-1, read again; other text as it is."""
+    raw = F.encode(text, "ISO-8859-1").cast("string")
+    return F.when(text.rlike("[\u00c2\u00c3]") & text.rlike("^[\\x{00}-\\x{FF}]*$"), F.coalesce(F.try_validate_utf8(raw), text)).otherwise(text)
+
+
+# Words of an event's name that say nothing of its place.
+NOISE = (r"(?i)\b20\d\d\b|\b(?:challenger|masters|atp|wta|itf|men|women)\b|\bqualif(?:iers?|ying|ication)\b|\bquals?\b|\bclasificaci\w*|\bqualificac\w*|\bround\s*\d+\b|\br\d+\b"
+         r"|\b(?:semi|quarter)\s*finals?\b|\bfinals?\b|\b(?:clay|hard|grass|carpet|indoor|outdoor)\b")
+
+
+def event_name(text: Column, aliases: dict[str, str] | None = None) -> Column:
+    """An event's name without noise and punctuation, normalised, by its alias."""
+    bare = normalise_name(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), NOISE, " "), "[-\u2013\u2014,()]+", " "))
+    known = F.create_map(*[F.lit(x) for kv in (aliases or {}).items() for x in kv]) if aliases else None
+    return F.coalesce(F.try_element_at(known, bare), bare) if aliases else bare
+
+
+def events_agree(a: Column, b: Column) -> Column:
+    """Whether the words of one name are among the other's; true if either has none."""
+    x, y = (F.filter(F.split(c, " "), lambda w: w != "") for c in (a, b))
+    return (F.size(x) == 0) | (F.size(y) == 0) | (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
+
+
+def months_later(day: Column, months: Column | int) -> Column:
+    """The same day some months on, or the last one of a shorter month."""
+    return F.add_months(day, months)
+
+
+# Levels by kind of event and, for challengers, by their points.
+LEVELS = {"GS": "GS", "1000": "1000", "CS": "1000", "WC": "1000", "500": "500", "GP": "500", "OL": "500", "250": "250", "FU": "FU"}
+CHALLENGERS = {175: "CH175", 125: "CH125", 110: "CH100", 100: "CH100", 90: "CH75", 80: "CH75", 75: "CH75", 50: "CH50"}
+MAIN_ROUNDS = ("R128", "R64", "R32", "R16", "QF", "SF", "F", "RR")
+
+
+def tournament_level(kind: Column, detail: Column | None = None) -> Column:
+    pick = lambda table, key, other: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), F.lit(other))
+    challenger = pick(CHALLENGERS, detail.cast("int"), "CH75") if detail is not None else F.lit("CH75")
+    return F.when(kind == "CH", challenger).otherwise(pick(LEVELS, kind, "250"))
+
+
+def best_of(level: Column, round_: Column, long_events: Column | None = None) -> Column:
+    """5 in the main draw of a Grand Slam and where ``long_events`` holds, else 3."""
+    five = (level == "GS") & round_.isin(*MAIN_ROUNDS)
+    five = five | long_events if long_events is not None else five
+    return F.when(F.coalesce(five, F.lit(False)), 5).otherwise(3)

@@ -59,3 +59,20 @@ def odds_movement(snapshots: DataFrame, keys: list[str], time: str, price: str,
     """Changes of a price from one snapshot to the next, without repeats."""
     w = Window.partitionBy(*keys).orderBy(time, tie)
     return snapshots.withColumn("_before", F.lag(price).over(w)).where(F.col("_before").isNull() | (F.col(price) != F.col("_before"))).withColumn("change", F.col(price) - F.col("_before")).drop("_before")
+
+
+#: Minutes that a match on a court is taken to last, and the notes
+#: that set a court's clock.
+SLOT_MINUTES, CLOCKS = 90, ("Starts At", "Not Before")
+
+
+def court_times(df: DataFrame, court: list[str], place: str, scheduled: str, note: str) -> DataFrame:
+    """``df`` with scheduled_datetime and is_time_estimated: a match that follows
+    others on its court is put as many slots after the last one with a clock time
+    as it lies places behind."""
+    w = Window.partitionBy(*court).orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    clock = F.when(F.col(scheduled).isNotNull() & F.col(note).isin(*CLOCKS), F.struct(F.col(scheduled).alias("t"), F.col(place).alias("p")))
+    last = F.last(clock, ignorenulls=True).over(w)
+    follows = F.col(scheduled).isNull() & (F.col(note) == "Followed By")
+    guess = F.when(follows, last["t"] + F.make_dt_interval(mins=((F.col(place) - last["p"]) * SLOT_MINUTES).cast("int")))
+    return df.withColumn("_guess", guess).withColumns({"is_time_estimated": F.col(scheduled).isNull(), "scheduled_datetime": F.coalesce(F.col(scheduled), "_guess")}).drop("_guess")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import events_agree
 from ..functions.windows import micros
 
 
@@ -125,6 +126,37 @@ def resolve_pairs(events: DataFrame, matches: DataFrame, event: str, match: str,
     return unique_or_rejected(e.join(m, "_pair").where(near), event, match)
 
 
+def map_events(events: DataFrame, matches: DataFrame, days: int | None = None) -> DataFrame:
+    """(event, match, outcome): each event's match, narrowed in stages.
+
+    ``events`` has event, a and b (players' ids, null if unknown), at, and
+    tournament (name, may be null); ``matches`` has match, a, b, date, year and
+    tournament, names normalised on both sides. Candidates share the unordered
+    pair. Those of the event's year are kept if there are any, then those whose
+    tournament's words agree, then the nearest in time, if within ``days``.
+
+    outcome: mapped; unresolved (a player unknown), no_match (the pair never
+    met), tournament_rejected, ambiguous (several are as near) or too_far.
+    """
+    pair = lambda: F.array_sort(F.array("a", "b")).alias("_pair")
+    known = F.col("a").isNotNull() & F.col("b").isNotNull()
+    e = events.select("event", F.when(known, pair()).alias("_pair"), F.col("at").alias("_at"), F.col("tournament").alias("_name"))
+    m = matches.select("match", pair(), "date", "year", "tournament")
+    every = Window.partitionBy("event")
+    met = e.join(m, "_pair", "left").withColumn("_same_year", F.coalesce(F.year("_at") == F.col("year"), F.lit(False)) & F.col("match").isNotNull())
+    met = met.withColumn("_some", F.max("_same_year").over(every)).where(~F.col("_some") | F.col("_same_year"))
+    met = met.withColumn("_fits", F.col("match").isNotNull() & events_agree(F.coalesce("_name", F.lit("")), F.coalesce("tournament", F.lit(""))))
+    met = met.withColumn("_gap", F.when(F.col("_fits"), F.abs(F.datediff("_at", "date"))))
+    best = met.withColumn("_least", F.min("_gap").over(every))
+    out = best.groupBy("event").agg(
+        F.max(F.col("_pair").isNull()).alias("_unknown"), F.count("match").alias("_met"), F.count_if("_fits").alias("_agree"), F.min("_least").alias("_gap"),
+        F.countDistinct(F.when(F.col("_fits") & F.col("_gap").eqNullSafe(F.col("_least")), F.col("match"))).alias("_n"), F.min(F.when(F.col("_fits") & F.col("_gap").eqNullSafe(F.col("_least")), F.col("match"))).alias("match"))
+    outcome = F.when(F.col("_unknown"), "unresolved").when(F.col("_met") == 0, "no_match").when(F.col("_agree") == 0, "tournament_rejected").when(F.col("_n") > 1, "ambiguous")
+    outcome = outcome.when(F.col("_gap") > days, "too_far") if days is not None else outcome
+    told = out.withColumn("outcome", outcome.otherwise("mapped"))
+    return told.select("event", F.when(F.col("outcome") == "mapped", F.col("match")).alias("match"), "outcome")
+
+
 def stale_rows(planned: DataFrame, known: DataFrame, keys: list[str], field: str) -> DataFrame:
     """``planned`` without rows that ``known`` contradicts: equal keys, other ``field``."""
     other = known.select(*keys, F.col(field).alias("_known"))

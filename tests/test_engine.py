@@ -402,3 +402,24 @@ def test_names_of_all_latin_letters(spark):
     given = ["Novak Đoković", "Iga Świątek", "Tomáš Macháč", "Çağla Büyükakçay", "Stan  Wawrinka", "A\u0301na-Bo\u0308"]
     got = spark.createDataFrame([(g,) for g in given], "n string").select(scalars.normalise_name(F.col("n")).alias("n")).collect()
     assert [r.n for r in got] == ["novak đoković".replace("ć", "c"), "iga swiatek", "tomas machac", "cagla buyukakcay", "stan wawrinka", "ana bo"]
+
+
+def test_text_scalars(spark):
+    rows = [("02:50:39", "(3/WC)", "8/11", "AndrÃ©"), ("03:44", "(Q)", "1/1", "André"), ("x", "12", "5", "Ãrbol"), (None, "", "a/b", None), ("1:2:3:4", "()", "1/0", "Tōkyō Ã")]
+    df = spark.createDataFrame(rows, "d string, s string, o string, m string")
+    seed, entry = scalars.seed_entry(F.col("s"))
+    got = [tuple(r) for r in df.select(scalars.duration_seconds(F.col("d")), seed, entry, F.round(scalars.decimal_odds(F.col("o")), 3), scalars.mended(F.col("m"))).collect()]
+    assert got == [(10239, 3, "WC", 1.727, "André"), (13440, None, "Q", 2.0, "André"), (None, 12, None, 6.0, "Ãrbol"), (None, None, None, None, None), (None, None, None, None, "Tōkyō Ã")]
+    names = spark.createDataFrame([("ATP Madrid 2026 - Clay", "madrid"), ("Pau Challenger", "sao paulo"), ("Porto", "porto alegre"), ("WTA 2026", "rome"), ("French Open Qualifying", "roland garros")], "a string, b string")
+    one = scalars.event_name(F.col("a"), {"french open": "roland garros"})
+    assert [tuple(r) for r in names.select(one, scalars.events_agree(one, F.col("b"))).collect()] == [("madrid", True), ("pau", False), ("porto", True), ("", True), ("roland garros", True)]
+    levels = spark.createDataFrame([("CH", 110), ("CH", None), ("GP", None), ("GS", None), (None, None)], "k string, d int").select(scalars.tournament_level(F.col("k"), F.col("d")).alias("l"))
+    assert [r.l for r in levels.collect()] == ["CH100", "CH75", "500", "GS", "250"]
+
+
+def test_event_mapping_stages(spark):
+    d = lambda x: date(2024, 1, x)
+    events = [("e1", "p", "q", datetime(2024, 1, 3), "porto"), ("e2", "q", "p", datetime(2024, 1, 3), None), ("e3", None, "q", datetime(2024, 1, 3), None), ("e4", "p", "z", datetime(2024, 1, 3), None), ("e5", "p", "q", datetime(2024, 1, 3), "madrid"), ("e6", "p", "q", datetime(2024, 6, 1), "rome"), ("e7", "a", "b", datetime(2024, 1, 3), None)]
+    matches = [("m1", "p", "q", d(2), 2024, "porto open"), ("m2", "q", "p", d(20), 2024, "rome"), ("m0", "p", "q", date(2023, 1, 3), 2023, "porto open"), ("n1", "a", "b", d(2), 2024, "x"), ("n2", "a", "b", d(4), 2024, "y")]
+    got = joins.map_events(spark.createDataFrame(events, "event string, a string, b string, at timestamp_ntz, tournament string"), spark.createDataFrame(matches, "match string, a string, b string, date date, year int, tournament string"), 30).collect()
+    assert {r.event: (r.match, r.outcome) for r in got} == {"e1": ("m1", "mapped"), "e2": ("m1", "mapped"), "e3": (None, "unresolved"), "e4": (None, "no_match"), "e5": (None, "tournament_rejected"), "e6": (None, "too_far"), "e7": (None, "ambiguous")}
