@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
+from .operators import calibrate as C
 from .operators import integrate as I
 from .operators import joins as J
 from .operators import metrics as M
@@ -223,3 +224,22 @@ def event_mapping(spark, d):
     day = F.date_add(F.lit("2023-12-01").cast("date"), (k % 90).cast("int"))
     matches = table(spark, d, "orders").where(k % 13 == 0).select(k.alias("match"), (F.col("o_custkey") % 12).alias("a"), (k % 11).alias("b"), day.alias("date"), F.year(day).alias("year"), F.when(k % 3 == 0, "porto").when(k % 3 == 1, "porto alegre").otherwise("rome").alias("tournament"))
     return J.map_events(events, matches, 10)
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT segment, ln(p / (1 - p)) AS x, y, sum(w) AS w FROM (SELECT unnest([NULL, o_orderpriority]) AS segment, round(p, 4) AS p, y, CASE WHEN y = 0 THEN 2.0 ELSE 1.0 END AS w FROM {SCORED} s) GROUP BY ALL),
+s AS (SELECT 0 AS i, segment, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM (SELECT DISTINCT segment FROM d) UNION ALL
+SELECT i + 1, segment, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1), b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) FROM (SELECT i, segment, a, b, sum(w * (y - q)) AS g0, sum(w * (y - q) * x) AS g1, sum(w * q * (1 - q)) AS h0, sum(w * q * (1 - q) * x) AS h1, sum(w * q * (1 - q) * x * x) AS h2
+  FROM (SELECT s.*, x, y, w, 1 / (1 + exp(-(a + b * x))) AS q FROM s JOIN d ON s.segment IS NOT DISTINCT FROM d.segment WHERE i < 12) GROUP BY 1, 2, 3, 4))
+SELECT coalesce(segment, 'all') AS segment, round(b, 5) AS slope, round(a, 5) AS intercept FROM s WHERE i = 12""")
+def segmented_platt(spark, d):
+    fit = C.fit_platt(scored(spark, d), "p", "y", ["o_orderpriority"], least=50, over=2.0)
+    return fit.select(F.coalesce("segment", F.lit("all")).alias("segment"), F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"))
+
+
+@query(f"""WITH g AS (SELECT o_orderpriority AS segment, round(p, 2) AS p, sum(y) AS s, count(*) AS n FROM {SCORED} t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w AS i, sum(s) OVER w AS cs, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY segment ORDER BY p)),
+a AS (SELECT u.segment, u.i AS j, v.i AS k, (v.cs - u.cs + u.s) / (v.cn - u.cn + u.n) AS mean FROM r u JOIN r v ON v.segment = u.segment AND v.i >= u.i), m AS (SELECT segment, j, k, min(mean) OVER (PARTITION BY segment, j ORDER BY k DESC) AS least FROM a)
+SELECT r.segment, r.p, r.n, round(max(least), 6) AS calibrated FROM r JOIN m ON m.k = r.i AND m.segment = r.segment GROUP BY 1, 2, 3""")
+def segmented_isotonic(spark, d):
+    s = scored(spark, d).withColumn("p", F.round("p", 2))
+    out = C.apply_isotonic(s, C.fit_isotonic(s, "p", "y", ["o_orderpriority"], least=50), "p", ["o_orderpriority"])
+    return out.groupBy(F.col("o_orderpriority").alias("segment"), "p").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("calibrated"), 6).alias("calibrated"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rallyframe import queries
 from rallyframe.functions import scalars
 from rallyframe.functions import windows as W
-from rallyframe.operators import aggregates, evaluate, integrate, joins, ledger, markov, metrics, prices, ratings, reshape, splits
+from rallyframe.operators import aggregates, calibrate, evaluate, integrate, joins, ledger, markov, metrics, prices, ratings, reshape, splits
 from rallyframe.plans import filters, planner
 from rallyframe.plans.registry import Registry
 from rallyframe.sources import tables
@@ -423,3 +423,22 @@ def test_event_mapping_stages(spark):
     matches = [("m1", "p", "q", d(2), 2024, "porto open"), ("m2", "q", "p", d(20), 2024, "rome"), ("m0", "p", "q", date(2023, 1, 3), 2023, "porto open"), ("n1", "a", "b", d(2), 2024, "x"), ("n2", "a", "b", d(4), 2024, "y")]
     got = joins.map_events(spark.createDataFrame(events, "event string, a string, b string, at timestamp_ntz, tournament string"), spark.createDataFrame(matches, "match string, a string, b string, date date, year int, tournament string"), 30).collect()
     assert {r.event: (r.match, r.outcome) for r in got} == {"e1": ("m1", "mapped"), "e2": ("m1", "mapped"), "e3": (None, "unresolved"), "e4": (None, "no_match"), "e5": (None, "tournament_rejected"), "e6": (None, "too_far"), "e7": (None, "ambiguous")}
+
+
+def test_calibrators_fall_back(spark):
+    rng = random.Random(6)
+    rows = [(s, p, int(rng.random() < p**2)) for s in "ab" for p in [rng.uniform(0.02, 0.98) for _ in range(400)]] + [("c", 0.5, 1), ("one", 0.4, 1)] * 3
+    df = spark.createDataFrame(rows, "s string, p double, y int")
+    platt = calibrate.fit_platt(df, "p", "y", ["s"], least=100)
+    assert {r.segment for r in platt.collect()} == {None, "a", "b"}
+    given = spark.createDataFrame([("a", 0.9), ("c", 0.9), ("new", 0.9), ("a", None)], "s string, p double")
+    got = {(r.s, r.p): r.calibrated for r in calibrate.apply_platt(given, platt, "p", ["s"]).collect()}
+    assert 0.7 < got["a", 0.9] < 0.95 and got["c", 0.9] == got["new", 0.9] != got["a", 0.9] and got["a", None] is None
+    steps = calibrate.fit_isotonic(df, "p", "y", ["s"], least=100)
+    values = [(r.low, r.high, r.value) for r in steps.where("segment = 'a'").orderBy("low").collect()]
+    assert all(a[1] < b[0] and a[2] < b[2] for a, b in zip(values, values[1:], strict=False))
+    grid = spark.createDataFrame([("a", i / 50) for i in range(51)] + [("zz", 0.3)], "s string, p double")
+    out = [r.calibrated for r in calibrate.apply_isotonic(grid, steps, "p", ["s"]).where("s = 'a'").orderBy("p").collect()]
+    assert out == sorted(out) and out[0] == values[0][2] and out[-1] == values[-1][2]
+    heavier = calibrate.fit_platt(df, "p", "y", over=3.0).first()
+    assert heavier.intercept < platt.where("segment IS NULL").first().intercept and calibrate.fit_platt(df.limit(0), "p", "y").count() == 0
