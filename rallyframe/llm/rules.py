@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, ascii_lower, documents, let, settle, without, words
+from .common import SPACE_CHARS, ascii_lower, documents, let, settle, without, words
 
 WINDOW = 8
 #: A line is boilerplate if more than ``MIN_DOCS`` distinct documents of its host
@@ -42,22 +42,22 @@ def repeated_window_words(w: Column, window: int = WINDOW) -> Column:
 def text_counts(text: Column) -> Column:
     """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     t = F.coalesce(text, F.lit(""))
-    without = lambda chars: F.char_length(F.translate(t, chars, ""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.translate(x, SPACE_CHARS, "") != "")
+    lines = F.filter(F.split(t, "\n", -1), lambda x: F.trim(x, F.lit(SPACE_CHARS)) != "")
     return let(words(t), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
-        without(SPACE_CHARS).cast("long").alias("word_chars"),
-        (F.char_length(t) - without("#*$%&|<>")).cast("long").alias("n_symbols"),
+        F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_window_words(w).alias("n_repeat_words")))
 
 
 def line_profile(text: Column) -> Column:
     """(hash, words) of each line with a word; lines are compared in lower case
-    with digits as 0 and white space squeezed."""
-    normal = lambda x: F.trim(F.regexp_replace(F.regexp_replace(ascii_lower(x), "[0-9]+", "0"), SPACE, " "))
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), normal)
-    return F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), (F.char_length(x) - F.char_length(F.translate(x, " ", "")) + 1).alias("words")))
+    with digits as 0 and white space squeezed. All but the trimming is done on
+    the whole text, before it is cut into lines."""
+    plain = F.regexp_replace(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), "[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]+", " ")
+    lines = F.filter(F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words")))
 
 
 def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, carry: tuple[str, ...] = ("doc_id",), copies: bool = False) -> DataFrame:
