@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import settled
+from .filters import where
 from .registry import Registry
 
 SPEC = re.compile(r"^\s*([A-Za-z_]\w*)\s*(?:\((.*)\))?\s*$", re.S)
@@ -140,6 +141,17 @@ class FeatureEngine:
             df = df.drop(*[f"opp:{n}" for n in needed])
         return df.select(self.match, self.player, *extra, *[F.col(f"`{self.resolve(s)[0]}`").alias(s) for s in specs if self.resolve(s)[2] is None or self.resolve(s)[2].transform is None])
 
+    def filtered(self, df: DataFrame, conditions: dict) -> DataFrame:
+        """Rows of ``df`` that meet conditions of the filter language; a name that
+        is no column is a feature, computed before the rows are chosen."""
+        specs = [n for n in conditions if n not in df.columns]
+        if not specs:
+            return df.where(where(conditions))
+        named = {s: f"_f{i}" for i, s in enumerate(specs)}
+        found = self.compute(df, specs).select(self.match, self.player, *[F.col(f"`{s}`").alias(n) for s, n in named.items()])
+        met = df.join(found, [self.match, self.player]).where(where({named.get(n, n): c for n, c in conditions.items()}))
+        return met.select(*df.columns)
+
     def _measure(self, df: DataFrame, pools: list) -> None:
         """Overall ratios that shrunk features need: one pass for all without
         strata, one for each kind of strata. A stratum is a surface or the

@@ -886,4 +886,4 @@ def feature_plan(spark, d):
     return out.select("match_uid", "player_id", *[(F.col(f"`{s}`") if s == "matches_played_sum" else F.round(F.col(f"`{s}`"), 6)).alias(names.get(s, s)) for s in FEATURES])
 
 
-from . import evaluation_queries, market_queries, rating_queries  # noqa: E402, F401
+from . import evaluation_queries, integration_queries, market_queries, rating_queries  # noqa: E402, F401
