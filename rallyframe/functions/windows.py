@@ -122,6 +122,16 @@ def pooled_ratio(df: DataFrame, num: str, den: str, by: tuple[str, ...] = ()) ->
     return g.agg(F.try_divide(F.sum(num), F.sum(den)).alias("pooled"))
 
 
+def with_prior(df: DataFrame, known: DataFrame, num: str, den: str, by: str) -> DataFrame:
+    """``df`` with ``pooled``, the ratio of its stratum in ``known``, or of all of
+    it where that has none. One pass over ``known``; a row a stratum is joined."""
+    sums = known.groupBy(by).agg(F.sum(num).alias("_n"), F.sum(den).alias("_d"))
+    strata = sums.select(F.col(by).alias("_k"), F.try_divide("_n", "_d").alias("_own"))
+    every = sums.agg(F.try_divide(F.sum("_n"), F.sum("_d")).alias("_every"))
+    out = df.join(F.broadcast(strata), F.col(by).eqNullSafe(F.col("_k")), "left").join(F.broadcast(every))
+    return out.withColumn("pooled", F.coalesce("_own", "_every")).drop("_k", "_own", "_every")
+
+
 def shrunk_ratio(n: Column, d: Column, k: float = 0.0, pooled: Column | None = None) -> Column:
     """n / d, pulled to ``pooled`` with the weight of ``k`` observations; null
     without history or with a denominator that is not positive."""

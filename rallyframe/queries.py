@@ -135,14 +135,16 @@ def ratio_eb_shrunk(spark, d):
     return df.select("o_orderkey", n.alias("n"), den.alias("d")).join(F.broadcast(m)).select("o_orderkey", r6(W.shrunk_ratio(F.col("n"), F.col("d"), 20.0, F.col("pooled")), "ratio"))
 
 
-@query(f"""WITH r AS {RETURNS}, p AS (SELECT o_orderpriority, sum(num) / sum(den) AS m FROM r GROUP BY 1),
+@query(f"""WITH r AS {RETURNS}, p AS (SELECT o_orderpriority, sum(num) / sum(den) AS m FROM r WHERE o_orderpriority < '4' GROUP BY 1), e AS (SELECT sum(num) / sum(den) AS every FROM r WHERE o_orderpriority < '4'),
 w AS (SELECT o_orderkey, o_orderpriority, sum(num) OVER x AS n, sum(den) OVER x AS d FROM r WINDOW x AS (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT o_orderkey, round(CASE WHEN d > 0 THEN (n + 5 * m) / (d + 5) END, 6) AS ratio FROM w JOIN p USING (o_orderpriority)""")
+SELECT o_orderkey, round(CASE WHEN d > 0 THEN (n + 5 * coalesce(m, every)) / (d + 5) END, 6) AS ratio FROM w LEFT JOIN p USING (o_orderpriority), e""")
 def ratio_stratum_shrunk(spark, d):
+    """Two strata lack a ratio of their own and take the overall one."""
     df = returns(spark, d)
     over = W.Over(("o_custkey", "o_orderpriority"), "o_orderdate", ("o_orderkey",))
     mine = df.select("o_orderkey", "o_orderpriority", *[F.sum(c).over(over.before()).alias(n) for c, n in (("num", "n"), ("den", "d"))])
-    return mine.join(W.pooled_ratio(df, "num", "den", ("o_orderpriority",)), "o_orderpriority").select("o_orderkey", r6(W.shrunk_ratio(F.col("n"), F.col("d"), 5.0, F.col("pooled")), "ratio"))
+    known = df.where("o_orderpriority < '4'")
+    return W.with_prior(mine, known, "num", "den", "o_orderpriority").select("o_orderkey", r6(W.shrunk_ratio(F.col("n"), F.col("d"), 5.0, F.col("pooled")), "ratio"))
 
 
 @query(f"SELECT event_id, round(CASE WHEN d > 0 THEN n / d END, 6) AS rate FROM (SELECT event_id, sum(CASE WHEN x IS NOT NULL THEN x END) {PRIOR} AS n, sum(CASE WHEN x IS NOT NULL THEN value + 1 END) {PRIOR} AS d FROM (SELECT *, {MISSING} AS x FROM events))")
