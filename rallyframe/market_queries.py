@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .operators import analysis as N
 from .operators import ledger as G
 from .operators import prices as P
 from .operators import reports as B
@@ -195,3 +196,39 @@ def policy_statistics(spark, d):
 SELECT band, count(*) AS n, round(avg(won::INT), 6) AS hit_rate, round(avg(pnl), 6) AS roi, round(sum(pnl), 4) AS units, round(avg(edge), 6) AS avg_edge FROM {CLOSE_ROWS} c JOIN b ON edge >= lo AND edge < hi GROUP BY 1""")
 def edge_band_curve(spark, d):
     return B.band_curve(close_rows(spark, d)).withColumns({c: F.round(c, 4 if c == "units" else 6) for c in ("hit_rate", "roi", "units", "avg_edge")})
+
+
+SNAPS = """(SELECT l_orderkey // 8 AS match_uid, ['b0', 'b1', 'b2'][l_suppkey % 3 + 1] AS book, CASE WHEN l_partkey % 2 = 0 THEN 'p' || (l_orderkey // 8) ELSE 'q' || (l_orderkey // 8) END AS player_id, round(1.1 + l_quantity / 10, 4)::DOUBLE AS odds, CASE WHEN l_tax > 0.07 THEN 'LIVE' ELSE 'NOT_STARTED' END AS status,
+l_shipdate + to_seconds(l_partkey * 7919 % 86400) AS at_, l_orderkey * 10 + l_linenumber AS tick_id FROM lineitem)"""
+PREDS = "(SELECT DISTINCT o_orderkey // 8 AS match_uid, 'p' || (o_orderkey // 8) AS p1_id, 'q' || (o_orderkey // 8) AS p2_id, ((o_orderkey // 8) % 19 + 1) / 20.0::DOUBLE AS p1, 1 - ((o_orderkey // 8) % 19 + 1) / 20.0::DOUBLE AS p2 FROM orders)"
+BETS = "(SELECT o_orderkey // 8 AS match_uid, CASE WHEN o_orderkey // 8 % 2 = 0 THEN 'P1' ELSE 'P2' END AS bet_side, round(1.5 + (o_orderkey // 8) % 30 / 10.0, 4)::DOUBLE AS bet_odds, max(o_orderdate) + INTERVAL 30 DAY AS placed_at FROM orders WHERE o_orderkey // 8 % 3 = 0 GROUP BY 1)"
+SIDED = ("best_closing_odds", "worst_closing_odds", "avg_closing_odds", "best_intraday_odds", "worst_intraday_odds", "best_opening_odds")
+ANALYSED = ["pred_side", "pred_prob", "result", "status", *[f"{c}_{s}" for c in SIDED for s in ("p1", "p2")], "pred_odds_open", "model_edge_best_close", "model_edge_avg_close", "model_edge_open", "bet_side", "bet_odds", "bet_edge_open", "clv_vs_best", "clv_vs_worst", "clv_vs_avg", "market_avg_at_bet", "market_range_at_bet", "n_books_at_bet", "bet_vs_market_at_bet", "first_live_at"]
+EXACT = {"pred_side", "result", "status", "bet_side", "n_books_at_bet", "first_live_at"}
+
+
+@query(f"""WITH s AS {SNAPS}, p AS {PREDS}, b AS {BETS}, c AS (SELECT match_uid, player_id, book, min_by(odds, (at_, tick_id)) AS o, max_by(odds, (at_, tick_id)) AS c, min(odds) AS lo, max(odds) AS hi FROM s WHERE status = 'NOT_STARTED' GROUP BY 1, 2, 3),
+x AS (SELECT match_uid, player_id, max(c) AS best_closing_odds, min(c) AS worst_closing_odds, avg(c) AS avg_closing_odds, max(hi) AS best_intraday_odds, min(lo) AS worst_intraday_odds, max(o) AS best_opening_odds FROM c GROUP BY 1, 2),
+w AS (SELECT p.*, CASE WHEN p1 > 0.5 THEN 'P1' ELSE 'P2' END AS pred_side, greatest(p1, p2) AS pred_prob, CASE WHEN p.match_uid % 7 = 0 THEN NULL WHEN p.match_uid % 5 < 3 THEN 'P1' ELSE 'P2' END AS result, {", ".join(f"{s}.{c} AS {c}_{s2}" for c in SIDED for s, s2 in (("u", "p1"), ("v", "p2")))}, bet_side, bet_odds, placed_at
+  FROM p LEFT JOIN x u ON u.match_uid = p.match_uid AND u.player_id = p1_id LEFT JOIN x v ON v.match_uid = p.match_uid AND v.player_id = p2_id LEFT JOIN b ON b.match_uid = p.match_uid),
+k AS (SELECT *, {", ".join(f"CASE bet_side WHEN 'P1' THEN {c}_p1 WHEN 'P2' THEN {c}_p2 END AS bet_{c}, CASE pred_side WHEN 'P1' THEN {c}_p1 ELSE {c}_p2 END AS pred_{c}" for c in SIDED)} FROM w),
+n AS (SELECT match_uid, avg(odds) AS a, max(odds) - min(odds) AS r, count(*) AS n FROM (SELECT s.*, row_number() OVER (PARTITION BY s.match_uid, book ORDER BY abs(epoch_us(at_) - epoch_us(placed_at)), at_, odds) AS rk FROM s JOIN k ON k.match_uid = s.match_uid AND s.player_id = CASE bet_side WHEN 'P1' THEN p1_id ELSE p2_id END
+  WHERE s.status = 'NOT_STARTED' AND abs(epoch_us(at_) - epoch_us(placed_at)) <= 86400000000) WHERE rk = 1 GROUP BY 1),
+z AS (SELECT match_uid, max(at_) FILTER (status = 'NOT_STARTED') AS last FROM s GROUP BY 1), f AS (SELECT s.match_uid, min(at_) AS first_live_at FROM s JOIN z USING (match_uid) WHERE status <> 'NOT_STARTED' AND (last IS NULL OR at_ > last) GROUP BY 1),
+t AS (SELECT k.*, CASE WHEN result IS NULL THEN 'pending' ELSE 'resolved' END AS status, pred_best_opening_odds AS pred_odds_open, pred_prob - 1 / pred_best_closing_odds AS model_edge_best_close, pred_prob - 1 / pred_avg_closing_odds AS model_edge_avg_close, pred_prob - 1 / pred_best_opening_odds AS model_edge_open,
+  CASE bet_side WHEN 'P1' THEN p1 WHEN 'P2' THEN p2 END - 1 / bet_best_opening_odds AS bet_edge_open, (bet_odds - bet_best_closing_odds) / bet_best_closing_odds AS clv_vs_best, (bet_odds - bet_worst_closing_odds) / bet_worst_closing_odds AS clv_vs_worst, (bet_odds - bet_avg_closing_odds) / bet_avg_closing_odds AS clv_vs_avg,
+  a AS market_avg_at_bet, r AS market_range_at_bet, n AS n_books_at_bet, (bet_odds - a) / a AS bet_vs_market_at_bet, first_live_at FROM k LEFT JOIN n ON n.match_uid = k.match_uid LEFT JOIN f ON f.match_uid = k.match_uid)
+SELECT match_uid, {rounded_sql(ANALYSED, set(ANALYSED) - EXACT, 6)} FROM t""")
+def analysis_dataset(spark, d):
+    l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    m, k = F.expr("l_orderkey div 8"), F.expr("o_orderkey div 8")
+    snapshots = l.select(
+        m.alias("match_uid"), F.get(F.array(*[F.lit(b) for b in ("b0", "b1", "b2")]), (F.col("l_suppkey") % 3).cast("int")).alias("book"), F.concat(F.when(F.col("l_partkey") % 2 == 0, "p").otherwise("q"), m.cast("string")).alias("player_id"), F.round(1.1 + F.col("l_quantity") / 10, 4).alias("odds"),
+        F.when(F.col("l_tax") > 0.07, "LIVE").otherwise(P.NOT_STARTED).alias("status"), (F.col("l_shipdate") + F.make_dt_interval(secs=(F.col("l_partkey") * 7919 % 86400).cast("decimal(18,6)"))).alias("at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tick_id"))
+    u = F.col("match_uid")
+    ids = o.select(k.alias("match_uid")).distinct()
+    predictions = ids.select("match_uid", F.concat(F.lit("p"), u.cast("string")).alias("p1_id"), F.concat(F.lit("q"), u.cast("string")).alias("p2_id"), ((u % 19 + 1) / 20).alias("p1_win_prob"), (1 - (u % 19 + 1) / 20).alias("p2_win_prob"))
+    results = ids.select("match_uid", F.when(u % 7 > 0, F.concat(F.when(u % 5 < 3, "p").otherwise("q"), u.cast("string"))).alias("winner_id"))
+    bets = o.groupBy(k.alias("match_uid")).agg(F.max("o_orderdate").alias("_d")).where(u % 3 == 0).select("match_uid", F.when(u % 2 == 0, "P1").otherwise("P2").alias("bet_side"), F.round(1.5 + u % 30 / 10, 4).alias("bet_odds"), (F.col("_d") + F.expr("INTERVAL 30 DAYS")).alias("placed_at"))
+    out = N.analysis_dataset(predictions, results, snapshots, bets, ["b0", "b1", "b2"])
+    return rounded(out, ["match_uid", *ANALYSED], set(ANALYSED) - EXACT, 6)
