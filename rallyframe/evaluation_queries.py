@@ -15,7 +15,7 @@ from .operators import points as T
 from .operators import reports as B
 from .operators import reshape as H
 from .operators import splits as X
-from .queries import SCORED, query, scored
+from .queries import JUDGED, METRICS, SCORED, THREE, query, scored, three_models
 from .sources.tables import table
 
 BANDS_SQL = f"""(SELECT *, y_mean - p_mean AS gap FROM (SELECT {{by}} AS k, least(floor((p - 0.5) / 0.05 + 1e-9), 9)::INT AS band, count(*) AS n, avg(p) AS p_mean, avg(y) AS y_mean FROM {SCORED} s WHERE p >= 0.5 GROUP BY 1, 2))"""
@@ -243,3 +243,31 @@ def segmented_isotonic(spark, d):
     s = scored(spark, d).withColumn("p", F.round("p", 2))
     out = C.apply_isotonic(s, C.fit_isotonic(s, "p", "y", ["o_orderpriority"], least=50), "p", ["o_orderpriority"])
     return out.groupBy(F.col("o_orderpriority").alias("segment"), "p").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("calibrated"), 6).alias("calibrated"))
+
+
+@query(f"""WITH j AS (SELECT *, p - 0.5 AS x FROM {JUDGED} j), e AS (SELECT quantile_cont(x, [0.1, 0.25, 0.75, 0.9]) AS e FROM j)
+SELECT CASE WHEN x <= e[1] THEN '<=p10' WHEN x <= e[2] THEN 'p10-p25' WHEN x < e[3] THEN 'p25-p75' WHEN x < e[4] THEN 'p75-p90' ELSE '>=p90' END AS bucket, {METRICS} FROM j, e GROUP BY 1""")
+def signed_buckets(spark, d):
+    out = B.signed_buckets(scored(spark, d).withColumn("x", F.col("p") - 0.5), "x", "p", "y")
+    return out.select("bucket", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "log_loss", "brier", "signed_calibration", "err80")])
+
+
+@query(f"SELECT bar, count(*) FILTER (p >= bar) AS n, count(*) FILTER (p >= bar AND y = 0) AS errors, round(coalesce(count(*) FILTER (p >= bar AND y = 0) / nullif(count(*) FILTER (p >= bar), 0), 0), 6) AS error_rate FROM {SCORED} s, (SELECT unnest([0.6, 0.7, 0.8, 0.9])::DOUBLE AS bar) GROUP BY 1")
+def error_tiers(spark, d):
+    return B.error_tiers(scored(spark, d), "p", "y").withColumn("error_rate", F.round("error_rate", 6))
+
+
+@query(f"""SELECT CASE WHEN (p >= 0.5) = (q >= 0.5) AND (q >= 0.5) = (r >= 0.5) THEN 'all_agree_' ELSE 'disagree_' END || CASE WHEN ((p + q + r) / 3 >= 0.5) = (y = 1) THEN 'correct' ELSE 'wrong' END AS outcome, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM {THREE} t GROUP BY 1""")
+def ensemble_outcomes(spark, d):
+    return B.ensemble_outcomes(three_models(spark, d), ["p", "q", "r"], "y").withColumn("share", F.round("share", 6))
+
+
+def _lone(m: str, a: str, b: str) -> str:
+    alone = f"({m} >= 0.5) <> ({a} >= 0.5) AND ({a} >= 0.5) = ({b} >= 0.5)"
+    return f"SELECT '{m}' AS model, count(*) FILTER ({alone}) AS n, round(coalesce(avg((({m} >= 0.5) = (y = 1))::INT) FILTER ({alone}), 0), 6) AS dissenter_correct, round(coalesce(avg((({a} >= 0.5) = (y = 1))::INT) FILTER ({alone}), 0), 6) AS majority_correct FROM {THREE} t"
+
+
+@query(" UNION ALL ".join((_lone("p", "q", "r"), _lone("q", "p", "r"), _lone("r", "p", "q"))))
+def lone_dissenters(spark, d):
+    out = B.lone_dissenters(three_models(spark, d), ["p", "q", "r"], "y")
+    return out.select("model", "n", F.round("dissenter_correct", 6).alias("dissenter_correct"), F.round("majority_correct", 6).alias("majority_correct"))

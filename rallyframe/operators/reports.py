@@ -79,6 +79,49 @@ def threshold_conditions(df: DataFrame, columns: list[str], p: str, y: str, leve
     return rows.groupBy("condition").agg(*metric_columns(F.col("_p"), F.col("_y")))
 
 
+def signed_buckets(df: DataFrame, column: str, p: str, y: str) -> DataFrame:
+    """Metrics in five parts of a signed feature, cut at its 10th, 25th, 75th and
+    90th percentile; nulls as 0. The tails hold their ends."""
+    filled = df.select(F.col(p).alias("_p"), F.col(y).alias("_y"), F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias("_x"))
+    rows = filled.join(F.broadcast(quantiles(filled, "_x", [0.1, 0.25, 0.75, 0.9])))
+    x, q = F.col("_x"), [F.col("q")[i] for i in range(4)]
+    bucket = F.when(x <= q[0], "<=p10").when(x <= q[1], "p10-p25").when(x < q[2], "p25-p75").when(x < q[3], "p75-p90").otherwise(">=p90")
+    return rows.groupBy(bucket.alias("bucket")).agg(*metric_columns(F.col("_p"), F.col("_y")))
+
+
+def error_tiers(df: DataFrame, p: str, y: str, bars: tuple[float, ...] = (0.6, 0.7, 0.8, 0.9)) -> DataFrame:
+    """For each bar the rows scored at or above it, the wrong ones among them and
+    their share (0 without any): one aggregation, then a row a bar."""
+    wrong = (F.col(p) >= 0.5).cast("int") != F.col(y)
+    tiers = [F.struct(F.lit(b).alias("bar"), F.count_if(F.col(p) >= b).alias("n"), F.count_if((F.col(p) >= b) & wrong).alias("errors")) for b in bars]
+    out = df.agg(F.array(*tiers).alias("_t")).select(F.explode("_t").alias("_t")).select("_t.*")
+    return out.withColumn("error_rate", F.coalesce(F.try_divide("errors", "n"), F.lit(0.0)))
+
+
+def ensemble_outcomes(df: DataFrame, models: list[str], y: str) -> DataFrame:
+    """Rows by whether all models agree and whether their mean is right, with shares."""
+    votes = sum(((F.col(m) >= 0.5).cast("int") for m in models), F.lit(0))
+    mean = sum((F.col(m) for m in models), F.lit(0.0)) / len(models)
+    right = (mean >= 0.5).cast("int") == F.col(y)
+    kind = F.concat(F.when(votes.isin(0, len(models)), "all_agree_").otherwise("disagree_"), F.when(right, "correct").otherwise("wrong"))
+    counts = df.groupBy(kind.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+
+
+def lone_dissenters(df: DataFrame, models: list[str], y: str) -> DataFrame:
+    """For each model the rows where it alone differs from the majority, and how
+    often it and the majority are right there (0 without any)."""
+    sides = [(F.col(m) >= 0.5).cast("int") for m in models]
+    votes = sum(sides, F.lit(0))
+    majority = (votes / len(models) >= 0.5).cast("int")
+    parts = []
+    for m, side in zip(models, sides, strict=True):
+        alone = (side != majority) & (votes - side == majority * (len(models) - 1))
+        rate = lambda pick, alone=alone: F.coalesce(F.avg(F.when(alone, (pick == F.col(y)).cast("int"))), F.lit(0.0))
+        parts.append(F.struct(F.lit(m).alias("model"), F.count_if(alone).alias("n"), rate(side).alias("dissenter_correct"), rate(majority).alias("majority_correct")))
+    return df.agg(F.array(*parts).alias("_p")).select(F.explode("_p").alias("_p")).select("_p.*")
+
+
 def regression_metrics(df: DataFrame, predicted: Column, actual: Column) -> DataFrame:
     e = predicted - actual
     return df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), (1 - F.try_divide(F.sum(e * e), F.var_pop(actual) * F.count(actual))).alias("r2"))
