@@ -180,6 +180,8 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of all ``documents``; nulls, empty texts, null ids and
+    repeated rows as in ``near_duplicates``."""
     return near_duplicates(documents(spark, sf_dir), percent=85)
 
 

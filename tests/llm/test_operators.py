@@ -604,6 +604,41 @@ def test_op10_null_ids_take_part(spark):
     assert sorted(r.text for r in neardup.drop_near_duplicates(df, percent=85).collect()) == sorted(rows[i][1] for i in (0, 2, 5, 6))
 
 
+def test_op10_many_rows_without_ids(spark):
+    """Rows without an id link by their texts, however many there are."""
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base[:i % 5] + ["x"] + base[i % 5 + 1 :]) for i in range(300)] + [" ".join(f"v{i}x{j}" for j in range(40)) for i in range(50)]
+    rows = [(None, t) for t in texts] + [(9, " ".join(base)), (4, "w1 " + " ".join(base))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
+    assert sum(r.component_id == 4 for r in got) == 302 and sum(r.component_id is None and r.kept for r in got) == 50
+    assert sum(r.kept for r in got) == 51
+
+
+def test_op7_ties_go_to_the_first_name():
+    filters = langid.LanguageFilters(["x", "y"], [1, 2])
+    hashes = langid.grams(["shared words only"])
+    for lang in (0, 1):
+        filters.enter(lang, hashes)
+    filters.finish()
+    assert filters.decide(["shared words only", "ЖЖЖ ЩЩЩ"]) == [("x", pytest.approx(0.5)), ("y", 0.0)]
+
+
+def test_op7_long_texts_and_many_languages(monkeypatch):
+    """Blocks and strides change no share, and more than 64 languages fit."""
+    langs = [f"l{i:02d}" for i in range(70)]
+    filters = langid.LanguageFilters(langs, [1] * 70, 4000)
+    text = {i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j % 26)}{j}" for j in range(60)) for i in range(70)}
+    for i in range(70):
+        filters.enter(i, langid.grams([text[i]]))
+    filters.finish()
+    texts = [text[3], text[69] * 5, "", "123", "é" * 50, text[0] + " " + text[1]]
+    whole = filters.shares(texts)
+    assert [langs[int(np.argmax(r))] for r in whole[:2]] == ["l03", "l69"] and not whole[3].any()
+    monkeypatch.setattr(langid, "BLOCK", 90)
+    monkeypatch.setattr(langid, "STRIDE", 17)
+    assert np.allclose(filters.shares(texts), whole) and np.allclose(np.vstack([filters.shares([t]) for t in texts]), whole)
+
+
 def test_sketches_estimate_similarity():
     a = [b" ".join(b"t%d" % i for i in range(400))]
     b = [b" ".join(b"t%d" % i for i in range(100, 500))]
