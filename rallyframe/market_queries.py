@@ -207,7 +207,7 @@ ANALYSED = ["pred_side", "pred_prob", "result", "status", *[f"{c}_{s}" for c in
 EXACT = {"pred_side", "result", "status", "bet_side", "n_books_at_bet", "first_live_at"}
 
 
-@query(f"""WITH s AS {SNAPS}, p AS {PREDS}, b AS {BETS}, c AS (SELECT match_uid, player_id, book, min_by(odds, (at_, tick_id)) AS o, max_by(odds, (at_, tick_id)) AS c, min(odds) AS lo, max(odds) AS hi FROM s WHERE status = 'NOT_STARTED' GROUP BY 1, 2, 3),
+ANALYSIS_SQL = f"""WITH s AS {SNAPS}, p AS {PREDS}, b AS {BETS}, c AS (SELECT match_uid, player_id, book, min_by(odds, (at_, tick_id)) AS o, max_by(odds, (at_, tick_id)) AS c, min(odds) AS lo, max(odds) AS hi FROM s WHERE status = 'NOT_STARTED' GROUP BY 1, 2, 3),
 x AS (SELECT match_uid, player_id, max(c) AS best_closing_odds, min(c) AS worst_closing_odds, avg(c) AS avg_closing_odds, max(hi) AS best_intraday_odds, min(lo) AS worst_intraday_odds, max(o) AS best_opening_odds FROM c GROUP BY 1, 2),
 w AS (SELECT p.*, CASE WHEN p1 > 0.5 THEN 'P1' ELSE 'P2' END AS pred_side, greatest(p1, p2) AS pred_prob, CASE WHEN p.match_uid % 7 = 0 THEN NULL WHEN p.match_uid % 5 < 3 THEN 'P1' ELSE 'P2' END AS result, {", ".join(f"{s}.{c} AS {c}_{s2}" for c in SIDED for s, s2 in (("u", "p1"), ("v", "p2")))}, bet_side, bet_odds, placed_at
   FROM p LEFT JOIN x u ON u.match_uid = p.match_uid AND u.player_id = p1_id LEFT JOIN x v ON v.match_uid = p.match_uid AND v.player_id = p2_id LEFT JOIN b ON b.match_uid = p.match_uid),
@@ -218,7 +218,10 @@ z AS (SELECT match_uid, max(at_) FILTER (status = 'NOT_STARTED') AS last FROM s
 t AS (SELECT k.*, CASE WHEN result IS NULL THEN 'pending' ELSE 'resolved' END AS status, pred_best_opening_odds AS pred_odds_open, pred_prob - 1 / pred_best_closing_odds AS model_edge_best_close, pred_prob - 1 / pred_avg_closing_odds AS model_edge_avg_close, pred_prob - 1 / pred_best_opening_odds AS model_edge_open,
   CASE bet_side WHEN 'P1' THEN p1 WHEN 'P2' THEN p2 END - 1 / bet_best_opening_odds AS bet_edge_open, (bet_odds - bet_best_closing_odds) / bet_best_closing_odds AS clv_vs_best, (bet_odds - bet_worst_closing_odds) / bet_worst_closing_odds AS clv_vs_worst, (bet_odds - bet_avg_closing_odds) / bet_avg_closing_odds AS clv_vs_avg,
   a AS market_avg_at_bet, r AS market_range_at_bet, n AS n_books_at_bet, (bet_odds - a) / a AS bet_vs_market_at_bet, first_live_at FROM k LEFT JOIN n ON n.match_uid = k.match_uid LEFT JOIN f ON f.match_uid = k.match_uid)
-SELECT match_uid, {rounded_sql(ANALYSED, set(ANALYSED) - EXACT, 6)} FROM t""")
+SELECT match_uid, {rounded_sql(ANALYSED, set(ANALYSED) - EXACT, 6)} FROM t"""
+
+
+@query(ANALYSIS_SQL)
 def analysis_dataset(spark, d):
     l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     m, k = F.expr("l_orderkey div 8"), F.expr("o_orderkey div 8")
@@ -230,5 +233,21 @@ def analysis_dataset(spark, d):
     predictions = ids.select("match_uid", F.concat(F.lit("p"), u.cast("string")).alias("p1_id"), F.concat(F.lit("q"), u.cast("string")).alias("p2_id"), ((u % 19 + 1) / 20).alias("p1_win_prob"), (1 - (u % 19 + 1) / 20).alias("p2_win_prob"))
     results = ids.select("match_uid", F.when(u % 7 > 0, F.concat(F.when(u % 5 < 3, "p").otherwise("q"), u.cast("string"))).alias("winner_id"))
     bets = o.groupBy(k.alias("match_uid")).agg(F.max("o_orderdate").alias("_d")).where(u % 3 == 0).select("match_uid", F.when(u % 2 == 0, "P1").otherwise("P2").alias("bet_side"), F.round(1.5 + u % 30 / 10, 4).alias("bet_odds"), (F.col("_d") + F.expr("INTERVAL 30 DAYS")).alias("placed_at"))
-    out = N.analysis_dataset(predictions, results, snapshots, bets, ["b0", "b1", "b2"])
-    return rounded(out, ["match_uid", *ANALYSED], set(ANALYSED) - EXACT, 6)
+    return rounded(N.analysis_dataset(predictions, results, snapshots, bets, ["b0", "b1", "b2"]), ["match_uid", *ANALYSED], set(ANALYSED) - EXACT, 6)
+
+
+def _in_band(name: str, low, high) -> str:
+    if name.startswith("neg"):
+        return f"e <= {high}" + (f" AND e > {low}" if low is not None else "")
+    return (f"e > {low}" if low == 0 else f"e >= {low}") + (f" AND e < {high}" if high is not None else "")
+
+
+@query(f"""WITH a AS ({ANALYSIS_SQL}), r AS (SELECT *, pred_side = result AS won, CASE pred_side WHEN 'P1' THEN best_closing_odds_p1 ELSE best_closing_odds_p2 END AS close_odds, CASE pred_side WHEN 'P1' THEN best_intraday_odds_p1 ELSE best_intraday_odds_p2 END AS intra, match_uid % 3 AS circuit FROM a WHERE status = 'resolved'),
+b AS (SELECT won, pred_side, circuit, '_open' AS suffix, pred_odds_open AS odds, model_edge_open AS e FROM r UNION ALL SELECT won, pred_side, circuit, '', close_odds, model_edge_best_close FROM r),
+s AS ({" UNION ALL ".join(f"SELECT '{n}' || suffix AS scenario, won, pred_side, circuit, odds FROM b WHERE {_in_band(n, lo, hi)}" for n, lo, hi in N.BANDS)} UNION ALL SELECT 'flat_best_close', won, pred_side, circuit, close_odds FROM r UNION ALL SELECT 'flat_best_intraday', won, pred_side, circuit, intra FROM r UNION ALL SELECT 'sure', won, pred_side, circuit, close_odds FROM r WHERE pred_prob >= 0.8),
+g AS (SELECT scenario, won, odds, unnest(['overall', 'pred_side', 'circuit']) AS segment, unnest(['all', pred_side, circuit::VARCHAR]) AS value FROM s WHERE odds IS NOT NULL)
+SELECT scenario, segment, value, count(*) AS n_bets, count(*) FILTER (won) AS n_wins, round(coalesce(sum(odds) FILTER (won), 0), 4) AS total_returned, round((coalesce(sum(odds) FILTER (won), 0) - count(*)) / count(*), 5) AS roi FROM g GROUP BY 1, 2, 3""")
+def scenario_grid(spark, d):
+    rows = analysis_dataset(spark, d).where("status = 'resolved'").withColumns({"model_correct": F.col("pred_side") == F.col("result"), "circuit": F.col("match_uid") % 3, "close_odds": N._pick(F.col("pred_side"), "best_closing_odds"), "intra": N._pick(F.col("pred_side"), "best_intraday_odds")})
+    out = N.scenario_grid(rows, {"open": ("pred_odds_open", "model_edge_open"), "": ("close_odds", "model_edge_best_close")}, {"flat_best_close": "close_odds", "flat_best_intraday": "intra"}, {"sure": (F.col("pred_prob") >= 0.8, "close_odds")}, ["pred_side", "circuit"])
+    return out.select("scenario", "segment", "value", "n_bets", "n_wins", F.round("total_returned", 4).alias("total_returned"), F.round("roi", 5).alias("roi"))

@@ -75,3 +75,42 @@ def analysis_dataset(predictions: DataFrame, results: DataFrame, snapshots: Data
     out = out.withColumns({f"clv_vs_{n}": against(f"{n}_closing_odds") for n in ("best", "worst", "avg")})
     out = out.join(market_at_bets(placed, snapshots, books), "match_uid", "left").withColumn("bet_vs_market_at_bet", F.when(F.col("market_avg_at_bet") > 0, (F.col("bet_odds") - F.col("market_avg_at_bet")) / F.col("market_avg_at_bet")))
     return out.join(first_live(snapshots, "match_uid", "at", "status").withColumnRenamed("anchor_at", "first_live_at"), "match_uid", "left")
+
+
+# Bands of edge, a point wide and open beyond ten; from above 0 the
+# low end is included, from 0 down the high end.
+BANDS = (*[(f"edge_{k}pct", k / 100, (k + 1) / 100 if k < 10 else None) for k in range(10, -1, -1)], *[(f"neg_{k}pct", -(k + 1) / 100 if k < 10 else None, -k / 100) for k in range(11)])
+
+
+def edge_bands(edge: Column) -> Column:
+    """The names of the bands that an edge lies in: one, or none for a null."""
+    def inside(name: str, low: float | None, high: float | None) -> Column:
+        if name.startswith("neg"):
+            return (edge <= high) & (edge > low) if low is not None else edge <= high
+        above = edge > low if low == 0 else edge >= low
+        return above & (edge < high) if high is not None else above
+    return F.filter(F.array(*[F.when(inside(*b), F.lit(b[0])) for b in BANDS]), lambda x: x.isNotNull())
+
+
+def scenario_grid(rows: DataFrame, bases: dict[str, tuple[str, str]], flats: dict[str, str], chosen: dict[str, tuple[Column, str]], segments: list[str], won: str = "model_correct") -> DataFrame:
+    """Flat stakes of one unit in every scenario and segment: one pass.
+
+    ``bases`` gives each basis its price and edge: a bet lies in the scenario of
+    its edge's band there. ``flats`` are scenarios of all rows at a price,
+    ``chosen`` of those that meet a condition. A row is spread over its scenarios
+    and segments and summed before the shuffle; rows without a price in a
+    scenario are left out there, as are null segment values. Unsettled rows don't
+    belong in ``rows``.
+    """
+    def banded(name: str, odds: str, edge: str) -> Column:
+        suffix = F.lit(f"_{name}" if name else "")
+        return F.transform(edge_bands(F.col(edge)), lambda b: F.struct(F.concat(b, suffix).alias("scenario"), F.col(odds).alias("odds")))
+
+    each = [banded(name, *columns) for name, columns in bases.items()]
+    each.append(F.array(*[F.struct(F.lit(n).alias("scenario"), F.col(o).alias("odds")) for n, o in flats.items()]))
+    each += [F.when(c, F.array(F.struct(F.lit(n).alias("scenario"), F.col(o).alias("odds")))).otherwise(F.array().cast("array<struct<scenario:string,odds:double>>")) for n, (c, o) in chosen.items()]
+    scenarios = F.filter(F.flatten(F.array(*each)), lambda s: s["odds"].isNotNull())
+    places = F.filter(F.array(F.struct(F.lit("overall").alias("segment"), F.lit("all").alias("value")), *[F.struct(F.lit(s).alias("segment"), F.col(s).cast("string").alias("value")) for s in segments]), lambda x: x["value"].isNotNull())
+    spread = rows.select(F.col(won).alias("_won"), places.alias("_p"), F.explode(scenarios).alias("_s")).select("_won", "_s.*", F.explode("_p").alias("_p")).select("_won", "scenario", "odds", "_p.*")
+    out = spread.groupBy("scenario", "segment", "value").agg(F.count(F.lit(1)).alias("n_bets"), F.count_if("_won").alias("n_wins"), F.coalesce(F.sum(F.when(F.col("_won"), F.col("odds"))), F.lit(0.0)).alias("total_returned"))
+    return out.withColumns({"accuracy": F.col("n_wins") / F.col("n_bets"), "net_pnl": F.col("total_returned") - F.col("n_bets"), "roi": (F.col("total_returned") - F.col("n_bets")) / F.col("n_bets")})
