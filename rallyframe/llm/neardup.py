@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import documents, made_schema, packed, row_key, settle, shipped, unpacked
+from .common import documents, made_schema, packed, row_key, settle, shipped, side, unpacked
 from .components import components
 
 shipped(sketch)
@@ -17,8 +17,9 @@ shipped(sketch)
 WIDTH = 5
 #: Coordinates in a band, and how rarely a pair at the threshold may share none.
 ROWS, MISS = 5, 5e-7
-#: Id tables up to so many rows are broadcast, larger ones shuffled.
-BROADCAST_ROWS = 200_000
+#: Id tables up to so many rows, of fixed width, are broadcast, larger ones
+#: shuffled; up to so many whole sets are written apart and broadcast if small.
+BROADCAST_ROWS, SMALL_SETS = 200_000, 5_000
 
 
 def bands_for(percent: int, rows: int = ROWS) -> int:
@@ -39,11 +40,15 @@ def _few(ids: DataFrame) -> bool:
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, both, n_a, n_b): items that the two full sets of each pair share,
     and their sizes. Sets of no pair are left out before the shuffle while the
-    ids are few."""
+    ids are few. Where all sets of the pairs are few and small they are broadcast,
+    so that many pairs among them ship no set; else each pair's go to its task."""
     pairs = settle(pairs)
-    ids = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    if _few(ids):
+    ids = settle(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct())
+    n = ids.count()
+    if n <= BROADCAST_ROWS:
         sets = sets.join(F.broadcast(ids), "c", "left_semi")
+    if n <= SMALL_SETS:
+        sets = side(settle(sets))
     left = pairs.join(sets.select(F.col("c").alias("b"), F.col("items").alias("items_b")), "b")
     met = left.join(sets.select(F.col("c").alias("a"), F.col("items").alias("items_a")), "a")
     size = lambda c: F.size(c).cast("long")
