@@ -1,7 +1,8 @@
 """Folds in time: by rows or by months, with growing or sliding training parts.
 
 Every splitter returns the rows of each fold with ``fold`` and ``part`` (train or
-test). Folds are a short list, and a row is spread over those that it lies in.
+test). Folds by months are a short list; those by rows are evenly spaced, so that
+the run of folds a row lies in follows from its place, however many there are.
 """
 
 from __future__ import annotations
@@ -33,9 +34,27 @@ def spread(df: DataFrame, at: Column, folds: list[tuple]) -> DataFrame:
     return df.withColumn("_s", F.explode(met)).withColumns({"fold": F.col("_s.fold"), "part": F.col("_s.part")}).drop("_s")
 
 
-def expanding_rows(n: int, *, n_splits: int | None = None, min_train_size: int | None = None, test_size: int | None = None, initial_train_size: int | None = None, step_size: int | None = None) -> list[tuple]:
+def spread_even(df: DataFrame, at: Column, number: int, first: tuple, step: tuple) -> DataFrame:
+    """``spread`` for ``number`` folds whose bounds grow by ``step`` from ``first``
+    on: a row's folds are a run of numbers, and no list of all folds is held."""
+    def met(bound: int, by: int, bare: Column) -> Column:
+        """The last fold whose bound isn't above ``at``; ``bare`` where all have the same."""
+        x = at - F.lit(bound)
+        return ((x - F.pmod(x, F.lit(by))) / F.lit(by)).cast("long") if by else bare
+
+    runs = []
+    for part, a, b, by_a, by_b in (("train", *first[:2], *step[:2]), ("test", *first[2:], *step[2:])):
+        low = met(b, by_b, F.when(at < b, -1).otherwise(number)) + 1
+        high = met(a, by_a, F.when(at >= a, number - 1).otherwise(-1))
+        runs.append(F.struct(F.lit(part).alias("part"), F.greatest(low, F.lit(0)).cast("long").alias("low"), F.least(high, F.lit(number - 1)).cast("long").alias("high")))
+    some = F.filter(F.array(*runs), lambda r: r["low"] <= r["high"])
+    return df.withColumn("_s", F.explode(some)).withColumn("fold", F.explode(F.sequence("_s.low", "_s.high"))).withColumns({"fold": F.col("fold").cast("int"), "part": F.col("_s.part")}).drop("_s")
+
+
+def even_expanding(n: int, *, n_splits: int | None = None, min_train_size: int | None = None, test_size: int | None = None, initial_train_size: int | None = None, step_size: int | None = None) -> tuple[int, tuple, tuple]:
     """Folds over ``n`` rows whose training part starts at the first row: either
-    ``n_splits`` evenly spaced ones, or as many steps as fit."""
+    ``n_splits`` evenly spaced ones, or as many steps as fit. Returns their number,
+    the first one's bounds and what each bound grows by."""
     if (n_splits is None) == (step_size is None):
         raise ValueError("give either n_splits or step_size")
     if n_splits is not None:
@@ -45,16 +64,31 @@ def expanding_rows(n: int, *, n_splits: int | None = None, min_train_size: int |
         if spare < 0:
             raise ValueError(f"{n} rows are fewer than {min_train_size + test_size}")
         step = 0 if n_splits == 1 else spare // n_splits
-        ends = [min_train_size + i * step for i in range(n_splits)]
-        return [(0, e, e, e + test_size) for e in ends if e + test_size <= n]
+        return n_splits, (0, min_train_size, min_train_size, min_train_size + test_size), (0, step, step, step)
     if initial_train_size is None:
         raise ValueError("step_size needs initial_train_size")
-    return [(0, e, e, e + step_size) for e in range(initial_train_size, n - step_size + 1, step_size)]
+    e = initial_train_size
+    return len(range(e, n - step_size + 1, step_size)), (0, e, e, e + step_size), (0, step_size, step_size, step_size)
+
+
+def even_sliding(n: int, train_size: int, test_size: int, step_size: int | None = None) -> tuple[int, tuple, tuple]:
+    """Folds over ``n`` rows with a training part of fixed size, as above."""
+    step = step_size or test_size
+    return len(range(0, n - train_size - test_size + 1, step)), (0, train_size, train_size, train_size + test_size), (step,) * 4
+
+
+def listed(number: int, first: tuple, step: tuple) -> list[tuple]:
+    return [tuple(a + i * by for a, by in zip(first, step, strict=True)) for i in range(number)]
+
+
+def expanding_rows(n: int, **sizes) -> list[tuple]:
+    """Folds over ``n`` rows whose training part starts at the first row."""
+    return listed(*even_expanding(n, **sizes))
 
 
 def sliding_rows(n: int, train_size: int, test_size: int, step_size: int | None = None) -> list[tuple]:
     """Folds over ``n`` rows with a training part of fixed size."""
-    return [(s, s + train_size, s + train_size, s + train_size + test_size) for s in range(0, n - train_size - test_size + 1, step_size or test_size)]
+    return listed(*even_sliding(n, train_size, test_size, step_size))
 
 
 def month_folds(first: date, last: date, train_months: int, test_months: int, sliding: bool) -> list[tuple]:
@@ -79,9 +113,8 @@ def split(df: DataFrame, kind: str, time: str = "effective_match_date", tie: lis
     aggregation.
     """
     if kind in ("walk_forward", "expanding_window", "sliding_window"):
-        n = df.count()
-        folds = sliding_rows(n, **sizes) if kind == "sliding_window" else expanding_rows(n, **sizes)
-        return spread(positions(df, time, tie or []), F.col("_at"), folds).drop("_at")
+        folds = even_sliding if kind == "sliding_window" else even_expanding
+        return spread_even(positions(df, time, tie or []), F.col("_at"), *folds(df.count(), **sizes)).drop("_at")
     at = F.to_date(time)
     if kind == "date_window":
         cut = sizes["test_start"]

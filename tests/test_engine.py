@@ -336,6 +336,18 @@ def test_split_bounds(spark):
         splits.split(df, "date_window", test_start=date(2020, 1, 1))
 
 
+def test_many_row_folds_stay_out_of_the_plan(spark):
+    """A plan is no longer for many folds, and evenly spaced ones are those listed."""
+    df = spark.range(60).select(F.col("id").alias("i"), F.lit(date(2024, 1, 1)).alias("effective_match_date"))
+    for kind, listed, sizes in (("sliding_window", splits.sliding_rows, {"train_size": 7, "test_size": 3, "step_size": 2}), ("sliding_window", splits.sliding_rows, {"train_size": 2, "test_size": 2, "step_size": 9}), ("expanding_window", splits.expanding_rows, {"initial_train_size": 5, "step_size": 4}),
+                                ("walk_forward", splits.expanding_rows, {"n_splits": 3, "min_train_size": 5, "test_size": 50}), ("walk_forward", splits.expanding_rows, {"n_splits": 1, "min_train_size": 5, "test_size": 9}), ("sliding_window", splits.sliding_rows, {"train_size": 50, "test_size": 11})):
+        want = {(f, part, i) for f, (a0, b0, a1, b1) in enumerate(listed(60, **sizes)) for part, a, b in (("train", a0, b0), ("test", a1, b1)) for i in range(a, b)}
+        got = [(r.fold, r.part, r.i) for r in splits.split(df, kind, tie=["i"], **sizes).collect()]
+        assert len(got) == len(want) and set(got) == want
+    wide = splits.split(spark.range(200_000).select(F.col("id").alias("i"), F.lit(date(2024, 1, 1)).alias("effective_match_date")), "sliding_window", tie=["i"], train_size=3, test_size=1, step_size=2)
+    assert len(wide._jdf.queryExecution().optimizedPlan().toString()) < 20_000 and wide.count() == 4 * 99_999
+
+
 def test_instances_count_once_ended(spark):
     """An instance that runs on, or lies among others, is not known early."""
     rows = [(1, 1, "a", 10.0), (2, 2, "b", 1.0), (3, 3, "a", 20.0), (4, 4, "b", 2.0), (5, 5, "c", 5.0), (6, 6, "c", 7.0)]
