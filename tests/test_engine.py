@@ -437,6 +437,39 @@ def test_event_mapping_stages(spark):
     assert {r.event: (r.match, r.outcome) for r in got} == {"e1": ("m1", "mapped"), "e2": ("m1", "mapped"), "e3": (None, "unresolved"), "e4": (None, "no_match"), "e5": (None, "tournament_rejected"), "e6": (None, "too_far"), "e7": (None, "ambiguous")}
 
 
+def test_event_mapping_meets_all_candidates(spark):
+    """As by meeting each candidate, with repeated events, unknown days, years and names."""
+    rng = random.Random(8)
+    one = lambda *xs: rng.choice(xs)
+    day_of = lambda: one(None, *[date(y, 1, 1) + timedelta(rng.randrange(0, 40, 2)) for y in (2023, 2024, 2025)] * 5)
+    name = lambda: one(None, "", "porto", "porto open", "rome", "rome open")
+    events = [(rng.randrange(500), one(1, 2, 3, None), one(2, 3, 4), x and datetime(x.year, x.month, x.day, 23), name()) for x in (day_of() for _ in range(700))]
+    matches = [(one(None, i, i, i), one(1, 2, 3), one(2, 3), x, one(x.year, x.year, None) if x else 2024, name()) for i, x in ((i, day_of()) for i in range(40))]
+    agree = lambda a, b: not set((a or "").split()) or not set((b or "").split()) or set(a.split()) <= set(b.split()) or set(b.split()) <= set(a.split())
+    want = {}
+    for event in {e[0] for e in events}:
+        rows = [e for e in events if e[0] == event]
+        met = [(e, m) for e in rows for m in matches if m[0] is not None and None not in e[1:3] and sorted(e[1:3]) == sorted(m[1:3])]
+        same = [(e, m) for e, m in met if e[3] and m[4] == e[3].year]
+        fits = [(abs((e[3].date() - m[3]).days) if e[3] and m[3] else None, m[0]) for e, m in same or met if agree(e[4], m[5])]
+        gap = min([g for g, _ in fits if g is not None], default=None)
+        best = {m for g, m in fits if g == gap}
+        outcome = "unresolved" if any(None in e[1:3] for e in rows) else "no_match" if not met else "tournament_rejected" if not fits else "ambiguous" if len(best) > 1 else "too_far" if gap is not None and gap > 6 else "mapped"
+        want[event] = (min(best) if outcome == "mapped" else None, outcome)
+    got = joins.map_events(spark.createDataFrame(events, "event int, a int, b int, at timestamp_ntz, tournament string"), spark.createDataFrame(matches, "match int, a int, b int, date date, year int, tournament string"), 6).collect()
+    assert {r.event: (r.match, r.outcome) for r in got} == want and {o for _, o in want.values()} == {"unresolved", "no_match", "tournament_rejected", "ambiguous", "too_far", "mapped"}
+
+
+def test_event_mapping_of_one_busy_pair(spark):
+    """600 million candidates of one pair are not met one by one."""
+    from time import monotonic
+
+    e = spark.range(30_000).select(F.col("id").alias("event"), F.lit(1).alias("a"), F.lit(2).alias("b"), F.date_add(F.lit(date(2024, 1, 1)), (F.col("id") % 200).cast("int")).cast("timestamp_ntz").alias("at"), F.lit("porto").alias("tournament"))
+    m = spark.range(20_000).select(F.col("id").alias("match"), F.lit(2).alias("a"), F.lit(1).alias("b"), F.date_add(F.lit(date(2024, 1, 1)), (F.col("id") % 100 * 2).cast("int")).alias("date"), F.lit(2024).alias("year"), F.lit("porto open").alias("tournament"))
+    began = monotonic()
+    assert {(r.outcome, r["count"]) for r in joins.map_events(e, m, 10).groupBy("outcome").count().collect()} == {("ambiguous", 30_000)} and monotonic() - began < 60
+
+
 def test_calibrators_fall_back(spark):
     rng = random.Random(6)
     rows = [(s, p, int(rng.random() < p**2)) for s in "ab" for p in [rng.uniform(0.02, 0.98) for _ in range(400)]] + [("c", 0.5, 1), ("one", 0.4, 1)] * 3
