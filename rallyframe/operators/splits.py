@@ -8,21 +8,26 @@ the run of folds a row lies in follows from its place, however many there are.
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def positions(df: DataFrame, time: str, tie: list[str]) -> DataFrame:
-    """``df`` with _at, its place from 0 in the order of time and ``tie``. Rows are
-    numbered within their date; only a row a date goes through the window
-    without keys."""
-    day = F.to_date(time)
-    per = df.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
-    before = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    dated = df.withColumn("_day", day).alias("d").join(before.alias("b"), F.col("d._day").eqNullSafe(F.col("b._day"))).select("d.*", "_before")
-    within = F.row_number().over(Window.partitionBy("_day").orderBy(time, *tie))
-    return dated.withColumn("_at", F.col("_before") + within - 1).drop("_day", "_before")
+def positions(df: DataFrame, time: str, tie: list[str], sums: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with _at, its place from 0 in the order of time and ``tie``, and _to_x,
+    the total of each of ``sums`` up to and with the row. Rows are numbered within
+    their date; only a row a date goes through the window without keys."""
+    day, totals = F.to_date(time), {f"_to_{k}": c for k, c in (sums or {}).items()}
+    per = df.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(k) for k, c in totals.items()])
+    earlier = Window.orderBy(F.col("_day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), *[F.sum(k).over(earlier).alias(f"_before{k}") for k in totals])
+    dated = df.withColumn("_day", day).alias("d").join(before.alias("b"), F.col("d._day").eqNullSafe(F.col("b._day"))).select("d.*", "_before", *[f"_before{k}" for k in totals])
+    within = Window.partitionBy("_day").orderBy(time, *tie)
+    nil = F.lit(0)
+    placed = {"_at": F.col("_before") + F.row_number().over(within) - 1} | {k: F.coalesce(f"_before{k}", nil) + F.coalesce(F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, 0)), nil) for k, c in totals.items()}
+    return dated.withColumns(placed).drop("_day", "_before", *[f"_before{k}" for k in totals])
 
 
 def spread(df: DataFrame, at: Column, folds: list[tuple]) -> DataFrame:
@@ -103,6 +108,28 @@ def month_folds(first: date, last: date, train_months: int, test_months: int, sl
     return [(month(s - train_months if sliding else low), month(s), month(s), month(s + test_months)) for s in starts]
 
 
+def row_folds(df: DataFrame, kind: str, sizes: dict) -> tuple[int, tuple, tuple]:
+    return (even_sliding if kind == "sliding_window" else even_expanding)(df.count(), **sizes)
+
+
+def split_totals(df: DataFrame, kind: str, sums: dict[str, Column], time: str = "effective_match_date", tie: list[str] | None = None, **sizes) -> DataFrame:
+    """(fold, part, n and the total of each of ``sums``) of the rows that ``split``
+    gives for a kind by rows. Growing training parts hold a row as often as there
+    are folds after it; here a part's total is the difference of running totals
+    at its bounds, exact for whole numbers and decimals."""
+    number, first, step = row_folds(df, kind, sizes)
+    known = {f"_n_{k}": F.when(c.isNotNull(), 1) for k, c in sums.items()}
+    rows = positions(df, time, tie or [], sums | known).withColumn("_end", F.col("_at") + 1)
+    is_bound = [F.pmod(F.col("_end") - a, F.lit(by)) == 0 if by else F.col("_end") == a for a, by in set(zip(first, step, strict=True))]
+    ends = rows.where(reduce(or_, is_bound)).select("_end", *[f"_to_{k}" for k in sums | known])
+    bounds = F.array(*[F.struct(F.lit(part).alias("part"), F.lit(sign).alias("sign"), (F.lit(a) + F.col("fold") * F.lit(by)).cast("long").alias("end")) for part, sign, a, by in zip(("train", "train", "test", "test"), (-1, 1, -1, 1), first, step, strict=True)])
+    cuts = df.sparkSession.range(number).withColumnRenamed("id", "fold").select(F.col("fold").cast("int").alias("fold"), F.explode(bounds).alias("_b")).select("fold", "_b.part", F.col("_b.sign").alias("_sign"), F.col("_b.end").alias("_end"))
+    # No row ends at 0, where all totals are 0.
+    met = cuts.join(ends, "_end", "left")
+    out = met.groupBy("fold", "part").agg(F.sum(F.col("_sign") * F.col("_end")).alias("n"), *[F.sum(F.col("_sign") * F.coalesce(f"_to_{k}", F.lit(0))).alias(f"_to_{k}") for k in sums | known])
+    return out.where("n > 0").select("fold", "part", "n", *[F.when(F.col(f"_to__n_{k}") > 0, F.col(f"_to_{k}")).alias(k) for k in sums])
+
+
 def split(df: DataFrame, kind: str, time: str = "effective_match_date", tie: list[str] | None = None, **sizes) -> DataFrame:
     """Rows of every fold with fold and part. ``kind``: walk_forward or
     expanding_window (by rows, growing), sliding_window (by rows), date_sliding,
@@ -113,8 +140,7 @@ def split(df: DataFrame, kind: str, time: str = "effective_match_date", tie: lis
     aggregation.
     """
     if kind in ("walk_forward", "expanding_window", "sliding_window"):
-        folds = even_sliding if kind == "sliding_window" else even_expanding
-        return spread_even(positions(df, time, tie or []), F.col("_at"), *folds(df.count(), **sizes)).drop("_at")
+        return spread_even(positions(df, time, tie or []), F.col("_at"), *row_folds(df, kind, sizes)).drop("_at")
     at = F.to_date(time)
     if kind == "date_window":
         cut = sizes["test_start"]

@@ -348,6 +348,19 @@ def test_many_row_folds_stay_out_of_the_plan(spark):
     assert len(wide._jdf.queryExecution().optimizedPlan().toString()) < 20_000 and wide.count() == 4 * 99_999
 
 
+def test_totals_of_folds_make_no_rows_of_folds(spark):
+    """Totals are those of the folds' rows; many growing folds stay cheap."""
+    x = F.when(F.col("id") % 3 > 0, 10 - F.col("id"))
+    df = spark.range(60).select(F.col("id").alias("i"), x.alias("x"), F.when(F.col("id") > 40, F.col("id")).alias("late"), F.when(F.col("id") > 5, F.date_add(F.lit(date(2024, 1, 1)), (F.col("id") / 7).cast("int"))).alias("effective_match_date"))
+    for kind, sizes in (("expanding_window", {"initial_train_size": 5, "step_size": 4}), ("sliding_window", {"train_size": 7, "test_size": 3, "step_size": 2}), ("walk_forward", {"n_splits": 3, "min_train_size": 5, "test_size": 50}), ("sliding_window", {"train_size": 50, "test_size": 11})):
+        want = splits.split(df, kind, tie=["i"], **sizes).groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum("late").alias("late"))
+        got = splits.split_totals(df, kind, {"x": F.col("x"), "late": F.col("late")}, tie=["i"], **sizes)
+        assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    wide = spark.range(200_000).select(F.col("id").alias("i"), F.date_add(F.lit(date(2024, 1, 1)), (F.col("id") / 1000).cast("int")).alias("effective_match_date"))
+    last = splits.split_totals(wide, "expanding_window", {"i": F.col("i")}, tie=["i"], initial_train_size=2, step_size=2).where("fold = 99998").collect()
+    assert {(r.part, r.n, r.i) for r in last} == {("train", 199_998, 199_998 * 199_997 // 2), ("test", 2, 199_998 + 199_999)}
+
+
 def test_instances_count_once_ended(spark):
     """An instance that runs on, or lies among others, is not known early."""
     rows = [(1, 1, "a", 10.0), (2, 2, "b", 1.0), (3, 3, "a", 20.0), (4, 4, "b", 2.0), (5, 5, "c", 5.0), (6, 6, "c", 7.0)]
