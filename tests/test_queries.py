@@ -33,7 +33,7 @@ def test_equals_sql(spark, sf, con, name):
 
 
 def same_as_sql(spark, folder, name, **tables):
-    """Whether a query gives its SQL's rows on the given tables; NaN is no null."""
+    """A query gives its SQL's rows on the given tables; NaN is no null."""
     con = duckdb.connect()
     for t, df in tables.items():
         df.coalesce(1).write.parquet(f"{folder}/{t}.parquet")
@@ -43,6 +43,17 @@ def same_as_sql(spark, folder, name, **tables):
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, str(folder)).select(columns).collect())
 
 
+def half_scores(spark):
+    """Orders whose scores lie halfway between hundredths, and others, by two priorities."""
+    prices = [72_500.0, 142_500.0, 282_500.0, 287_500.0, 62_500.0, 187_500.0, *[1000.0 * i for i in range(2, 499, 7)]]
+    rows = [(i, datetime(2024, 1, 1), f"{i % 2 + 1}", prices[i % len(prices)]) for i in range(900)]
+    return spark.createDataFrame(rows, "o_orderkey long, o_orderdate timestamp_ntz, o_orderpriority string, o_totalprice double")
+
+
+def test_segmented_isotonic_of_half_scores(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "segmented_isotonic", orders=half_scores(spark))
+
+
 def event_rows(spark, rows):
     """(user, minute, value) as events."""
     return spark.createDataFrame([(i, datetime(2024, 1, 1) + timedelta(minutes=t), u, "view", v) for i, (u, t, v) in enumerate(rows)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
