@@ -64,6 +64,10 @@ def test_open_close_of_zeros_halves_and_nulls(spark, tmp_path):
     same_as_sql(spark, tmp_path, "open_close", events=event_rows(spark, rows))
 
 
+def test_isotonic_calibration_of_half_scores(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "isotonic_calibration", orders=half_scores(spark))
+
+
 def test_all_but_the_random_one_have_sql():
     assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"clustered_bootstrap"}
 
