@@ -68,6 +68,12 @@ def test_isotonic_calibration_of_half_scores(spark, tmp_path):
     same_as_sql(spark, tmp_path, "isotonic_calibration", orders=half_scores(spark))
 
 
+def test_kernel_of_far_values(spark, tmp_path):
+    """Weights too small for a double, alone and beside others."""
+    rows = [(1, 0, 0.0), (1, 1, 500.0), (2, 0, 0.0), (2, 1, 280.0), (3, 0, 0.0), (3, 1, 1.0), (3, 2, 500.0), (3, 9, 2.5), (4, 0, None), (4, 5, 2.0), (5, 0, 1.0)]
+    same_as_sql(spark, tmp_path, "knn_kernel_range_join", events=event_rows(spark, rows))
+
+
 def test_all_but_the_random_one_have_sql():
     assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"clustered_bootstrap"}
 
