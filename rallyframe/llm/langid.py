@@ -6,7 +6,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_of_id, documents, made_schema, settle, shipped, without
@@ -20,9 +20,9 @@ HASHES, SLOTS_EACH, LEAST_SLOTS = 3, 8, 1 << 16
 #: An n-gram is entered for a language if seen so often there, and at least this
 #: share as frequent as where it is most frequent.
 LEAST, SHARE = 3, 0.3
-#: Labelled documents of each language that its usual share is measured on, about,
-#: and the part of it that a text must reach to count as that language.
-LEVEL_DOCS, BAR = 500, 0.5
+#: Slices of the range of shares that are counted for a median, and the part of
+#: a language's usual share that a text must reach to count as that language.
+SLICES, BAR = 4096, 0.5
 UNKNOWN = "und"
 #: Characters that are coded at once, and n-grams that are hashed at once.
 BLOCK, STRIDE = 1 << 20, 1 << 16
@@ -250,26 +250,43 @@ def own_share_batches(batches, state):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64())], ["lang", "share"])
 
 
-def fit_levels(docs: DataFrame, filters: LanguageFilters, held: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", n: int = LEVEL_DOCS) -> LanguageFilters:
-    """``filters`` with each language's level: the median share of about ``n``
-    of its held-out texts, drawn by a hash of the id; of all its labelled
-    texts, if none is held out. Texts without a letter don't count."""
+def medians(own: DataFrame) -> dict[str, float]:
+    """The exact median share of each language in (lang, share). Shares are counted
+    by slices of their range; only different ones in a slice that holds a middle
+    place are put in order."""
+    sliced = own.withColumn("slice", F.floor(F.col("share") * SLICES).cast("int"))
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in sorted(sliced.groupBy("lang", "slice").agg(F.count(F.lit(1)).alias("n")).collect()):
+        counts.setdefault(r.lang, []).append((r.slice, r.n))
+    places = []
+    for lang, slices in counts.items():
+        total = sum(n for _, n in slices)
+        for place in ((total - 1) // 2, total // 2):
+            for at, n in slices:
+                if place < n:
+                    places.append((lang, at, place))
+                    break
+                place -= n
+    if not places:
+        return {}
+    wanted = F.broadcast(own.sparkSession.createDataFrame(places, "lang string, slice int, place long"))
+    values = sliced.join(wanted.select("lang", "slice").distinct(), ["lang", "slice"], "left_semi").groupBy("lang", "slice", "share").agg(F.count(F.lit(1)).alias("n"))
+    upto = values.withColumn("upto", F.sum("n").over(Window.partitionBy("lang", "slice").orderBy("share")))
+    found = upto.join(wanted, ["lang", "slice"]).where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
+    return {r.lang: r.level for r in found.groupBy("lang").agg(F.avg("share").alias("level")).collect()}
+
+
+def fit_levels(docs: DataFrame, filters: LanguageFilters, held: Column, text: str = "text", lang: str = "lang") -> LanguageFilters:
+    """``filters`` with each language's level: the median share of all its held-out
+    texts; of all its labelled texts, if none is held out. Texts without a letter
+    don't count."""
     lettered = F.col(text).rlike(r"\p{L}") & F.col(lang).isin(filters.langs)
-    known = docs.where(lettered).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), held.alias("held"))
-    sizes: dict[str, dict[bool, int]] = {}
-    for r in known.groupBy("lang", "held").count().collect():
-        sizes.setdefault(r.lang, {})[r.held] = r["count"]
-    if not sizes:
-        return filters
-    part = {k: min(1.0, n / x.get(True, sum(x.values()))) for k, x in sizes.items()}
-    share = F.create_map(*[F.lit(x) for kx in part.items() for x in kx])
-    thin = [k for k, x in sizes.items() if True not in x]
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_003)) / F.lit(1_000_003)
-    drawn = known.where((F.col("held") | F.col("lang").isin(thin)) & (draw < F.element_at(share, F.col("lang")))).select("lang", "text")
+    known = docs.where(lettered).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
+    thin = [r.lang for r in known.groupBy("lang").agg(F.max("held").alias("held")).collect() if not r.held]
     state = docs.sparkSession.sparkContext.broadcast(dict(filters.__dict__))
-    own = drawn.mapInArrow(lambda it: own_share_batches(it, state), "lang string, share double")
-    for r in own.groupBy("lang").agg(F.percentile("share", 0.5).alias("level")).collect():
-        filters.level[filters.langs.index(r.lang)] = r.level or 1.0
+    own = known.where(F.col("held") | F.col("lang").isin(thin)).select("lang", "text").mapInArrow(lambda it: own_share_batches(it, state), "lang string, share double")
+    for k, level in medians(settle(own)).items():
+        filters.level[filters.langs.index(k)] = level or 1.0
     return filters
 
 

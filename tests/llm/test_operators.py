@@ -395,6 +395,21 @@ def test_op7_edges(edges, empty):
     assert {r.lang_pred for r in langid.identify(edges, nothing).collect()} == {"und"} and langid.identify(empty, filters).count() == 0
 
 
+def test_levels_are_medians_of_all_held_out_texts(spark):
+    """Levels are measured on every held-out text; all texts of a language without any."""
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choice("abcdefgh" if k == "x" else "efghijkl") for _ in range(rng.randint(3, 30))), k) for i, k in enumerate("xxy" * 800)] + [(-i, f"zz{i}", "z") for i in range(5)] + [(None, "abc", "x")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    held = (F.col("doc_id") >= 1200)
+    filters = langid.fit_levels(docs, langid.fit_languages(docs, F.col("doc_id") < 1200), held)
+    assert filters.langs == ["x", "y", "z"]
+    for at, k in enumerate(filters.langs):
+        shares = filters.shares([t for i, t, g in texts if g == k and (k == "z" or (i or 0) >= 1200)])[:, at]
+        assert len(shares) > (500 if k == "x" else 0) and filters.level[at] == pytest.approx(np.median(shares) or 1.0, abs=1e-12)
+    shares = [("a", 0.5)] * 7 + [("a", 0.25)] * 3 + [("b", 0.2), ("b", 0.9)] + [("c", 1.0)] + [("d", i / 1e6) for i in range(40)]
+    assert langid.medians(spark.createDataFrame(shares, "lang string, share double")) == pytest.approx({k: np.median([x for g, x in shares if g == k]) for k in "abcd"})
+
+
 def test_op7_filters_have_no_false_negatives():
     filters = langid.LanguageFilters(["x", "y"], [1, 1])
     hashes = langid.grams(["some ordinary words"])
